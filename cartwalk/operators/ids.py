@@ -7,8 +7,11 @@ partition; each row gets its position from ``monotonically_increasing_id``
 lower 33) plus the number of rows in all earlier partitions.  The offset table
 has one row per partition, so its broadcast has a proven size bound.
 
-The ordering columns must be unique so the numbering is deterministic when a
-lost task is recomputed.
+The tagged rows are written once to the checkpoint folder before the
+per-partition counts are taken: range bounds come from sampling, so two
+evaluations of the same range exchange need not agree; reading one stored
+copy makes counts and rows consistent and survives lost executors.  The
+ordering columns must be unique.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ def dense_index(df: DataFrame, order_cols: list[str], out_col: str, start: int =
                 num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (
+    from cartwalk.session import materialize
+    tagged = materialize(
         df.repartitionByRange(n, *order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())

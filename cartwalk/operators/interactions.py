@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwalk.functions.exprs import rank_key
 from cartwalk.operators.ids import dense_index, with_scalar
 
 # Default implicit weights of the inference path.
@@ -165,7 +166,7 @@ def remove_top_pop(urm: DataFrame, pct: float = 0.2, urm2: DataFrame | None = No
     universe = (n_items.select("item_id").distinct() if n_items is not None
                 else urm.select("item_id").distinct())
     pop = universe.join(pop, "item_id", "left").fillna(0.0, ["pop"])
-    ranked = dense_index(pop.withColumn("_neg", -F.col("pop")), ["_neg", "item_id"], "_r", start=1)
+    ranked = dense_index(pop.withColumn("_neg", -rank_key("pop")), ["_neg", "item_id"], "_r", start=1)
     removed = with_scalar(ranked, universe.agg(F.count(F.lit(1)).alias("n"))).filter(
         F.col("_r") <= F.floor(F.col("n") * F.lit(pct))).select("item_id")
     kept = universe.join(removed, "item_id", "left_anti")

@@ -1 +1,342 @@
-"""Registered queries."""
+"""Registered queries: evaluation metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cartwalk.functions.exprs import r6
+from cartwalk.operators import evaluation as EV
+from cartwalk.operators import interactions as I
+from cartwalk.operators import ranking as RK
+from cartwalk.operators import walk as WK
+from cartwalk.plans import recommend as P
+from cartwalk.plans.queries_rec import REC
+from cartwalk.plans.registry import query
+from cartwalk.session import materialize
+from cartwalk.plans.sqlroles import R6, topk_ctes, urm_cte, with_roles
+
+CUTOFFS = [5, 10]
+TEST = urm_cte("tst", "test_purchases", None, view_w=1.0)
+
+
+def eval_sql(rank_cte: str, cutoffs: list[int], prefix: str = "ev", div: bool = True) -> str:
+    """DuckDB text of the whole evaluation: ``{prefix}_final`` has one row per
+    cutoff with every metric."""
+    ks = ", ".join(str(k) for k in cutoffs)
+    p = prefix
+    div_cte = f"""
+{p}_last AS (SELECT cutoff, session_id, count(*) AS n, max(rank) AS last FROM {p}_rel GROUP BY 1, 2),
+{p}_emb AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v FROM embeddings),
+{p}_pairs AS (
+  SELECT a.cutoff, a.session_id,
+    CASE WHEN ea.v IS NOT NULL AND eb.v IS NOT NULL THEN
+      (1.0 - list_dot_product(ea.v, eb.v) / (sqrt(list_dot_product(ea.v, ea.v)) * sqrt(list_dot_product(eb.v, eb.v)))) / 2
+    ELSE 0.0 END AS d
+  FROM {p}_rel a JOIN {p}_rel b ON a.cutoff = b.cutoff AND a.session_id = b.session_id AND a.rank <> b.rank
+  JOIN {p}_last l ON l.cutoff = a.cutoff AND l.session_id = a.session_id
+  LEFT JOIN {p}_emb ea ON ea.item_id = a.item_id LEFT JOIN {p}_emb eb ON eb.item_id = b.item_id
+  WHERE a.rank <> l.last),
+{p}_div AS (
+  SELECT l.cutoff, l.session_id, coalesce(s.s, 0.0) / (CASE WHEN l.n > 1 THEN l.n * (l.n - 1) END) AS div_sim
+  FROM {p}_last l LEFT JOIN (SELECT cutoff, session_id, sum(d) AS s FROM {p}_pairs GROUP BY 1, 2) s
+  USING (cutoff, session_id)),""" if div else f"""
+{p}_div AS (SELECT cutoff, session_id, CAST(NULL AS DOUBLE) AS div_sim FROM {p}_rel GROUP BY 1, 2),"""
+    return f"""
+{p}_k AS (SELECT unnest([{ks}]) AS cutoff),
+{p}_users AS (SELECT session_id FROM tst WHERE item_id NOT IN (SELECT item_id FROM excl_items)
+  GROUP BY session_id HAVING count(*) >= 1),
+{p}_rel1 AS (
+  SELECT r.session_id, r.item_id, r.rank, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS rel,
+    coalesce(t.score, 0.0) AS rating
+  FROM {rank_cte} r JOIN {p}_users u USING (session_id)
+  LEFT JOIN tst t ON t.session_id = r.session_id AND t.item_id = r.item_id),
+{p}_rel2 AS (SELECT *, sum(rel) OVER (PARTITION BY session_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumhits FROM {p}_rel1),
+{p}_rel AS (SELECT k.cutoff, r.* FROM {p}_rel2 r JOIN {p}_k k ON r.rank <= k.cutoff),
+{p}_per AS (
+  SELECT cutoff, session_id, count(*) AS n, sum(rel) AS hits,
+    sum(rel * cumhits / rank::DOUBLE) AS ap_sum, min(CASE WHEN rel = 1 THEN rank END) AS first_hit,
+    sum(rel / rank::DOUBLE) AS arhr, sum((pow(2.0, rating) - 1) / log2(rank + 1.0)) AS dcg
+  FROM {p}_rel GROUP BY 1, 2),
+{p}_tc AS (SELECT session_id, count(*) AS n_test FROM tst GROUP BY 1),
+{p}_ideal AS (SELECT session_id, score, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, item_id) AS pos FROM tst),
+{p}_idcg AS (SELECT k.cutoff, i.session_id, sum((pow(2.0, score) - 1) / log2(pos + 1.0)) AS idcg
+  FROM {p}_ideal i JOIN {p}_k k ON i.pos <= k.cutoff GROUP BY 1, 2),
+{p}_pop AS (SELECT item_id, count(*) AS pop FROM prof GROUP BY 1),
+{p}_tot AS (SELECT sum(pop)::DOUBLE AS n_inter, max(pop)::DOUBLE AS max_pop FROM {p}_pop),
+{p}_nitems AS (SELECT count(DISTINCT item_id)::DOUBLE AS n_items FROM featured_items),
+{p}_nov AS (
+  SELECT r.cutoff, r.session_id,
+    coalesce(sum(CASE WHEN coalesce(pp.pop, 0) > 0 THEN -log2(pp.pop / (SELECT n_inter FROM {p}_tot)) / (SELECT n_items FROM {p}_nitems) END), 0.0) AS novelty,
+    sum(coalesce(pp.pop, 0) / (SELECT max_pop FROM {p}_tot)) / count(*) AS avg_pop
+  FROM {p}_rel r LEFT JOIN {p}_pop pp USING (item_id) GROUP BY 1, 2),{div_cte}
+{p}_um AS (
+  SELECT k.cutoff, u.session_id, coalesce(pe.n, 0) AS n, coalesce(pe.hits, 0)::DOUBLE AS hits,
+    CASE WHEN coalesce(pe.n, 0) > 0 THEN pe.hits::DOUBLE / pe.n ELSE 0.0 END AS precision,
+    CASE WHEN coalesce(pe.n, 0) > 0 THEN pe.hits::DOUBLE / least(tc.n_test, pe.n) ELSE 0.0 END AS prec_min_den,
+    coalesce(pe.hits, 0)::DOUBLE / tc.n_test AS recall,
+    CASE WHEN coalesce(pe.n, 0) > 0 THEN pe.ap_sum / pe.n ELSE 0.0 END AS ap,
+    CASE WHEN coalesce(pe.n, 0) > 0 THEN pe.ap_sum / least(tc.n_test, pe.n) ELSE 0.0 END AS ap_min_den,
+    coalesce(1.0 / pe.first_hit, 0.0) AS rr, coalesce(pe.arhr, 0.0) AS arhr,
+    CASE WHEN coalesce(pe.dcg, 0) = 0 OR coalesce(ic.idcg, 0) = 0 THEN 0.0 ELSE pe.dcg / ic.idcg END AS ndcg,
+    CASE WHEN coalesce(pe.hits, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit,
+    nv.novelty, nv.avg_pop, dv.div_sim
+  FROM {p}_users u CROSS JOIN {p}_k k
+  LEFT JOIN {p}_per pe ON pe.cutoff = k.cutoff AND pe.session_id = u.session_id
+  LEFT JOIN {p}_tc tc ON tc.session_id = u.session_id
+  LEFT JOIN {p}_idcg ic ON ic.cutoff = k.cutoff AND ic.session_id = u.session_id
+  LEFT JOIN {p}_nov nv ON nv.cutoff = k.cutoff AND nv.session_id = u.session_id
+  LEFT JOIN {p}_div dv ON dv.cutoff = k.cutoff AND dv.session_id = u.session_id),
+{p}_acc AS (
+  SELECT cutoff, count(*) AS n_eval, avg(precision) AS PRECISION, avg(prec_min_den) AS PRECISION_RECALL_MIN_DEN,
+    avg(recall) AS RECALL, avg(ap) AS MAP, avg(ap_min_den) AS MAP_MIN_DEN, avg(rr) AS MRR, avg(ndcg) AS NDCG,
+    avg(hit) AS HIT_RATE, avg(arhr) AS ARHR_ALL_HITS,
+    sum(coalesce(novelty, 0.0)) / count(*) AS NOVELTY, sum(coalesce(avg_pop, 0.0)) / count(*) AS AVERAGE_POPULARITY,
+    sum(coalesce(div_sim, 0.0)) / count(*) AS DIVERSITY_SIMILARITY,
+    sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS n_cov_users, sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) AS n_cov_users_ok
+  FROM {p}_um GROUP BY cutoff),
+{p}_keep AS (SELECT DISTINCT item_id FROM featured_items WHERE item_id NOT IN (SELECT item_id FROM excl_items)),
+{p}_neff AS (SELECT count(*)::DOUBLE AS n_eff FROM {p}_keep),
+{p}_cnt AS (SELECT cutoff, item_id, count(*) AS c, sum(rel) AS c_ok FROM {p}_rel
+  WHERE item_id NOT IN (SELECT item_id FROM excl_items) GROUP BY 1, 2),
+{p}_spine AS (
+  SELECT k.cutoff, f.item_id, coalesce(c.c, 0)::DOUBLE AS c FROM {p}_keep f CROSS JOIN {p}_k k
+  LEFT JOIN {p}_cnt c ON c.cutoff = k.cutoff AND c.item_id = f.item_id),
+{p}_gini AS (
+  SELECT cutoff, 2 * sum((n + 1 - pos) / (n + 1) * c / total) AS gini FROM (
+    SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY c, item_id) AS pos,
+      count(*) OVER (PARTITION BY cutoff) AS n, sum(c) OVER (PARTITION BY cutoff) AS total FROM {p}_spine)
+  GROUP BY cutoff),
+{p}_hs AS (
+  SELECT cutoff, 1 - sum(pow(c / total, 2)) AS herfindahl, -sum((c / total) * log2(c / total)) AS shannon,
+    count(*) AS n_rec_items, sum(CASE WHEN c_ok > 0 THEN 1 ELSE 0 END) AS n_rec_items_ok
+  FROM (SELECT *, sum(c) OVER (PARTITION BY cutoff)::DOUBLE AS total FROM {p}_cnt) GROUP BY cutoff),
+{p}_inter AS (SELECT cutoff, sum(c * c)::DOUBLE AS sq_all FROM (SELECT cutoff, item_id, count(*) AS c FROM {p}_rel GROUP BY 1, 2) GROUP BY 1),
+{p}_tspine AS (SELECT f.item_id, coalesce(pp.pop, 0)::DOUBLE AS c FROM {p}_keep f LEFT JOIN {p}_pop pp USING (item_id)),
+{p}_tgini AS (
+  SELECT 2 * sum((n + 1 - pos) / (n + 1) * c / total) AS tr_gini FROM (
+    SELECT *, row_number() OVER (ORDER BY c, item_id) AS pos, count(*) OVER () AS n, sum(c) OVER () AS total FROM {p}_tspine)),
+{p}_ths AS (
+  SELECT 1 - sum(pow(c / total, 2)) AS tr_herf, -sum(CASE WHEN c > 0 THEN (c / total) * log2(c / total) END) AS tr_shannon
+  FROM (SELECT *, sum(c) OVER () AS total FROM {p}_tspine)),
+{p}_tnov AS (
+  SELECT avg(nov) AS train_novelty, avg(ap) AS train_avg_pop FROM (
+    SELECT q.session_id, sum(-log2(pp.pop / (SELECT n_inter FROM {p}_tot)) / (SELECT n_items FROM {p}_nitems)) AS nov,
+      sum(pp.pop / (SELECT max_pop FROM {p}_tot)) / count(*) AS ap
+    FROM prof q JOIN {p}_pop pp USING (item_id) GROUP BY 1)),
+{p}_nusers AS (SELECT count(DISTINCT session_id)::DOUBLE AS n_users FROM prof),
+{p}_gt AS (
+  SELECT (SELECT count(*) FROM (SELECT DISTINCT item_id FROM tst WHERE item_id IN (SELECT item_id FROM {p}_keep)))::DOUBLE AS n_gt_items,
+         (SELECT count(DISTINCT session_id) FROM tst)::DOUBLE AS n_gt_users),
+{p}_final AS (
+  SELECT CAST(a.cutoff AS BIGINT) AS cutoff, a.PRECISION, a.PRECISION_RECALL_MIN_DEN, a.RECALL, a.MAP, a.MAP_MIN_DEN,
+    a.MRR, a.NDCG,
+    CASE WHEN a.PRECISION + a.RECALL <> 0 THEN 2 * a.PRECISION * a.RECALL / (a.PRECISION + a.RECALL) ELSE 0.0 END AS F1,
+    a.HIT_RATE, a.ARHR_ALL_HITS, a.NOVELTY, a.AVERAGE_POPULARITY, a.DIVERSITY_SIMILARITY,
+    ((a.n_eval * a.n_eval - a.n_eval) - (coalesce(it.sq_all, 0) - a.n_eval * a.cutoff) / a.cutoff)
+      / nullif(a.n_eval * a.n_eval - a.n_eval, 0) AS DIVERSITY_MEAN_INTER_LIST,
+    hs.herfindahl AS DIVERSITY_HERFINDAHL,
+    coalesce(hs.n_rec_items, 0) / ne.n_eff AS COVERAGE_ITEM,
+    coalesce(hs.n_rec_items_ok, 0) / ne.n_eff AS COVERAGE_ITEM_CORRECT,
+    a.n_cov_users / nu.n_users AS COVERAGE_USER,
+    a.n_cov_users_ok / nu.n_users AS COVERAGE_USER_CORRECT,
+    g.gini AS DIVERSITY_GINI, hs.shannon AS SHANNON_ENTROPY,
+    hs.herfindahl / nullif(th.tr_herf, 0) AS RATIO_DIVERSITY_HERFINDAHL,
+    g.gini / nullif(tg.tr_gini, 0) AS RATIO_DIVERSITY_GINI,
+    hs.shannon / nullif(th.tr_shannon, 0) AS RATIO_SHANNON_ENTROPY,
+    a.AVERAGE_POPULARITY / nullif(tn.train_avg_pop, 0) AS RATIO_AVERAGE_POPULARITY,
+    a.NOVELTY / nullif(tn.train_novelty, 0) AS RATIO_NOVELTY,
+    1 - (((a.n_eval * a.cutoff) * (a.n_eval * a.cutoff) / ni.n_items - a.n_eval * a.cutoff)
+      / nullif(a.cutoff * (a.n_eval * a.n_eval - a.n_eval), 0)) AS DIVERSITY_MEAN_INTER_LIST_MAX,
+    gt.n_gt_items / ne.n_eff AS ITEMS_IN_GT, gt.n_gt_users / nu.n_users AS USERS_IN_GT,
+    CAST(a.n_eval AS BIGINT) AS n_users_evaluated
+  FROM {p}_acc a LEFT JOIN {p}_hs hs USING (cutoff) LEFT JOIN {p}_gini g USING (cutoff)
+  LEFT JOIN {p}_inter it USING (cutoff)
+  CROSS JOIN {p}_neff ne CROSS JOIN {p}_nusers nu CROSS JOIN {p}_ths th CROSS JOIN {p}_tgini tg
+  CROSS JOIN {p}_tnov tn CROSS JOIN {p}_nitems ni CROSS JOIN {p}_gt gt)
+"""
+
+
+EVAL = REC + "," + TEST + "," + eval_sql("t_top", CUTOFFS)
+
+
+def eval_inputs(ctx, ranking=None, cutoffs=CUTOFFS, div=True):
+    prof = P.test_profile(ctx)
+    if ranking is None:
+        ranking = P.recommend(ctx, prof, P.fit_w(ctx), max(cutoffs))
+    ranking = materialize(ranking)
+    test = I.urm_build(I.dedup_last(I.interaction_score(ctx.r.test_purchases(), 1.0)))
+    return EV.EvalInputs(
+        ranking=ranking, test=test, pop_src=prof, items=ctx.r.featured_items(),
+        user_universe=prof, cutoffs=cutoffs, ignore_items=P.excluded(ctx),
+        diversity=EV.item_vectors(ctx.t.embeddings) if div else None)
+
+
+def _metric(key: str, col: str, doc: str):
+    sql = with_roles(f"SELECT cutoff, {R6(col)} AS value FROM ev_final", EVAL)
+
+    def fn(ctx):
+        return EV.evaluate(eval_inputs(ctx)).select("cutoff", r6(col).alias("value"))
+    fn.__doc__ = doc
+    query(key, sql)(fn)
+
+
+for _key, _col, _doc in [
+    ("m_precision", "PRECISION", "M1"), ("m_prec_min_den", "PRECISION_RECALL_MIN_DEN", "M2"),
+    ("m_recall", "RECALL", "M3"), ("m_map", "MAP", "M4"), ("m_map_min_den", "MAP_MIN_DEN", "M5"),
+    ("m_mrr", "MRR", "M6"), ("m_ndcg", "NDCG", "M8"), ("m_f1", "F1", "M9"),
+    ("m_hit_rate", "HIT_RATE", "M10"), ("m_arhr", "ARHR_ALL_HITS", "M11"),
+    ("m_novelty", "NOVELTY", "M12"), ("m_avg_pop", "AVERAGE_POPULARITY", "M13"),
+    ("m_div_similarity", "DIVERSITY_SIMILARITY", "M14"),
+    ("m_div_inter_list", "DIVERSITY_MEAN_INTER_LIST", "M15"),
+    ("m_div_inter_list_max", "DIVERSITY_MEAN_INTER_LIST_MAX", "M16"),
+    ("m_herfindahl", "DIVERSITY_HERFINDAHL", "M17"), ("m_gini", "DIVERSITY_GINI", "M18"),
+    ("m_shannon", "SHANNON_ENTROPY", "M19"), ("m_cov_item", "COVERAGE_ITEM", "M20"),
+    ("m_cov_item_correct", "COVERAGE_ITEM_CORRECT", "M21"), ("m_cov_user", "COVERAGE_USER", "M22"),
+    ("m_cov_user_correct", "COVERAGE_USER_CORRECT", "M23"), ("m_items_in_gt", "ITEMS_IN_GT", "M24"),
+    ("m_users_in_gt", "USERS_IN_GT", "M25"), ("m_ratio_shannon", "RATIO_SHANNON_ENTROPY", "M26"),
+    ("m_ratio_herfindahl", "RATIO_DIVERSITY_HERFINDAHL", "M27"),
+    ("m_ratio_gini", "RATIO_DIVERSITY_GINI", "M28"), ("m_ratio_novelty", "RATIO_NOVELTY", "M29"),
+    ("m_ratio_avg_pop", "RATIO_AVERAGE_POPULARITY", "M30"),
+]:
+    _metric(_key, _col, _doc)
+
+
+ALL_COLS = [c for c in EV.METRICS] + ["DIVERSITY_MEAN_INTER_LIST_MAX", "ITEMS_IN_GT", "USERS_IN_GT"]
+
+
+@query("eval_holdout", with_roles(
+    "SELECT cutoff, n_users_evaluated, " + ", ".join(f"{R6(c)} AS {c}" for c in ALL_COLS) + " FROM ev_final", EVAL))
+def eval_holdout(ctx):
+    """Every metric at cutoffs 5 and 10 (one wide row per cutoff)."""
+    wide = EV.evaluate(eval_inputs(ctx))
+    return wide.select("cutoff", "n_users_evaluated", *[r6(c).alias(c) for c in ALL_COLS])
+
+
+@query("eval_report", with_roles("""
+SELECT cutoff, metric, value, printf('CUTOFF: %d - %s: %.7f', cutoff, metric, value) AS line FROM (
+  SELECT cutoff, metric, """ + R6("value") + """ AS value FROM (
+    UNPIVOT (SELECT cutoff, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in EV.METRICS) + """ FROM ev_final)
+    ON """ + ", ".join(EV.METRICS) + """ INTO NAME metric VALUE value))""", EVAL))
+def eval_report(ctx):
+    """(cutoff, metric, value, line) report."""
+    return EV.eval_report(EV.evaluate(eval_inputs(ctx)))
+
+
+@query("eval_users", with_roles("SELECT session_id FROM ev_users", EVAL))
+def eval_users(ctx):
+    """Eligible users."""
+    e = eval_inputs(ctx)
+    return EV.eval_users(e.test, e.ignore_items, e.ignore_users)
+
+
+@query("eval_relevance", with_roles(
+    "SELECT CAST(cutoff AS BIGINT) AS cutoff, session_id, item_id, rank, CAST(rel AS INT) AS rel, CAST(cumhits AS BIGINT) AS cumhits FROM ev_rel", EVAL))
+def eval_relevance(ctx):
+    """Relevance flags of every list at each cutoff."""
+    e = eval_inputs(ctx)
+    users = EV.eval_users(e.test, e.ignore_items)
+    r = EV.eval_relevance(e.ranking, e.test, users, CUTOFFS)
+    return r.select(F.col("cutoff").cast("long"), "session_id", "item_id", "rank", "rel",
+                    F.col("cumhits").cast("long"))
+
+
+@query("eval_failed_users", with_roles(
+    "SELECT session_id FROM ev_users EXCEPT SELECT session_id FROM ev_rel WHERE cutoff = 10 AND rel = 1", EVAL))
+def eval_failed_users(ctx):
+    """Evaluated users with no hit at 10."""
+    e = eval_inputs(ctx)
+    users = EV.eval_users(e.test, e.ignore_items)
+    return EV.failed_users(e.ranking, e.test, users, 10)
+
+
+@query("m_partial_merge", with_roles(f"""
+SELECT cutoff, {R6('sum(s) / sum(n)')} AS map FROM (
+  SELECT cutoff, session_id % 2 AS part, sum(ap) AS s, count(*) AS n FROM ev_um GROUP BY 1, 2) GROUP BY cutoff""", EVAL))
+def m_partial_merge(ctx):
+    """MAP from two partial states (sum, count) merged."""
+    e = eval_inputs(ctx, div=False)
+    users = EV.eval_users(e.test, e.ignore_items)
+    um = EV.user_metrics(EV.eval_relevance(e.ranking, e.test, users, CUTOFFS), e.test, users, CUTOFFS)
+    parts = um.groupBy("cutoff", (F.col("session_id") % 2).alias("part")).agg(
+        F.sum("ap").alias("s"), F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("cutoff").agg(r6(F.sum("s") / F.sum("n")).alias("map"))
+
+
+@query("m_mrr_frame", with_roles(f"""
+SELECT {R6('avg(coalesce(1.0 / fh, 0.0))')} AS mrr FROM (
+  SELECT session_id, min(CASE WHEN target = 1 THEN rank END) AS fh FROM (
+    SELECT r.session_id, r.rank, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS target
+    FROM t_top r LEFT JOIN tst t ON t.session_id = r.session_id AND t.item_id = r.item_id) GROUP BY 1)""", EVAL))
+def m_mrr_frame(ctx):
+    """M7: MRR of a labelled prediction frame (session, rank, target)."""
+    e = eval_inputs(ctx, div=False)
+    lab = e.ranking.join(e.test.select("session_id", "item_id", F.lit(1).alias("target")),
+                         ["session_id", "item_id"], "left").fillna(0, ["target"])
+    return EV.mrr_frame(lab).select(r6("mrr").alias("mrr"))
+
+
+NEG = f"""
+neg_items AS (SELECT DISTINCT session_id, item_id FROM (
+  SELECT session_id, item_id FROM tst UNION ALL SELECT session_id, item_id FROM t_top)),
+neg_all AS (
+  SELECT n.session_id, n.item_id, coalesce(sc.score, 0.0) AS score FROM neg_items n
+  LEFT JOIN t_sc sc USING (session_id, item_id)
+  WHERE n.item_id NOT IN (SELECT item_id FROM excl_items)
+    AND NOT EXISTS (SELECT 1 FROM prof p WHERE p.session_id = n.session_id AND p.item_id = n.item_id)),
+neg_top AS (SELECT session_id, item_id, CAST(rn AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY floor(score * 1e12 + 0.5) DESC, item_id) AS rn FROM neg_all)
+  WHERE rn <= 10)"""
+
+
+@query("eval_negative", with_roles(
+    "SELECT cutoff, " + ", ".join(f"{R6(c)} AS {c}" for c in ["PRECISION", "RECALL", "MAP", "MRR", "NDCG", "HIT_RATE"])
+    + " FROM ng_final", REC + "," + TEST + "," + NEG + "," + eval_sql("neg_top", CUTOFFS, "ng", div=False)))
+def eval_negative(ctx):
+    """Rank only each user's test items plus supplied negatives (here the
+    model's own top-10), each once, then evaluate."""
+    prof = P.test_profile(ctx)
+    W = P.fit_w(ctx)
+    top = P.recommend(ctx, prof, W, 10)
+    test = I.urm_build(I.dedup_last(I.interaction_score(ctx.r.test_purchases(), 1.0)))
+    cand = test.select("session_id", "item_id").unionByName(top.select("session_id", "item_id")).distinct()
+    ranking = negative_ranking(prof, W, cand, P.excluded(ctx), 10)
+    e = eval_inputs(ctx, ranking=ranking, div=False)
+    wide = EV.evaluate(e)
+    return wide.select("cutoff", *[r6(c).alias(c) for c in ["PRECISION", "RECALL", "MAP", "MRR", "NDCG", "HIT_RATE"]])
+
+
+def negative_ranking(prof, W, cand, exclude, cutoff):
+    """Per-user candidate ranking: scores restricted to each user's own
+    (session, item) candidates, zero when unscored; seen and excluded out."""
+    sc = RK.rec_scores(prof, W).join(cand, ["session_id", "item_id"], "left_semi")
+    c = (cand.join(exclude, "item_id", "left_anti")
+         .join(prof.select("session_id", "item_id"), ["session_id", "item_id"], "left_anti")
+         .join(sc, ["session_id", "item_id"], "left").fillna(0.0, ["score"]))
+    from pyspark.sql import Window
+    from cartwalk.functions.exprs import rank_key
+    w = Window.partitionBy("session_id").orderBy(rank_key("score").desc(), F.col("item_id"))
+    return c.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= cutoff)
+
+
+TRAIN_EVAL = REC.replace(topk_ctes("t", "prof", "m_w", 10), topk_ctes("t", "prof", "m_w", 100)) + "," + TEST + "," + eval_sql("t_top", [100], div=False)
+
+
+@query("pipe_train_eval", with_roles(
+    "SELECT cutoff, " + ", ".join(f"{R6(c)} AS {c}" for c in ["PRECISION", "RECALL", "MAP", "MRR", "NDCG", "HIT_RATE", "COVERAGE_ITEM"])
+    + " FROM ev_final", TRAIN_EVAL))
+def pipe_train_eval(ctx):
+    """Fit on train, swap in the validation views, evaluate on the
+    validation purchases at 100."""
+    prof = P.test_profile(ctx)
+    ranking = P.recommend(ctx, prof, P.fit_w(ctx), 100)
+    wide = EV.evaluate(eval_inputs(ctx, ranking=ranking, cutoffs=[100], div=False))
+    return wide.select("cutoff", *[r6(c).alias(c) for c in ["PRECISION", "RECALL", "MAP", "MRR", "NDCG", "HIT_RATE", "COVERAGE_ITEM"]])
+
+
+@query("sweep_patience")
+def sweep_patience(ctx):
+    """Validated sweep over (alpha, beta, topK); each round one Spark
+    job and one scalar read; stop after ``patience`` non-improving rounds."""
+    from cartwalk.plans.sweep import sweep
+    return sweep(ctx, grid=[(1.0, 0.6, 20), (1.0, 0.3, 20), (0.8, 0.6, 20), (1.0, 0.6, 10)],
+                 metric="MAP", cutoff=10, patience=2)

@@ -204,7 +204,7 @@ def rec_remove_custom(ctx):
 
 
 TOPPOP = """toppop_items AS (
-  SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS r, count(*) OVER () AS n
+  SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY floor(pop * 1e12 + 0.5) DESC, item_id) AS r, count(*) OVER () AS n
     FROM (SELECT f.item_id, coalesce(sum(u.score), 0) AS pop FROM featured_items f LEFT JOIN urm u USING (item_id) GROUP BY f.item_id))
   WHERE r <= floor(n * 0.1))"""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cartwalk.operators import interactions as I
 from cartwalk.operators import ranking as RK
 from cartwalk.operators import walk as WK
+from cartwalk.session import materialize
 
 # Parameters of the registered recommender queries.
 VIEW_WEIGHT = 0.2       # the reference's fallback when a model carries none
@@ -23,7 +24,11 @@ def train_urm(ctx) -> DataFrame:
 
 
 def fit_w(ctx, topk: int = TOPK, **kw) -> DataFrame:
-    return WK.rp3_fit(train_urm(ctx), topK=topk, **kw)
+    """Fit W on the train matrix and store it (the model artefact)."""
+    key = ("W", topk, tuple(sorted(kw.items())))
+    if key not in ctx.memo:
+        ctx.memo[key] = materialize(WK.rp3_fit(train_urm(ctx), topK=topk, **kw))
+    return ctx.memo[key]
 
 
 def views_profile(views: DataFrame) -> DataFrame:
@@ -31,7 +36,9 @@ def views_profile(views: DataFrame) -> DataFrame:
 
 
 def test_profile(ctx) -> DataFrame:
-    return views_profile(ctx.r.test_views())
+    if "test_profile" not in ctx.memo:
+        ctx.memo["test_profile"] = materialize(views_profile(ctx.r.test_views()))
+    return ctx.memo["test_profile"]
 
 
 def excluded(ctx) -> DataFrame:

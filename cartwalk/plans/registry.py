@@ -45,6 +45,7 @@ class Ctx:
         self.sf_dir = sf_dir
         self.t = Tables(spark, sf_dir)
         self.r = Roles(self.t)
+        self.memo: dict = {}
 
 
 def load_all() -> dict[str, Query]:

@@ -78,3 +78,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and return a
+    DataFrame reading it back.  Used at model/artefact boundaries so later
+    plans stay small and a lost executor does not recompute the fit."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
