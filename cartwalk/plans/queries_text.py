@@ -1 +1,221 @@
-"""Registered queries."""
+"""Registered queries: item text, bag of words, cosine retrieval."""
+
+from __future__ import annotations
+
+import glob
+import os
+import zipfile
+
+from pyspark.sql import functions as F
+
+from cartwalk.functions.exprs import r6
+from cartwalk.operators import text as TX
+from cartwalk.plans import recommend as P
+from cartwalk.plans.queries_rec import REC
+from cartwalk.plans.registry import query
+from cartwalk.plans.sqlroles import R6, with_roles
+
+QUERY_TS = "2024-06-01 12:00:00"
+
+
+def _stop_words_sql() -> str:
+    """The stop list Spark ships (read from Spark's own jar) as SQL values."""
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    words = zipfile.ZipFile(jars[0]).read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode().split()
+    return ", ".join("('" + w.replace("'", "''") + "')" for w in words)
+
+
+STOP_CTE = f"stop_words AS (SELECT * FROM (VALUES {_stop_words_sql()}) t(token))"
+PAT = TX.TOKEN_PATTERN
+TEXT_CTES = STOP_CTE + f""",
+dtok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{PAT}')) AS token FROM documents),
+dterm AS (SELECT doc_id, token AS term, count(*) AS tf FROM dtok WHERE token NOT IN (SELECT token FROM stop_words) GROUP BY 1, 2),
+vocab AS (SELECT term, tf, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM (
+  SELECT term, sum(tf) AS tf FROM dterm GROUP BY 1 ORDER BY tf DESC, term LIMIT {TX.VOCAB_SIZE})),
+dvec AS (SELECT d.doc_id AS item_id, d.term, v.term_id, d.tf FROM dterm d JOIN vocab v USING (term)),
+uq AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+qtok AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{PAT}')) AS token FROM uq),
+qvec AS (SELECT q.conv_id, q.turn, q.token AS term, v.term_id, count(*) AS tf FROM qtok q JOIN vocab v ON v.term = q.token
+  WHERE q.token NOT IN (SELECT token FROM stop_words) GROUP BY 1, 2, 3, 4),
+qn AS (SELECT conv_id, turn, sqrt(sum(tf * tf)) AS nq FROM qvec GROUP BY 1, 2),
+dn AS (SELECT item_id, sqrt(sum(tf * tf)) AS nd FROM dvec GROUP BY 1),
+qsim AS (
+  SELECT q.conv_id, q.turn, d.item_id, sum(q.tf * d.tf) / (min(qn.nq) * min(dn.nd)) AS sim
+  FROM qvec q JOIN dvec d USING (term) JOIN qn USING (conv_id, turn) JOIN dn USING (item_id)
+  GROUP BY 1, 2, 3),
+qtop0 AS (SELECT conv_id, turn, item_id, sim, row_number() OVER (PARTITION BY conv_id, turn ORDER BY floor(sim * 1e12 + 0.5) DESC, item_id) AS rank
+  FROM qsim WHERE sim > {TX.COSINE_THRESHOLD}),
+qtop1 AS (SELECT * FROM qtop0 WHERE rank <= {TX.TOP_N}),
+qfill AS (
+  SELECT conv_id, turn, item_id, 0.0 AS sim, np + row_number() OVER (PARTITION BY conv_id, turn ORDER BY item_id) AS rank FROM (
+    SELECT u.conv_id, u.turn, d.item_id, coalesce(c.np, 0) AS np FROM uq u
+    CROSS JOIN (SELECT DISTINCT doc_id AS item_id FROM documents) d
+    LEFT JOIN (SELECT conv_id, turn, count(*) AS np FROM qtop1 GROUP BY 1, 2) c USING (conv_id, turn)
+    WHERE NOT EXISTS (SELECT 1 FROM qtop1 t WHERE t.conv_id = u.conv_id AND t.turn = u.turn AND t.item_id = d.item_id))),
+qtop AS (SELECT conv_id, turn, item_id, sim, CAST(rank AS BIGINT) AS rank FROM qtop1
+  UNION ALL SELECT conv_id, turn, item_id, sim, CAST(rank AS BIGINT) FROM qfill WHERE rank <= {TX.TOP_N})
+"""
+
+
+def _queries(ctx):
+    return ctx.spark_queries if hasattr(ctx, "spark_queries") else (
+        ctx.t.conversations.filter(F.col("role") == "user").select(
+            "conv_id", "turn", "text",
+            F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id")))
+
+
+def _stop(ctx):
+    return TX.spanish_stop_words(ctx.spark)
+
+
+def _docs(ctx):
+    return ctx.t.documents.select(F.col("doc_id").alias("item_id"), "text")
+
+
+def vocab(ctx, stem: bool = False):
+    key = ("vocab", stem)
+    if key not in ctx.memo:
+        t = TX.tokens(_docs(ctx), ["item_id"])
+        if stem:
+            t = TX.stem_tokens(t)
+        t = TX.remove_stop_words(t, _stop(ctx))
+        from cartwalk.session import materialize
+        ctx.memo[key] = materialize(TX.fit_vocabulary(TX.term_counts(t, ["item_id"])))
+    return ctx.memo[key]
+
+
+def doc_vecs(ctx, stem: bool = False):
+    return TX.doc_vectors(_docs(ctx), "item_id", vocab(ctx, stem), _stop(ctx), stem)
+
+
+def query_vecs(ctx, stem: bool = False):
+    q = _queries(ctx)
+    v = TX.doc_vectors(q.select("query_id", "text"), "query_id", vocab(ctx, stem), _stop(ctx), stem)
+    return v.join(q.select("query_id", "conv_id", "turn"), "query_id")
+
+
+def top_items(ctx, stem: bool = False):
+    qv = query_vecs(ctx, stem)
+    sim = TX.query_item_cosine(qv, doc_vecs(ctx, stem))
+    top = TX.top_similar(sim, _queries(ctx), _docs(ctx), TX.TOP_N)
+    return top.join(_queries(ctx).select("query_id", "conv_id", "turn"), "query_id")
+
+
+DESC_CTES = """
+cr AS (SELECT * FROM item_features WHERE feature_category_literal IS NOT NULL AND feature_value_literal IS NOT NULL),
+descr AS (
+  SELECT i.item_id, coalesce(d.s, '') || ' (' || CAST(i.item_id AS VARCHAR) || ')' AS item_descrip
+  FROM (SELECT DISTINCT item_id FROM cr) i LEFT JOIN (
+    SELECT item_id, string_agg(feature_value_literal, ' ' ORDER BY o, feature_value_id) AS s FROM (
+      SELECT *, list_position(['product', 'colour', 'type', 'brand'], feature_category_literal) AS o FROM cr)
+    WHERE o IS NOT NULL AND o > 0 GROUP BY item_id) d USING (item_id))"""
+
+
+@query("text_item_descrip", with_roles("SELECT item_id, item_descrip FROM descr", DESC_CTES))
+def text_item_descrip(ctx):
+    """Item description from the descriptive categories."""
+    return TX.item_descrip(ctx.r.item_features())
+
+
+@query("text_item_keywords", with_roles("""
+SELECT item_id, lower(string_agg(kw, ' ' ORDER BY feature_category_id, feature_value_id)) AS item_keywords FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, kw ORDER BY feature_category_id, feature_value_id) AS rn FROM (
+    SELECT c.*, CASE WHEN contains(c.feature_value_literal, f.cat0) THEN replace(c.feature_value_literal, f.cat0, '')
+                     ELSE c.feature_value_literal END AS kw
+    FROM cr c JOIN (SELECT item_id, first(feature_category_literal ORDER BY feature_category_id, feature_value_id) AS cat0
+                    FROM cr GROUP BY 1) f USING (item_id)))
+WHERE rn = 1 GROUP BY item_id""", DESC_CTES))
+def text_item_keywords(ctx):
+    """Keywords per item."""
+    return TX.item_keywords(ctx.r.item_features())
+
+
+@query("text_collapse", with_roles("""
+SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: replace(x, '  ', ' ')) AS lines FROM documents"""))
+def text_collapse(ctx):
+    """Lines of every document with double spaces collapsed."""
+    d = ctx.t.documents.select("doc_id", F.split("text", "\n").alias("lines"))
+    return TX.collapse_double_spaces(d, "lines")
+
+
+@query("text_stem")
+def text_stem(ctx):
+    """T4: every user query and document stemmed word by word (whole
+    texts; Porter stemmer on distinct tokens)."""
+    q = ctx.t.conversations.filter(F.col("role") == "user").select(
+        F.lit("query").alias("kind"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    d = ctx.t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    return TX.stem_text(q.unionByName(d), ["kind", "id"])
+
+
+@query("text_stopwords", with_roles("""
+SELECT doc_id, count(*) AS n_tokens, CAST(sum(CASE WHEN token IN (SELECT token FROM stop_words) THEN 0 ELSE 1 END) AS BIGINT) AS n_kept
+FROM dtok GROUP BY doc_id""", TEXT_CTES))
+def text_stopwords(ctx):
+    """T5: tokens per document before and after stop-word removal."""
+    t = TX.tokens(ctx.t.documents, ["doc_id"])
+    kept = TX.remove_stop_words(t, _stop(ctx)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    allt = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return allt.join(kept, "doc_id", "left").select(
+        "doc_id", "n_tokens", F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"))
+
+
+@query("text_vocab_top", with_roles("SELECT term, tf, term_id FROM vocab", TEXT_CTES))
+def text_vocab_top(ctx):
+    """The 5,000 most frequent document terms."""
+    return vocab(ctx)
+
+
+@query("text_query_vector", with_roles("SELECT conv_id, turn, term_id, tf FROM qvec", TEXT_CTES))
+def text_query_vector(ctx):
+    """User queries as vocabulary count vectors (unseen terms dropped)."""
+    return query_vecs(ctx).select("conv_id", "turn", "term_id", "tf")
+
+
+@query("text_query_terms", with_roles(
+    "SELECT term, count(*) AS n_queries, CAST(sum(tf) AS BIGINT) AS tf FROM qvec GROUP BY term", TEXT_CTES))
+def text_query_terms(ctx):
+    """Vocabulary words used by the queries, with frequencies."""
+    return query_vecs(ctx).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.sum("tf").cast("long").alias("tf"))
+
+
+@query("sim_query_items", with_roles(
+    f"SELECT conv_id, turn, item_id, {R6('sim')} AS sim FROM qsim WHERE sim > {TX.COSINE_THRESHOLD}", TEXT_CTES))
+def sim_query_items(ctx):
+    """Query-to-document cosine above 0.1."""
+    sim = TX.query_item_cosine(query_vecs(ctx), doc_vecs(ctx))
+    return sim.join(_queries(ctx).select("query_id", "conv_id", "turn"), "query_id").select(
+        "conv_id", "turn", "item_id", r6("sim").alias("sim"))
+
+
+@query("sim_top_items", with_roles(f"SELECT conv_id, turn, item_id, rank, {R6('sim')} AS sim FROM qtop", TEXT_CTES))
+def sim_top_items(ctx):
+    """Five most similar documents per query, zero-filled."""
+    return top_items(ctx).select("conv_id", "turn", "item_id", "rank", r6("sim").alias("sim"))
+
+
+@query("encode_query", with_roles(
+    f"SELECT conv_id AS session_id, turn, item_id, rank, TIMESTAMP '{QUERY_TS}' AS date FROM qtop", TEXT_CTES))
+def encode_query(ctx):
+    """Top documents of each query as candidate interactions."""
+    t = top_items(ctx)
+    return t.select(F.col("conv_id").alias("session_id"), "turn", "item_id", "rank",
+                    F.lit(QUERY_TS).cast("timestamp_ntz").alias("date"))
+
+
+@query("sim_all_pairs")
+def sim_all_pairs(ctx):
+    """All document pairs with cosine above 0.1 (blocked dense
+    products; checked against brute force in the tests, no SQL oracle)."""
+    return TX.all_pairs_cosine(doc_vecs(ctx)).select("item_a", "item_b", r6("sim").alias("sim"))
+
+
+@query("decode_items", with_roles(
+    "SELECT t.session_id, list(coalesce(d.item_descrip, '') ORDER BY t.rank) AS item_descrip "
+    "FROM t_top t LEFT JOIN descr d USING (item_id) GROUP BY t.session_id", REC + "," + DESC_CTES))
+def decode_items(ctx):
+    """Recommendations of the test sessions decoded to descriptions."""
+    ranking = P.recommend(ctx, P.test_profile(ctx), P.fit_w(ctx), 10)
+    return TX.decode_items(ranking, TX.item_descrip(ctx.r.item_features()))
