@@ -187,3 +187,53 @@ def urm_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.sum(diff.cast("long")).alias("n_diff")).select(
         F.coalesce("n_diff", F.lit(0)).cast("long").alias("n_diff"),
         (F.coalesce("n_diff", F.lit(0)) == 0).alias("equal"))
+
+
+def session_accumulate(session: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Add to each session only its best-ranked candidate that is not
+    already in the session.  ``session`` (session_id, item_id, ...),
+    ``candidates`` (session_id, item_id, rank[, date]).  Returns the new
+    session rows (session_id, item_id, rank) - at most one per session."""
+    from pyspark.sql import Window as _W
+    fresh = candidates.join(session.select("session_id", "item_id"), ["session_id", "item_id"], "left_anti")
+    w = _W.partitionBy("session_id").orderBy("rank", "item_id")
+    return fresh.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def session_fallback(queries: DataFrame, added: DataFrame, message: str) -> DataFrame:
+    """Per query session, the added item or the fallback message when
+    nothing new could be added."""
+    return queries.select("session_id").distinct().join(
+        added.select("session_id", F.col("item_id").alias("added_item")), "session_id", "left"
+    ).select("session_id", "added_item",
+             F.when(F.col("added_item").isNull(), F.lit(message)).alias("answer"))
+
+
+def neg_samples(W: DataFrame, items: DataFrame, n: int, seed: int = 42, oversample: float = 3.0,
+                max_rounds: int = 5) -> DataFrame:
+    """``n`` random ordered item pairs (a != b), distinct, not present in
+    W, with value 0.  Pairs are drawn in parallel from ``spark.range`` with a
+    seeded ``rand``; a bounded number of oversampling rounds tops up when
+    too many draws collide.  ``limit`` is the feature here (a sampler)."""
+    spark = W.sparkSession
+    idx = dense_index(items.select("item_id").distinct(), ["item_id"], "_i", start=0)
+    n_items = idx.agg(F.count(F.lit(1)).alias("_n"))
+    existing = W.select(F.col("item_i").alias("item_a"), F.col("item_j").alias("item_b"))
+    got = None
+    for r in range(max_rounds):
+        m = int(n * oversample * (r + 1))
+        draws = with_scalar(spark.range(m), n_items).select(
+            F.floor(F.rand(seed + 2 * r) * F.col("_n")).cast("long").alias("ia"),
+            F.floor(F.rand(seed + 2 * r + 1) * F.col("_n")).cast("long").alias("ib"))
+        pairs = (draws.filter(F.col("ia") != F.col("ib"))
+                 .join(idx.select(F.col("_i").alias("ia"), F.col("item_id").alias("item_a")), "ia")
+                 .join(idx.select(F.col("_i").alias("ib"), F.col("item_id").alias("item_b")), "ib")
+                 .select("item_a", "item_b").distinct()
+                 .join(existing, ["item_a", "item_b"], "left_anti"))
+        got = pairs if got is None else got.unionByName(pairs).distinct()
+        from cartwalk.session import materialize
+        got = materialize(got)
+        if got.limit(n).count() >= n:
+            break
+    return (got.orderBy(F.xxhash64("item_a", "item_b", F.lit(seed)), "item_a", "item_b").limit(n)
+            .withColumn("value", F.lit(0.0)))

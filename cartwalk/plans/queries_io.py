@@ -1 +1,80 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks (IO1-IO10)."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.sql import functions as F
+
+from cartwalk.functions.exprs import r6
+from cartwalk.operators import text as TX
+from cartwalk.plans import recommend as P
+from cartwalk.plans.queries_rec import TRAIN, W20
+from cartwalk.plans.registry import query
+from cartwalk.plans.sqlroles import R6, with_roles
+from cartwalk.sources import io as IO
+
+
+@query("io_interactions", with_roles("SELECT session_id, item_id, date FROM train_views"))
+def io_interactions(ctx):
+    """IO1: train views written as CSV and read back with a declared schema."""
+    path = IO.write_csv(ctx.r.train_views(), IO.new_dir(ctx.spark, "views-csv"))
+    return IO.read_csv(ctx.spark, path, IO.INTERACTIONS)
+
+
+@query("io_item_features", with_roles("SELECT item_id, feature_category_id, feature_value_id FROM item_features"))
+def io_item_features(ctx):
+    """IO2: the long item-feature table through CSV with a declared schema."""
+    f = ctx.r.item_features().select("item_id", "feature_category_id", "feature_value_id")
+    path = IO.write_csv(f, IO.new_dir(ctx.spark, "features-csv"))
+    return IO.read_csv(ctx.spark, path, IO.ITEM_FEATURES)
+
+
+@query("io_candidates", with_roles("SELECT item_id FROM candidate_items"))
+def io_candidates(ctx):
+    """IO3: candidate items through CSV."""
+    path = IO.write_csv(ctx.r.candidate_items(), IO.new_dir(ctx.spark, "candidates-csv"))
+    return IO.read_csv(ctx.spark, path, IO.CANDIDATES)
+
+
+@query("model_roundtrip", with_roles(f"SELECT item_i, item_j, {R6('sim')} AS sim FROM m_w", TRAIN + "," + W20))
+def model_roundtrip(ctx):
+    """IO6 + IO7: fit W, save it with side tables and weights, load it back."""
+    path = IO.new_dir(ctx.spark, "model")
+    IO.save_model(ctx.spark, path, P.fit_w(ctx), ctx.r.candidate_items(), ctx.r.item_features(),
+                  P.VIEW_WEIGHT, P.PURCHASE_WEIGHT)
+    m = IO.load_model(ctx.spark, path)
+    return m["W"].select("item_i", "item_j", r6("sim").alias("sim"))
+
+
+@query("bundle_roundtrip")
+def bundle_roundtrip(ctx):
+    """IO8 + IO9: a bundle with tables, scalars, a list, a nested bundle and
+    a hidden member; returns the reloaded tables' row counts."""
+    path = IO.new_dir(ctx.spark, "bundle")
+    IO.save_bundle(ctx.spark, path, {
+        "urm": P.train_urm(ctx), "purchases": ctx.r.purchases(), "alpha": 1.0, "cutoffs": [5, 10],
+        "nested": {"features": ctx.r.item_features(), "note": "side tables"},
+        ".hidden": "skipped on load"})
+    b = IO.load_bundle(ctx.spark, path)
+    rows = [(k, v.count()) for k, v in sorted(b.items()) if hasattr(v, "count") and not isinstance(v, (list, str))]
+    rows += [("nested." + k, v.count()) for k, v in sorted(b["nested"].items()) if not isinstance(v, str)]
+    return ctx.spark.createDataFrame(rows, "member STRING, n_rows LONG")
+
+
+@query("encoder_roundtrip")
+def encoder_roundtrip(ctx):
+    """IO10: item text, fitted vectorizer and term counts saved together and
+    reloaded; the reloaded vectorizer re-encodes the documents."""
+    path = IO.new_dir(ctx.spark, "encoder")
+    toks = TX.remove_stop_words(TX.tokens(ctx.t.documents, ["doc_id"]), TX.spanish_stop_words(ctx.spark))
+    arrays = toks.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    cv = CountVectorizer(inputCol="tokens", outputCol="vec", vocabSize=TX.VOCAB_SIZE).fit(arrays)
+    cv.write().save(f"{path}/vectorizer")
+    from cartwalk.plans.queries_text import doc_vecs
+    IO.save_bundle(ctx.spark, f"{path}/tables", {
+        "item_text": TX.item_descrip(ctx.r.item_features()), "item_terms": doc_vecs(ctx)})
+    cv2 = CountVectorizerModel.load(f"{path}/vectorizer")
+    enc = cv2.transform(arrays).select("doc_id", "vec")
+    from pyspark.ml.functions import vector_to_array
+    return enc.select("doc_id", F.aggregate(vector_to_array("vec"), F.lit(0.0), lambda a, x: a + x)
+                      .cast("long").alias("n_vocab_tokens"))

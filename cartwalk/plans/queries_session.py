@@ -1 +1,187 @@
-"""Registered queries."""
+"""Registered queries: session operators (S9-S20) and the query pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cartwalk.functions.exprs import r6
+from cartwalk.operators import interactions as I
+from cartwalk.operators import ranking as RK
+from cartwalk.operators import text as TX
+from cartwalk.plans import recommend as P
+from cartwalk.plans.queries_rec import REC, TOPPOP, TRAIN
+from cartwalk.plans.queries_text import DESC_CTES, TEXT_CTES, top_items
+from cartwalk.plans.registry import query
+from cartwalk.plans.sqlroles import R6, urm_cte, with_roles
+from cartwalk.session import materialize
+
+EARLY = urm_cte("early", "early_train", None)
+
+
+@query("item_hot_flag", with_roles("""
+SELECT i.item_id, u.item_id IS NOT NULL AS is_hot, u.item_id IS NULL AS is_cold
+FROM (SELECT DISTINCT item_id FROM test_purchases) i LEFT JOIN (SELECT DISTINCT item_id FROM urm) u USING (item_id)""",
+    TRAIN))
+def item_hot_flag(ctx):
+    """Is each test-purchased item present in train."""
+    return I.item_hot_flag(P.train_urm(ctx), ctx.r.test_purchases().select("item_id").distinct())
+
+
+COLD = """cold_s AS (
+  SELECT v.session_id, bool_and(e.item_id IS NULL) AS is_cold
+  FROM test_views v LEFT JOIN (SELECT DISTINCT item_id FROM early_train) e USING (item_id) GROUP BY v.session_id)"""
+
+
+@query("cold_sessions", with_roles("SELECT session_id, is_cold FROM cold_s", COLD))
+def cold_sessions(ctx):
+    """Test sessions whose every view is absent from the early train."""
+    return I.cold_sessions(ctx.r.early_train(), ctx.r.test_views())
+
+
+@query("one_view_sessions", with_roles("""
+SELECT session_id FROM test_views GROUP BY session_id HAVING count(*) <= 1
+EXCEPT SELECT session_id FROM cold_s WHERE is_cold""", COLD))
+def one_view_sessions(ctx):
+    """Test sessions with at most one view that are not cold."""
+    return I.one_view_sessions(ctx.r.early_train(), ctx.r.test_views())
+
+
+@query("minmax_group", with_roles(f"""
+SELECT session_id, item_id,
+  {R6('(rp3_score - min(rp3_score) OVER w) / nullif(max(rp3_score) OVER w - min(rp3_score) OVER w, 0)')} AS rp3_score,
+  TopPop_score
+FROM (SELECT t.session_id, t.item_id, t.score AS rp3_score, CAST(coalesce(p.pop, 0) AS DOUBLE) AS TopPop_score
+      FROM t_top t LEFT JOIN (SELECT item_id, count(*) AS pop FROM urm GROUP BY 1) p USING (item_id))
+WINDOW w AS (PARTITION BY session_id)""", REC))
+def minmax_group(ctx):
+    """Per-session min-max scaling of the model score (TopPop kept)."""
+    r = P.recommend(ctx, P.test_profile(ctx), P.fit_w(ctx), 10)
+    pop = P.train_urm(ctx).groupBy("item_id").agg(F.count(F.lit(1)).cast("double").alias("TopPop_score"))
+    x = r.select("session_id", "item_id", F.col("score").alias("rp3_score")).join(pop, "item_id", "left") \
+        .fillna(0.0, ["TopPop_score"])
+    return I.minmax_group(x).select("session_id", "item_id", r6("rp3_score").alias("rp3_score"), "TopPop_score")
+
+
+@query("icm_filter", with_roles("""
+SELECT m.idx AS item_id, f.feature_category_id, f.feature_value_id FROM item_features f
+JOIN (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT item_id FROM urm)) m
+  USING (item_id)""", TRAIN))
+def icm_filter(ctx):
+    """Item features of train items, re-indexed by the train mapping."""
+    mapping = I.dense_mapping(P.train_urm(ctx), "item_id")
+    f = ctx.r.item_features().select("item_id", "feature_category_id", "feature_value_id")
+    return I.icm_filter(f, mapping).select("item_id", "feature_category_id", "feature_value_id")
+
+
+@query("rank_explode", with_roles("SELECT session_id, rank AS pos, item_id FROM t_top", REC))
+def rank_explode(ctx):
+    """Per-session ranked lists flattened back to rows."""
+    r = P.recommend(ctx, P.test_profile(ctx), P.fit_w(ctx), 10)
+    lists = r.groupBy("session_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "item_id"))).getField("item_id").alias("items"))
+    return I.rank_explode(lists, "items")
+
+
+@query("remove_top_pop", with_roles(f"""
+SELECT session_id, item_id, {R6('score')} AS score FROM urm WHERE item_id NOT IN (SELECT item_id FROM toppop_items)""",
+    TRAIN + "," + TOPPOP))
+def remove_top_pop(ctx):
+    """Train matrix without the 10% most popular catalogue items."""
+    kept, _, _ = I.remove_top_pop(P.train_urm(ctx), 0.1, n_items=ctx.r.featured_items())
+    return kept.select("session_id", "item_id", r6("score").alias("score"))
+
+
+@query("remove_items", with_roles("""
+SELECT session_id, item_id FROM test_purchases WHERE item_id NOT IN (SELECT item_id FROM excl_items)""",
+    "excl_items AS (SELECT DISTINCT item_id FROM featured_items WHERE item_id NOT IN (SELECT item_id FROM candidate_items))"))
+def remove_items(ctx):
+    """Test purchases without interactions on non-candidate items."""
+    return I.remove_items(ctx.r.test_purchases().select("session_id", "item_id"), P.excluded(ctx))
+
+
+@query("urm_equal", with_roles("""
+SELECT 'train_vs_train' AS pair, CAST(0 AS BIGINT) AS n_diff, TRUE AS equal
+UNION ALL
+SELECT 'train_vs_early', CAST(count(*) AS BIGINT), count(*) = 0 FROM urm a FULL OUTER JOIN early b USING (session_id, item_id)
+WHERE coalesce(a.score, 0) <> coalesce(b.score, 0)""", TRAIN + "," + EARLY))
+def urm_equal(ctx):
+    """Matrix equality (train with itself; train with early train)."""
+    a = P.train_urm(ctx)
+    b = P.views_profile(ctx.r.early_train())
+    same = I.urm_equal(a, P.train_urm(ctx)).select(F.lit("train_vs_train").alias("pair"), "n_diff", "equal")
+    diff = I.urm_equal(a, b).select(F.lit("train_vs_early").alias("pair"), "n_diff", "equal")
+    return same.unionByName(diff)
+
+
+@query("neg_samples")
+def neg_samples(ctx):
+    """1,000 random item pairs absent from W (value 0)."""
+    return I.neg_samples(P.fit_w(ctx), ctx.r.featured_items(), 1000)
+
+
+ACC = TEXT_CTES + """,
+lastturn AS (SELECT conv_id, max(turn) AS last FROM uq GROUP BY 1),
+hist AS (SELECT DISTINCT q.conv_id AS session_id, q.item_id FROM qtop q JOIN lastturn l USING (conv_id)
+  WHERE q.turn < l.last AND q.rank = 1),
+newc AS (SELECT q.conv_id AS session_id, q.item_id, q.rank FROM qtop q JOIN lastturn l USING (conv_id) WHERE q.turn = l.last),
+added AS (SELECT session_id, item_id, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank, item_id) AS rn FROM newc n
+  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.session_id = n.session_id AND h.item_id = n.item_id)) WHERE rn = 1)"""
+
+
+def _history_and_new(ctx):
+    if "encoded" not in ctx.memo:
+        # the encoded candidates are an artefact read by several branches
+        ctx.memo["encoded"] = materialize(top_items(ctx))
+    top = ctx.memo["encoded"]
+    last = top.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    t = top.join(last, "conv_id")
+    hist = (t.filter((F.col("turn") < F.col("last")) & (F.col("rank") == 1))
+            .select(F.col("conv_id").alias("session_id"), "item_id").distinct())
+    new = t.filter(F.col("turn") == F.col("last")).select(
+        F.col("conv_id").alias("session_id"), "item_id", "rank")
+    return hist, new
+
+
+@query("session_accumulate", with_roles("""
+SELECT session_id, item_id, 'history' AS source FROM hist
+UNION ALL SELECT session_id, item_id, 'new' FROM added""", ACC))
+def session_accumulate(ctx):
+    """Each conversation's session (top item of every earlier user turn)
+    plus the best candidate of its last turn that is not yet in it."""
+    hist, new = _history_and_new(ctx)
+    added = I.session_accumulate(hist, new)
+    return hist.withColumn("source", F.lit("history")).unionByName(
+        added.select("session_id", "item_id", F.lit("new").alias("source")))
+
+
+@query("session_fallback", with_roles(f"""
+SELECT s.session_id, a.item_id AS added_item,
+  CASE WHEN a.item_id IS NULL THEN '{TX.NO_RESULT_MESSAGE}' END AS answer
+FROM (SELECT DISTINCT conv_id AS session_id FROM uq) s LEFT JOIN added a USING (session_id)""", ACC))
+def session_fallback(ctx):
+    """The added item, or the fallback answer when nothing is new."""
+    hist, new = _history_and_new(ctx)
+    added = I.session_accumulate(hist, new)
+    sessions = ctx.t.conversations.filter(F.col("role") == "user").select(F.col("conv_id").alias("session_id"))
+    return I.session_fallback(sessions, added, TX.NO_RESULT_MESSAGE)
+
+
+@query("pipe_query")
+def pipe_query(ctx):
+    """Encode every conversation's last query, accumulate its session,
+    recommend from the accumulated session with W, decode to descriptions
+    (fallback answer when no new candidate) - all sessions in one plan."""
+    hist, new = _history_and_new(ctx)
+    added = I.session_accumulate(hist, new)
+    session = hist.unionByName(added.select("session_id", "item_id")).withColumn(
+        "date", F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
+    prof = P.views_profile(session.join(added.select("session_id"), "session_id", "left_semi"))
+    rec = P.recommend(ctx, prof, P.fit_w(ctx), 10)
+    decoded = TX.decode_items(rec, TX.item_descrip(ctx.r.item_features()))
+    fb = I.session_fallback(
+        ctx.t.conversations.filter(F.col("role") == "user").select(F.col("conv_id").alias("session_id")),
+        added, TX.NO_RESULT_MESSAGE)
+    return fb.join(decoded, "session_id", "left").select(
+        "session_id", F.coalesce("item_descrip", F.array(F.col("answer"))).alias("recomendaciones"))

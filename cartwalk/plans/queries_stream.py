@@ -1 +1,43 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cartwalk.plans import recommend as P
+from cartwalk.plans.registry import query
+from cartwalk.streaming import sessions as ST
+
+
+@query("stream_session")
+def stream_session(ctx):
+    """Keyed-state session accumulation over every user turn of every
+    conversation (messages applied in turn order)."""
+    from cartwalk.plans.queries_session import _history_and_new  # noqa: F401  (shared encoder memo)
+    from cartwalk.plans.queries_text import top_items
+    top = top_items(ctx).select(F.col("conv_id").alias("session_id"), "turn", "item_id", "rank")
+    return ST.stream_session(ctx.spark, top)
+
+
+@query("stream_recommend")
+def stream_recommend(ctx):
+    """Micro-batches of test views scored against the fitted W."""
+    W = P.fit_w(ctx)
+
+    def rec(batch):
+        prof = P.views_profile(batch)
+        return P.recommend(ctx, prof, W, 10).select("session_id", "item_id", "rank")
+    return ST.stream_recommend(ctx.spark, ctx.r.test_views(), rec)
+
+
+@query("stream_window_4h")
+def stream_window_4h(ctx):
+    """Approximate distinct purchasing sessions per 4-hour window."""
+    ev = ctx.r.event_interactions().filter(F.col("event_type") == "purchase")
+    return ST.stream_window_4h(ctx.spark, ev)
+
+
+@query("stream_dedup_last")
+def stream_dedup_last(ctx):
+    """Keep-last per (session, item) over the event stream."""
+    return ST.stream_dedup_last(ctx.spark, ctx.r.event_interactions())

@@ -38,6 +38,7 @@ def views_profile(views: DataFrame) -> DataFrame:
 def test_profile(ctx) -> DataFrame:
     if "test_profile" not in ctx.memo:
         ctx.memo["test_profile"] = materialize(views_profile(ctx.r.test_views()))
+        ctx.memo.setdefault("_stored", set()).add(id(ctx.memo["test_profile"]))
     return ctx.memo["test_profile"]
 
 
@@ -46,6 +47,12 @@ def excluded(ctx) -> DataFrame:
 
 
 def recommend(ctx, profile: DataFrame, W: DataFrame, cutoff: int = CUTOFF, **kw) -> DataFrame:
+    """R16 with the catalogue as universe and non-candidates excluded.  The
+    profile is read by several branches (scores, seen items, zero fill), so
+    it is stored once instead of being recomputed per branch."""
+    if id(profile) not in ctx.memo.setdefault("_stored", set()):
+        profile = materialize(profile)
+        ctx.memo["_stored"].add(id(profile))
     return RK.rec_topk(profile, W, ctx.r.featured_items(), cutoff=cutoff,
                        exclude=excluded(ctx), **kw)
 
