@@ -73,20 +73,36 @@ def _docs(ctx):
     return ctx.t.documents.select(F.col("doc_id").alias("item_id"), "text")
 
 
-def vocab(ctx, stem: bool = False):
-    key = ("vocab", stem)
+def doc_term_counts(ctx, stem: bool = False):
+    """(item_id, term, tf) of every document, stop words removed; tokenised
+    once per context and stored."""
+    key = ("doc_terms", stem)
     if key not in ctx.memo:
         t = TX.tokens(_docs(ctx), ["item_id"])
         if stem:
             t = TX.stem_tokens(t)
         t = TX.remove_stop_words(t, _stop(ctx))
         from cartwalk.session import materialize
-        ctx.memo[key] = materialize(TX.fit_vocabulary(TX.term_counts(t, ["item_id"])))
+        ctx.memo[key] = materialize(TX.term_counts(t, ["item_id"]))
+    return ctx.memo[key]
+
+
+def vocab(ctx, stem: bool = False):
+    key = ("vocab", stem)
+    if key not in ctx.memo:
+        from cartwalk.session import materialize
+        ctx.memo[key] = materialize(TX.fit_vocabulary(doc_term_counts(ctx, stem)))
     return ctx.memo[key]
 
 
 def doc_vecs(ctx, stem: bool = False):
-    return TX.doc_vectors(_docs(ctx), "item_id", vocab(ctx, stem), _stop(ctx), stem)
+    """The term-count matrix X of the documents, stored once (an artefact,
+    read by the norms, the inverted-index join and the vectorizer bundle)."""
+    key = ("doc_vecs", stem)
+    if key not in ctx.memo:
+        from cartwalk.session import materialize
+        ctx.memo[key] = materialize(doc_term_counts(ctx, stem).join(vocab(ctx, stem).select("term", "term_id"), "term"))
+    return ctx.memo[key]
 
 
 def query_vecs(ctx, stem: bool = False):

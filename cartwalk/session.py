@@ -81,8 +81,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage: write ``df`` to the shared checkpoint folder and return a
-    DataFrame reading it back.  Used at model/artefact boundaries so later
-    plans stay small and a lost executor does not recompute the fit."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` as a Parquet table under the shared
+    checkpoint folder and return a DataFrame reading it back.  Used at
+    model/artefact boundaries so later plans stay small, a lost executor
+    does not recompute the fit, and the planner sees the table's real size
+    (AQE broadcast decisions, column pruning on read)."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"mat-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

@@ -58,7 +58,7 @@ def _accumulate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     items = list(state.get[0]) if state.exists else []
     seen = set(items)
     rows = []
-    frames = [p for p in pdfs if len(p)]
+    frames = [p for p in pdfs if len(p) and not p.isna().all(axis=None)]
     if frames:
         pdf = pd.concat(frames).sort_values(["turn", "rank", "item_id"])
         for turn, g in pdf.groupby("turn", sort=True):
@@ -78,7 +78,9 @@ def _accumulate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 def stream_session(spark: SparkSession, candidates: DataFrame) -> DataFrame:
     """Run the keyed-state accumulation over candidate messages
     (session_id, turn, item_id, rank) and return its output table."""
-    src = stage_input(candidates.select("session_id", "turn", "item_id", "rank"), spark, "x1")
+    # a live chat delivers a session's messages in order; staging keeps each
+    # session in one file so the replay cannot reorder its turns
+    src = stage_input(candidates.select("session_id", "turn", "item_id", "rank"), spark, "x1", key="session_id")
     s = read_stream(spark, src, "session_id long, turn long, item_id long, rank long")
     out = s.groupBy("session_id").applyInPandasWithState(
         _accumulate, X1_OUT, X1_STATE, "append", GroupStateTimeout.NoTimeout)
