@@ -191,8 +191,10 @@ class EvalInputs:
 
 def evaluate(e: EvalInputs) -> DataFrame:
     """One row per cutoff with all metrics (wide)."""
-    users = eval_users(e.test, e.ignore_items, e.ignore_users, e.min_ratings)
-    rel = eval_relevance(e.ranking, e.test, users, e.cutoffs)
+    from cartwalk.session import materialize
+    users = materialize(eval_users(e.test, e.ignore_items, e.ignore_users, e.min_ratings))
+    # the cut lists with relevance flags feed every metric family: stored once
+    rel = materialize(eval_relevance(e.ranking, e.test, users, e.cutoffs))
     um = user_metrics(rel, e.test, users, e.cutoffs)
     items = e.items.select("item_id").distinct()
     n_items_df = items.agg(F.count(F.lit(1)).alias("n_items"))
@@ -210,6 +212,7 @@ def evaluate(e: EvalInputs) -> DataFrame:
     else:
         um = um.withColumn("div_sim", F.lit(None).cast("double"))
 
+    um = materialize(um)
     acc = um.groupBy("cutoff").agg(
         F.count(F.lit(1)).alias("n_eval"),
         F.avg("precision").alias("PRECISION"),

@@ -109,14 +109,21 @@ def rec_topk(profile: DataFrame, W: DataFrame, universe: DataFrame, cutoff: int
     if not zero_fill:
         return pos
 
-    filler = universe if blocked_global is None else universe.join(blocked_global, "item_id", "left_anti")
-    order = dense_index(filler, ["item_id"], "pos", start=1)
+    # The positive lists are stored once: they are the output and the input
+    # of the fill.  One scalar read decides whether any list is short; when
+    # none is, the fill plan is not run at all.
+    from cartwalk.session import materialize
+    pos = materialize(pos)
     npos = pos.groupBy("session_id").agg(F.count(F.lit(1)).alias("_np"))
-    need = with_scalar(users.join(npos, "session_id", "left"), n_items).select(
+    need = materialize(with_scalar(users.join(npos, "session_id", "left"), n_items).select(
         "session_id",
         F.coalesce("_np", F.lit(0)).alias("_np"),
         (F.least(F.lit(cutoff), F.col("_n") - 1) - F.coalesce("_np", F.lit(0))).alias("need"),
-    )
+    ).filter(F.col("need") > 0))
+    if need.limit(1).count() == 0:
+        return pos
+    filler = universe if blocked_global is None else universe.join(blocked_global, "item_id", "left_anti")
+    order = dense_index(filler, ["item_id"], "pos", start=1)
     blocked = pos.select("session_id", "item_id")
     if remove_seen:
         blocked = blocked.unionByName(profile.select("session_id", "item_id"))

@@ -181,48 +181,86 @@ def top_similar(sim: DataFrame, queries: DataFrame, items: DataFrame, n: int = T
     return top.unionByName(fill)
 
 
-# -- T12 ----------------------------------------------------------------------
-
-def all_pairs_cosine(dv: DataFrame, id_col: str = "item_id", threshold: float = COSINE_THRESHOLD,
-                     block_rows: int = 1024, vocab_size: int = VOCAB_SIZE) -> DataFrame:
-    """Cosine of every item pair above ``threshold`` (diagonal kept,
-    both orders).  Items are cut into blocks of ``block_rows``; each task
-    multiplies two dense blocks (rows x vocabulary) with numpy and keeps only
-    pairs above the threshold, so task memory is bounded by the block size.
+# -- blocked cosine (T9, T10, T12) ------------------------------------------
+
+def blocked_cosine(left: DataFrame, right: DataFrame | None, left_id: str, right_id: str,
+                   threshold: float = COSINE_THRESHOLD, topk: int | None = None,
+                   vocab_size: int = VOCAB_SIZE, block_rows: int = 1024) -> DataFrame:
+    """Cosine of vectors ``(id, term_id, tf)``: every (left, right) pair above
+    ``threshold``, or with ``topk`` only each left id's ``topk`` best (sim
+    desc, right id asc) - exact, because a pair outside its block's top-k
+    cannot be in the global top-k.
+
+    Ids are hashed into ``ceil(n / block_rows)`` blocks; each task multiplies
+    one left block by one right block as dense matrices (the vocabulary is
+    the most frequent terms, so vectors are dense) and keeps only pairs above
+    the threshold.  Task memory is bounded by the block size, and no task
+    ever holds the postings of a common term for the whole corpus.  With
+    ``right=None`` the left table is paired with itself (T12): block pairs
+    b1 <= b2, mirrored, diagonal kept.
     """
-    idx = dense_index(dv.select(id_col).distinct(), [id_col], "_idx", start=0)
-    rows = dv.join(idx, id_col).withColumn("blk", F.floor(F.col("_idx") / block_rows).cast("long"))
-    blocks = rows.select("blk").distinct()
-    # Block pairs (b1 <= b2): ceil(n / block_rows)^2 / 2 rows, a table that
-    # grows with the square of the block count, not of the item count.
-    pairs = blocks.select(F.col("blk").alias("b1")).join(
-        blocks.select(F.col("blk").alias("b2")), F.col("b1") <= F.col("b2"))
-    left = rows.select(F.col("blk").alias("b1"), F.col(id_col).alias("id"), "term_id", "tf", F.lit(0).alias("side"))
-    right = rows.select(F.col("blk").alias("b2"), F.col(id_col).alias("id"), "term_id", "tf", F.lit(1).alias("side"))
-    cols = ["b1", "b2", "id", "term_id", "tf", "side"]
-    data = pairs.join(left, "b1").select(*cols).unionByName(pairs.join(right, "b2").select(*cols))
-
-    def block_product(pdf: pd.DataFrame) -> pd.DataFrame:
+    spark = left.sparkSession
+    self_pairs = right is None
+    lt = dict(left.dtypes)[left_id]
+    rt = lt if self_pairs else dict(right.dtypes)[right_id]
+
+    def n_blocks(df, idc):
+        n = df.select(idc).distinct().count()
+        return max(1, -(-n // block_rows))
+
+    nl = n_blocks(left, left_id)
+    nr = nl if self_pairs else n_blocks(right, right_id)
+    L = left.select(F.col(left_id).alias("lid"), F.lit(None).cast(rt).alias("rid"), "term_id", "tf",
+                    F.pmod(F.xxhash64(left_id), F.lit(nl)).alias("lb"))
+    src_r = left if self_pairs else right
+    rcol = left_id if self_pairs else right_id
+    R = src_r.select(F.lit(None).cast(lt).alias("lid"), F.col(rcol).alias("rid"), "term_id", "tf",
+                     F.pmod(F.xxhash64(rcol), F.lit(nr)).alias("rb"))
+    # block-pair table: at most nl * nr rows (blocks, not items)
+    lb = spark.range(nl).select(F.col("id").alias("lb"))
+    rb = spark.range(nr).select(F.col("id").alias("rb"))
+    pairs = lb.join(rb, (F.col("lb") <= F.col("rb")) if self_pairs else F.lit(True))
+    cols = ["lb", "rb", "lid", "rid", "term_id", "tf", "side"]
+    data = pairs.join(L.withColumn("side", F.lit(0)), "lb").select(*cols).unionByName(
+        pairs.join(R.withColumn("side", F.lit(1)), "rb").select(*cols))
+    out_schema = f"{left_id} {lt}, {right_id} {rt}, sim double"
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf[pdf.side == 0]
         b = pdf[pdf.side == 1]
-        same = pdf.b1.iloc[0] == pdf.b2.iloc[0]
-        ida, ia = np.unique(a.id.values, return_inverse=True)
-        idb, ib = np.unique(b.id.values, return_inverse=True)
+        mirror = self_pairs and pdf.lb.iloc[0] != pdf.rb.iloc[0]
+        ida, ia = np.unique(a.lid.values, return_inverse=True)
+        idb, ib = np.unique(b.rid.values, return_inverse=True)
         A = np.zeros((len(ida), vocab_size))
         B = np.zeros((len(idb), vocab_size))
         np.add.at(A, (ia, a.term_id.values.astype(np.int64)), a.tf.values.astype(np.float64))
         np.add.at(B, (ib, b.term_id.values.astype(np.int64)), b.tf.values.astype(np.float64))
-        na = np.linalg.norm(A, axis=1)
-        nb = np.linalg.norm(B, axis=1)
-        S = (A @ B.T) / np.outer(na, nb)
-        r, c = np.nonzero(S > threshold)
-        out = pd.DataFrame({"item_a": ida[r], "item_b": idb[c], "sim": S[r, c]})
-        if not same:
-            out = pd.concat([out, out.rename(columns={"item_a": "item_b", "item_b": "item_a"})],
+        S = (A @ B.T) / np.outer(np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1))
+        S = np.where(S > threshold, S, 0.0)
+        r, c = np.nonzero(S)
+        res = pd.DataFrame({left_id: ida[r], right_id: idb[c], "sim": S[r, c]})
+        if mirror:
+            res = pd.concat([res, res.rename(columns={left_id: right_id, right_id: left_id})[res.columns]],
                             ignore_index=True)
-        return out[["item_a", "item_b", "sim"]]
+        if topk is not None and len(res):
+            res["_k"] = -np.floor(res["sim"].values * 1e12 + 0.5)
+            res = (res.sort_values([left_id, "_k", right_id]).groupby(left_id, sort=False).head(topk)
+                   .drop(columns="_k"))
+        return res
+
+    sims = data.groupBy("lb", "rb").applyInPandas(product, out_schema)
+    if topk is None:
+        return sims
+    w = Window.partitionBy(left_id).orderBy(rank_key("sim").desc(), F.col(right_id))
+    return sims.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= topk).drop("_r")
 
-    return data.groupBy("b1", "b2").applyInPandas(block_product, "item_a long, item_b long, sim double")
+
+def all_pairs_cosine(dv: DataFrame, id_col: str = "item_id", threshold: float = COSINE_THRESHOLD,
+                     block_rows: int = 1024, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """Cosine of every item pair above ``threshold`` (diagonal kept,
+    both orders), block against block."""
+    return blocked_cosine(dv.withColumnRenamed(id_col, "item_a"), None, "item_a", "item_b", threshold,
+                          None, vocab_size, block_rows)
 
 
 # -- T11, T13 -----------------------------------------------------------------

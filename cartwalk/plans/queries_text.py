@@ -106,14 +106,19 @@ def doc_vecs(ctx, stem: bool = False):
 
 
 def query_vecs(ctx, stem: bool = False):
-    q = _queries(ctx)
-    v = TX.doc_vectors(q.select("query_id", "text"), "query_id", vocab(ctx, stem), _stop(ctx), stem)
-    return v.join(q.select("query_id", "conv_id", "turn"), "query_id")
+    key = ("query_vecs", stem)
+    if key not in ctx.memo:
+        from cartwalk.session import materialize
+        q = _queries(ctx)
+        v = TX.doc_vectors(q.select("query_id", "text"), "query_id", vocab(ctx, stem), _stop(ctx), stem)
+        ctx.memo[key] = materialize(v.join(q.select("query_id", "conv_id", "turn"), "query_id"))
+    return ctx.memo[key]
 
 
 def top_items(ctx, stem: bool = False):
     qv = query_vecs(ctx, stem)
-    sim = TX.query_item_cosine(qv, doc_vecs(ctx, stem))
+    sim = TX.blocked_cosine(qv.select("query_id", "term_id", "tf"), doc_vecs(ctx, stem), "query_id", "item_id",
+                            topk=TX.TOP_N)
     top = TX.top_similar(sim, _queries(ctx), _docs(ctx), TX.TOP_N)
     return top.join(_queries(ctx).select("query_id", "conv_id", "turn"), "query_id")
 
@@ -201,7 +206,8 @@ def text_query_terms(ctx):
     f"SELECT conv_id, turn, item_id, {R6('sim')} AS sim FROM qsim WHERE sim > {TX.COSINE_THRESHOLD}", TEXT_CTES))
 def sim_query_items(ctx):
     """Query-to-document cosine above 0.1."""
-    sim = TX.query_item_cosine(query_vecs(ctx), doc_vecs(ctx))
+    qv = query_vecs(ctx)
+    sim = TX.blocked_cosine(qv.select("query_id", "term_id", "tf"), doc_vecs(ctx), "query_id", "item_id")
     return sim.join(_queries(ctx).select("query_id", "conv_id", "turn"), "query_id").select(
         "conv_id", "turn", "item_id", r6("sim").alias("sim"))
 
