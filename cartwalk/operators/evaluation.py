@@ -89,8 +89,10 @@ def user_metrics(rel: DataFrame, test: DataFrame, users: DataFrame, cutoffs: lis
     )
     tcount = test.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_test"))
     ideal_w = Window.partitionBy("session_id").orderBy(F.col("score").desc(), F.col("item_id"))
+    # only the first max(cutoff) ideal positions matter; filtering right after
+    # row_number lets Spark keep at most that many rows per user per task
     ideal = test.select("session_id", "item_id", F.col("score").cast("double").alias("score")).withColumn(
-        "pos", F.row_number().over(ideal_w))
+        "pos", F.row_number().over(ideal_w)).filter(F.col("pos") <= max(cutoffs))
     ks = F.array(*[F.lit(int(k)) for k in cutoffs])
     idcg = (ideal.select(F.explode(ks).alias("cutoff"), "*").filter(F.col("pos") <= F.col("cutoff"))
             .groupBy("cutoff", "session_id")

@@ -22,6 +22,7 @@ from cartwalk.operators.ids import dense_index
 # Word-token pattern (two or more letters, digits or
 # underscores, the vectorizer's default) and thresholds.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+TOKEN_SEPARATOR = r"[^\p{L}\p{N}_]+"
 COSINE_THRESHOLD = 0.1
 TOP_N = 5
 VOCAB_SIZE = 5000
@@ -88,9 +89,13 @@ def collapse_double_spaces(df: DataFrame, col: str) -> DataFrame:
 
 def tokens(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Lower-cased word tokens with their position: (ids..., pos, token).
-    Whole texts are tokenised; nothing is truncated."""
-    return df.select(*id_cols, F.posexplode(
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "token"))
+
+    Tokens are the maximal runs of letters, digits and underscores of length
+    two or more (``TOKEN_PATTERN``); splitting on the complement and dropping
+    short pieces gives exactly those runs and is cheaper than extracting
+    matches.  Whole texts are tokenised; nothing is truncated."""
+    parts = F.split(F.lower(F.col(text_col)), TOKEN_SEPARATOR)
+    return (df.select(*id_cols, F.posexplode(F.filter(parts, lambda w: F.length(w) >= 2)).alias("pos", "token")))
 
 
 def stem_tokens(toks: DataFrame) -> DataFrame:
@@ -191,6 +196,7 @@ def blocked_cosine(left: DataFrame, right: DataFrame | None, left_id: str, right
     desc, right id asc) - exact, because a pair outside its block's top-k
     cannot be in the global top-k.
 
+    Each vector travels as one packed row (term ids and counts as arrays).
     Ids are hashed into ``ceil(n / block_rows)`` blocks; each task multiplies
     one left block by one right block as dense matrices (the vocabulary is
     the most frequent terms, so vectors are dense) and keeps only pairs above
@@ -210,12 +216,17 @@ def blocked_cosine(left: DataFrame, right: DataFrame | None, left_id: str, right
 
     nl = n_blocks(left, left_id)
     nr = nl if self_pairs else n_blocks(right, right_id)
-    L = left.select(F.col(left_id).alias("lid"), F.lit(None).cast(rt).alias("rid"), "term_id", "tf",
-                    F.pmod(F.xxhash64(left_id), F.lit(nl)).alias("lb"))
+    def packed(df, idc):
+        # one row per vector: (id, term ids, counts) - what crosses into Python
+        return df.groupBy(idc).agg(F.collect_list(F.struct("term_id", "tf")).alias("v")).select(
+            idc, F.col("v.term_id").alias("term_id"), F.col("v.tf").cast("array<double>").alias("tf"))
+
+    L = packed(left, left_id).select(F.col(left_id).alias("lid"), F.lit(None).cast(rt).alias("rid"), "term_id", "tf",
+                                     F.pmod(F.xxhash64(left_id), F.lit(nl)).alias("lb"))
     src_r = left if self_pairs else right
     rcol = left_id if self_pairs else right_id
-    R = src_r.select(F.lit(None).cast(lt).alias("lid"), F.col(rcol).alias("rid"), "term_id", "tf",
-                     F.pmod(F.xxhash64(rcol), F.lit(nr)).alias("rb"))
+    R = packed(src_r, rcol).select(F.lit(None).cast(lt).alias("lid"), F.col(rcol).alias("rid"), "term_id", "tf",
+                                   F.pmod(F.xxhash64(rcol), F.lit(nr)).alias("rb"))
     # block-pair table: at most nl * nr rows (blocks, not items)
     lb = spark.range(nl).select(F.col("id").alias("lb"))
     rb = spark.range(nr).select(F.col("id").alias("rb"))
@@ -229,12 +240,15 @@ def blocked_cosine(left: DataFrame, right: DataFrame | None, left_id: str, right
         a = pdf[pdf.side == 0]
         b = pdf[pdf.side == 1]
         mirror = self_pairs and pdf.lb.iloc[0] != pdf.rb.iloc[0]
-        ida, ia = np.unique(a.lid.values, return_inverse=True)
-        idb, ib = np.unique(b.rid.values, return_inverse=True)
-        A = np.zeros((len(ida), vocab_size))
-        B = np.zeros((len(idb), vocab_size))
-        np.add.at(A, (ia, a.term_id.values.astype(np.int64)), a.tf.values.astype(np.float64))
-        np.add.at(B, (ib, b.term_id.values.astype(np.int64)), b.tf.values.astype(np.float64))
+        def dense(rows):
+            M = np.zeros((len(rows), vocab_size))
+            lens = rows.term_id.map(len).values
+            if lens.sum():
+                r = np.repeat(np.arange(len(rows)), lens)
+                M[r, np.concatenate(rows.term_id.values).astype(np.int64)] = np.concatenate(rows.tf.values)
+            return M
+        ida, idb = a.lid.values, b.rid.values
+        A, B = dense(a), dense(b)
         S = (A @ B.T) / np.outer(np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1))
         S = np.where(S > threshold, S, 0.0)
         r, c = np.nonzero(S)

@@ -70,7 +70,8 @@ def _stop(ctx):
 
 
 def _docs(ctx):
-    return ctx.t.documents.select(F.col("doc_id").alias("item_id"), "text")
+    from cartwalk.session import spread
+    return spread(ctx.t.documents.select(F.col("doc_id").alias("item_id"), "text"))
 
 
 def doc_term_counts(ctx, stem: bool = False):

@@ -19,8 +19,12 @@ CUTOFF = 10             # serving cutoff
 
 
 def train_urm(ctx) -> DataFrame:
-    merged = I.merge_interactions(ctx.r.train_views(), ctx.r.train_purchases())
-    return I.prepare_profile(merged, VIEW_WEIGHT, PURCHASE_WEIGHT)
+    """The train interaction matrix, stored once per context: the fit reads
+    it three times (per-user and per-item statistics, the pair join)."""
+    if "train_urm" not in ctx.memo:
+        merged = I.merge_interactions(ctx.r.train_views(), ctx.r.train_purchases())
+        ctx.memo["train_urm"] = materialize(I.prepare_profile(merged, VIEW_WEIGHT, PURCHASE_WEIGHT))
+    return ctx.memo["train_urm"]
 
 
 def fit_w(ctx, topk: int = TOPK, **kw) -> DataFrame:

@@ -91,3 +91,18 @@ def materialize(df):
     path = scratch_path(spark, f"mat-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, key: str | None = None):
+    """Give CPU-heavy per-row work (tokenising whole texts) enough tasks.
+
+    A small table stored in one file is scanned by one task; only when the
+    scan has fewer partitions than the cluster's default parallelism is it
+    repartitioned.  A large input already has many splits, so no extra
+    shuffle happens at scale.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
