@@ -332,9 +332,9 @@ def eval_report(wide: DataFrame) -> DataFrame:
     cols = [m for m in METRICS if m in wide.columns]
     stack = "stack({n}, {args}) AS (metric, value)".format(
         n=len(cols), args=", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in cols))
-    long = wide.select("cutoff", F.expr(stack))
+    long = wide.select("cutoff", F.expr(stack)).withColumn("value", r6("value"))
     return long.select(
-        "cutoff", "metric", r6("value").alias("value"),
+        "cutoff", "metric", "value",
         F.format_string("CUTOFF: %d - %s: %.7f", F.col("cutoff"), F.col("metric"), F.col("value")).alias("line"))
 
 
