@@ -39,8 +39,9 @@ class Ctx:
     """Everything a query needs: the session, tables and role builders."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        from cartwalk.session import _apply
+        from cartwalk.session import _apply, ship_package
         _apply(spark)
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.t = Tables(spark, sf_dir)

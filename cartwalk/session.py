@@ -49,6 +49,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     _apply(spark)
+    ship_package(spark)
     return spark
 
 
@@ -106,3 +107,32 @@ def spread(df, key: str | None = None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cartwalk`` importable in executor Python workers (pandas UDFs,
+    ``applyInPandas``, stream state functions) by zipping the package once
+    per Spark context and adding it with ``addPyFile`` - the same thing
+    ``--py-files`` does on a cluster.  Harmless when the package is already
+    installed on the executors."""
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import cartwalk
+    pkg = os.path.dirname(os.path.abspath(cartwalk.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(suffix=".zip", prefix="cartwalk-")
+    with zipfile.ZipFile(os.fdopen(fd, "wb"), "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
