@@ -115,11 +115,11 @@ def rec_topk(profile: DataFrame, W: DataFrame, universe: DataFrame, cutoff: int
     from cartwalk.session import materialize
     pos = materialize(pos)
     npos = pos.groupBy("session_id").agg(F.count(F.lit(1)).alias("_np"))
-    need = materialize(with_scalar(users.join(npos, "session_id", "left"), n_items).select(
+    need = with_scalar(users.join(npos, "session_id", "left"), n_items).select(
         "session_id",
         F.coalesce("_np", F.lit(0)).alias("_np"),
         (F.least(F.lit(cutoff), F.col("_n") - 1) - F.coalesce("_np", F.lit(0))).alias("need"),
-    ).filter(F.col("need") > 0))
+    ).filter(F.col("need") > 0)
     if need.limit(1).count() == 0:
         return pos
     filler = universe if blocked_global is None else universe.join(blocked_global, "item_id", "left_anti")
