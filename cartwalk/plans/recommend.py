@@ -22,7 +22,7 @@ def train_urm(ctx) -> DataFrame:
     """The train interaction matrix, stored once per context: the fit reads
     it three times (per-user and per-item statistics, the pair join)."""
     if "train_urm" not in ctx.memo:
-        merged = I.merge_interactions(ctx.r.train_views(), ctx.r.train_purchases())
+        merged = ctx.r.train_lines()   # = merge_interactions(train views, train purchases)
         ctx.memo["train_urm"] = materialize(I.prepare_profile(merged, VIEW_WEIGHT, PURCHASE_WEIGHT))
     return ctx.memo["train_urm"]
 

@@ -16,15 +16,6 @@ from cartwalk.sources.tables import Tables
 
 EARLY_TRAIN_CUT = "1995-06-01 00:00:00"
 
-# Feature categories derived from part columns
-# (category id, category literal, source expression).
-FEATURE_CATEGORIES = [
-    (55, "brand"),
-    (72, "type"),
-    (30, "colour"),
-    (68, "product"),
-    (50, "size"),
-]
 
 
 class Roles:
@@ -77,6 +68,12 @@ class Roles:
         return self._get("views", lambda: self.lines_tagged()
                          .filter(~F.col("is_purchase")).select("session_id", "item_id", "date"))
 
+    def train_lines(self) -> DataFrame:
+        """Train views and purchases in one pass over the tagged lines
+        (session, item, date, is_purchase) - the merged form of S1 without a
+        union of two branches."""
+        return self.lines_tagged().filter(F.col("session_id") % 10 != 0)
+
     def train_views(self) -> DataFrame:
         return self.views().filter(F.col("session_id") % 10 != 0)
 
