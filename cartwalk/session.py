@@ -119,7 +119,7 @@ def ship_package(spark: SparkSession) -> None:
     ``--py-files`` does on a cluster.  Harmless when the package is already
     installed on the executors."""
     sc = spark.sparkContext
-    key = id(sc)
+    key = sc.applicationId  # unique per context, unlike id(), which can be reused
     if key in _SHIPPED:
         return
     import zipfile
