@@ -12,7 +12,7 @@ from cartwalk.operators import walk as WK
 from cartwalk.plans import recommend as P
 from cartwalk.plans.queries_rec import REC
 from cartwalk.plans.registry import query
-from cartwalk.session import materialize
+from cartwalk.session import is_stored, materialize
 from cartwalk.plans.sqlroles import R6, topk_ctes, urm_cte, with_roles
 
 CUTOFFS = [5, 10]
@@ -163,7 +163,8 @@ def eval_inputs(ctx, ranking=None, cutoffs=CUTOFFS, div=True):
     prof = P.test_profile(ctx)
     if ranking is None:
         ranking = P.recommend(ctx, prof, P.fit_w(ctx), max(cutoffs))
-    ranking = materialize(ranking)
+    if not is_stored(ranking):
+        ranking = materialize(ranking)
     test = I.urm_build(I.dedup_last(I.interaction_score(ctx.r.test_purchases(), 1.0)))
     return EV.EvalInputs(
         ranking=ranking, test=test, pop_src=prof, items=ctx.r.featured_items(),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cartwalk.operators import interactions as I
 from cartwalk.operators import ranking as RK
 from cartwalk.operators import walk as WK
-from cartwalk.session import materialize
+from cartwalk.session import is_stored, materialize
 
 # Parameters of the registered recommender queries.
 VIEW_WEIGHT = 0.2       # the reference's fallback when a model carries none
@@ -42,7 +42,6 @@ def views_profile(views: DataFrame) -> DataFrame:
 def test_profile(ctx) -> DataFrame:
     if "test_profile" not in ctx.memo:
         ctx.memo["test_profile"] = materialize(views_profile(ctx.r.test_views()))
-        ctx.memo.setdefault("_stored", set()).add(id(ctx.memo["test_profile"]))
     return ctx.memo["test_profile"]
 
 
@@ -54,9 +53,8 @@ def recommend(ctx, profile: DataFrame, W: DataFrame, cutoff: int = CUTOFF, **kw)
     """R16 with the catalogue as universe and non-candidates excluded.  The
     profile is read by several branches (scores, seen items, zero fill), so
     it is stored once instead of being recomputed per branch."""
-    if id(profile) not in ctx.memo.setdefault("_stored", set()):
+    if not is_stored(profile):
         profile = materialize(profile)
-        ctx.memo["_stored"].add(id(profile))
     return RK.rec_topk(profile, W, ctx.r.featured_items(), cutoff=cutoff,
                        exclude=excluded(ctx), **kw)
 

@@ -91,7 +91,14 @@ def materialize(df):
     spark = df.sparkSession
     path = scratch_path(spark, f"mat-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._cartwalk_stored = True
+    return out
+
+
+def is_stored(df) -> bool:
+    """True for a DataFrame returned by ``materialize`` (a plain scan)."""
+    return getattr(df, "_cartwalk_stored", False)
 
 
 def spread(df, key: str | None = None):
