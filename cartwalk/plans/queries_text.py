@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
 from cartwalk.operators import text as TX
 from cartwalk.plans import recommend as P
 from cartwalk.plans.queries_rec import REC
-from cartwalk.plans.registry import query
+from cartwalk.plans.registry import STOP_WORDS, query
 from cartwalk.plans.sqlroles import R6, with_roles
 
 QUERY_TS = "2024-06-01 12:00:00"
 
 
-def _stop_words_sql() -> str:
-    """The stop list Spark ships (read from Spark's own jar) as SQL values."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    words = zipfile.ZipFile(jars[0]).read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode().split()
-    return ", ".join("('" + w.replace("'", "''") + "')" for w in words)
-
-
-STOP_CTE = f"stop_words AS (SELECT * FROM (VALUES {_stop_words_sql()}) t(token))"
+STOP_CTE = f"stop_words AS (SELECT * FROM (VALUES {STOP_WORDS}) t(token))"
 PAT = TX.TOKEN_PATTERN
 TEXT_CTES = STOP_CTE + f""",
 dtok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{PAT}')) AS token FROM documents),

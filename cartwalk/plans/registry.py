@@ -20,6 +20,21 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+# Stands for the stop-word rows in oracle SQL until the text is rendered, so
+# that importing the plans needs no JVM and no file of the Spark install.
+STOP_WORDS = "%STOP_WORDS%"
+
+
+def oracle_text(q: Query) -> str:
+    """The oracle SQL of ``q`` with the stop-word list filled in.  The list is
+    the one the operators use, asked from Spark itself."""
+    if STOP_WORDS not in q.sql:
+        return q.sql
+    from cartwalk.operators.text import spanish_stop_words
+    from cartwalk.session import get_spark
+    rows = ", ".join("('" + w.replace("'", "''") + "')" for w in spanish_stop_words(get_spark()))
+    return q.sql.replace(STOP_WORDS, rows)
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(ctx) -> DataFrame`` under ``name``."""

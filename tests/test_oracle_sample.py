@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from cartwalk.plans.registry import load_all
+from cartwalk.plans.registry import load_all, oracle_text
 from cartwalk.sources.tables import TABLES, table_path
 from conftest import SF001
 
@@ -36,7 +36,7 @@ def test_against_oracle(spark, con, name):
     df = q.build(spark, SF001)
     cols = df.columns
     got = sorted((tuple(_norm(x) for x in r) for r in df.collect()), key=repr)
-    cur = con.execute(q.sql)
+    cur = con.execute(oracle_text(q))
     dcols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(dcols)
     idx = [dcols.index(c) for c in cols]

@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 from cartwalk.session import get_spark  # noqa: E402
-from cartwalk.plans.registry import load_all  # noqa: E402
+from cartwalk.plans.registry import load_all, oracle_text  # noqa: E402
 from cartwalk.sources.tables import TABLES, table_path  # noqa: E402
 
 
@@ -63,7 +63,7 @@ def main():
             print(f"rows {name}: {len(srows)} rows ({ts:.1f}s)")
             continue
         try:
-            cur = con.execute(q.sql)
+            cur = con.execute(oracle_text(q))
             dcols = [d[0] for d in cur.description]
             drows = [tuple(norm(x) for x in r) for r in cur.fetchall()]
         except Exception as e:  # noqa: BLE001
