@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwalk.llm import substrings
+from cartwalk.llm import quality, simhash, substrings
 from cartwalk.sources.tables import read_table
 
 
@@ -14,13 +14,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word SimHash fingerprints are linked at 2
+    or fewer differing bits."""
+    return simhash.near_duplicates_digest(_documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdicts of the base rules and of the
+    robust outlier test by language and source."""
+    return quality.quality_digest(_documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under repeated 35-word windows removed from every document."""
     return substrings.repeats_digest(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_substring_dedup,)
+    f.__name__: f for f in (
+        op6_simhash_near_dedup, op9_quality_rules, op10_substring_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
