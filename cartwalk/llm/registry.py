@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwalk.llm import quality, simhash, substrings
+from cartwalk.llm import decontaminate, quality, simhash, substrings
 from cartwalk.sources.tables import read_table
 
 
@@ -20,6 +20,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates_digest(_documents(spark, sf_dir))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, as they are or with other
+    numbers and names."""
+    return decontaminate.hits(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdicts of the base rules and of the
     robust outlier test by language and source."""
@@ -33,7 +39,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op6_simhash_near_dedup, op9_quality_rules, op10_substring_dedup,
+        op6_simhash_near_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
     )
 }
 
