@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwalk.llm import decontaminate, quality, simhash, substrings
+from cartwalk.llm import bpe, decontaminate, quality, simhash, substrings
 from cartwalk.sources.tables import read_table
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and the text decoded from them."""
+    return bpe.codec_digest(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word SimHash fingerprints are linked at 2
     or fewer differing bits."""
@@ -39,7 +47,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op6_simhash_near_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
+        op3_bpe_codec, op6_simhash_near_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
     )
 }
 
