@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwalk.llm import bpe, decontaminate, quality, simhash, substrings
+from cartwalk.llm import bpe, decontaminate, quality, simhash, substrings, tokenfiles
 from cartwalk.sources.tables import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates_digest(_documents(spark, sf_dir))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text written to rANS-coded files and every
+    document read back from them."""
+    return tokenfiles.files_digest(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, as they are or with other
     numbers and names."""
@@ -47,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_bpe_codec, op6_simhash_near_dedup, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
+        op3_bpe_codec, op6_simhash_near_dedup, op7_token_files, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
     )
 }
 
