@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwalk.llm import bpe, decontaminate, quality, shards, simhash, substrings, tokenfiles
+from cartwalk.llm import bpe, decontaminate, lm, quality, shards, simhash, substrings, tokenfiles
 from cartwalk.sources.tables import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every whole text under the add-one unigram base
+    and the log-bilinear model, both learnt from six sevenths of the table."""
+    return lm.scores_digest(_documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a uniformly random order in 16 shards whose row
     counts differ by at most one."""
@@ -59,7 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_sharding, op3_bpe_codec, op6_simhash_near_dedup, op7_token_files, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
+        op1_lm_scoring, op2_sharding, op3_bpe_codec, op6_simhash_near_dedup, op7_token_files, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
     )
 }
 
