@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwalk.llm import bpe, decontaminate, lm, quality, shards, simhash, substrings, tokenfiles
+from cartwalk.llm import bpe, decontaminate, html, licenses, lm, quality, shards, simhash, substrings, tokenfiles
 from cartwalk.sources.tables import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,17 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.codec_digest(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and visible text of every page, laid out."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    return html.extract_text(pages).select("page_id", "title", "text")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and texts in every document."""
+    return licenses.licenses_digest(_documents(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word SimHash fingerprints are linked at 2
     or fewer differing bits."""
@@ -65,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_lm_scoring, op2_sharding, op3_bpe_codec, op6_simhash_near_dedup, op7_token_files, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
+        op1_lm_scoring, op2_sharding, op3_bpe_codec, op4_html_extraction, op5_license_scan, op6_simhash_near_dedup, op7_token_files, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
     )
 }
 
