@@ -2,18 +2,18 @@
 
 * X1 ``stream_session``   keyed state per session (``applyInPandasWithState``):
                            each message adds its best candidate not yet in the
-                           session; messages of a session are applied in turn order
+                           session; state of a session silent for ``IDLE_MS`` expires
 * X2 ``stream_recommend``  ``foreachBatch``: new interactions of a micro-batch
                            joined to the static model W and ranked
 * X3 ``stream_window_4h``  watermark + 4-hour tumbling window,
                            ``approx_count_distinct`` of sessions
-* X4 ``stream_dedup_last`` watermark + ``max_by`` keep-last per (session, item)
-                           in update mode, merged into a table by batch id
+* X4 ``stream_dedup_last`` watermark + keep-last per (day, session, item); the
+                           days are merged by a maximum when read
 
-Sources are Parquet folders read with ``readStream`` and a declared schema;
-checkpoints live under the shared checkpoint folder.  ``run_available``
-drives a query with ``availableNow`` so a finite input is processed to the
-end (the batch twin of a continuous run).
+A replay arrives in time order: the input is staged as range-partitioned files
+whose modification times follow the range, which is the order in which the file
+source takes them, so a watermark finds no row late.  Sinks are one folder per
+batch id, overwritten when a batch is repeated.
 """
 
 from __future__ import annotations
@@ -28,16 +28,49 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cartwalk.sources.io import new_dir
 
 
-def stage_input(df: DataFrame, spark: SparkSession, kind: str, files: int = 4, key: str | None = None) -> str:
-    """Write a batch table as the Parquet files a stream will read (with
-    ``key``, all rows of a key land in one file, i.e. one micro-batch)."""
+# A session without messages for this long, in event time, gives up its state.
+IDLE_MS = 3_600_000
+# Micro-batches of a replay, whatever its size.
+BATCHES = 4
+
+
+def stage_input(df: DataFrame, spark: SparkSession, kind: str, order: str | None = None, key: str | None = None) -> tuple[str, int]:
+    """Write a batch table as the Parquet files a stream will read; gives the
+    path and the files to take per trigger.  With ``order``, files hold
+    ascending ranges of it and arrive in that order; with ``key``, all rows of a
+    key land in one file, i.e. one micro-batch."""
     path = new_dir(spark, f"stream-in-{kind}")
-    (df.repartition(files, key) if key else df.repartition(files)).write.mode("error").parquet(path)
-    return path
+    n = max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(n, order) if order else df.repartition(n, key)
+    dealt.write.mode("error").parquet(path)
+    return path, max(1, _arrive_in_order(spark, path) // BATCHES)
+
+
+def _arrive_in_order(spark: SparkSession, path: str) -> int:
+    """Give the files of a folder modification times in the order of their
+    part numbers (one metadata call per file); returns their number."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((str(f.getPath()), f.getPath(), f.getModificationTime()) for f in fs.listStatus(folder)
+                   if f.getPath().getName().startswith("part-"))
+    first = min((t for _, _, t in files), default=0) // 1000 * 1000 - 1000 * len(files)
+    for i, (_, p, _) in enumerate(files):
+        fs.setTimes(p, first + 1000 * i, -1)
+    return len(files)
+
+
+def read_stream(spark: SparkSession, staged: tuple[str, int], schema) -> DataFrame:
+    path, per_trigger = staged
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def batch_writer(sink: str):
+    """``foreachBatch`` function that makes each batch one folder of ``sink``;
+    a repeated batch replaces its folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+    return write
 
 
 def run_available(writer, name: str):
@@ -70,7 +103,11 @@ def _accumulate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
                     items.append(added)
                     break
             rows.append((int(key[0]), int(turn), added, len(items)))
-    state.update((items,))
+    if state.hasTimedOut:
+        state.remove()
+    else:
+        state.update((items,))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + IDLE_MS)
     yield pd.DataFrame(rows, columns=["session_id", "turn", "added_item", "session_size"]).astype(
         {"added_item": "Int64"})
 
@@ -78,12 +115,12 @@ def _accumulate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 def stream_session(spark: SparkSession, candidates: DataFrame) -> DataFrame:
     """Run the keyed-state accumulation over candidate messages
     (session_id, turn, item_id, rank) and return its output table."""
-    # a live chat delivers a session's messages in order; staging keeps each
-    # session in one file so the replay cannot reorder its turns
-    src = stage_input(candidates.select("session_id", "turn", "item_id", "rank"), spark, "x1", key="session_id")
-    s = read_stream(spark, src, "session_id long, turn long, item_id long, rank long")
+    src = stage_input(candidates.select("session_id", "turn", "item_id", "rank"), spark, "x1", order="turn")
+    # Turns stand for the time of a message, a minute apart.
+    s = read_stream(spark, src, "session_id long, turn long, item_id long, rank long").withColumn(
+        "ts", F.timestamp_seconds(86_400 + F.col("turn") * 60)).withWatermark("ts", "1 minute")
     out = s.groupBy("session_id").applyInPandasWithState(
-        _accumulate, X1_OUT, X1_STATE, "append", GroupStateTimeout.NoTimeout)
+        _accumulate, X1_OUT, X1_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     sink = new_dir(spark, "x1-out")
     run_available(out.writeStream.format("parquet").option("path", sink)
                   .option("checkpointLocation", new_dir(spark, "x1-ckpt")).outputMode("append"), "x1")
@@ -94,15 +131,13 @@ def stream_session(spark: SparkSession, candidates: DataFrame) -> DataFrame:
 
 def stream_recommend(spark: SparkSession, interactions: DataFrame, recommend_batch) -> DataFrame:
     """Every micro-batch of new interactions is scored against the
-    static model by ``recommend_batch(df) -> DataFrame`` and appended."""
+    static model by ``recommend_batch(df) -> DataFrame``; the result carries its
+    ``batch_id``."""
     src = stage_input(interactions.select("session_id", "item_id", "date"), spark, "x2", key="session_id")
     s = read_stream(spark, src, "session_id long, item_id long, date timestamp_ntz")
     sink = new_dir(spark, "x2-out")
-
-    def per_batch(batch: DataFrame, batch_id: int):
-        recommend_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
-
-    run_available(s.writeStream.foreachBatch(per_batch)
+    write = batch_writer(sink)
+    run_available(s.writeStream.foreachBatch(lambda batch, batch_id: write(recommend_batch(batch), batch_id))
                   .option("checkpointLocation", new_dir(spark, "x2-ckpt")), "x2")
     return spark.read.parquet(sink)
 
@@ -111,8 +146,9 @@ def stream_recommend(spark: SparkSession, interactions: DataFrame, recommend_bat
 
 def stream_window_4h(spark: SparkSession, events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Approximate distinct sessions per 4-hour window (exact distinct
-    counts are not supported on streams)."""
-    src = stage_input(events.select("session_id", "date"), spark, "x3")
+    counts are not supported on streams).  Batches report the windows they
+    changed; the last report of a window holds all its sessions."""
+    src = stage_input(events.select("session_id", "date"), spark, "x3", order="date")
     s = read_stream(spark, src, "session_id long, date timestamp_ntz").withColumn(
         "ts", F.col("date").cast("timestamp"))
     agg = (s.withWatermark("ts", watermark)
@@ -121,31 +157,24 @@ def stream_window_4h(spark: SparkSession, events: DataFrame, watermark: str = "1
     sink = new_dir(spark, "x3-out")
     run_available(agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                              F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_sessions")
-                  .writeStream.format("parquet").option("path", sink)
-                  .option("checkpointLocation", new_dir(spark, "x3-ckpt")).outputMode("append"), "x3")
-    return spark.read.parquet(sink)
+                  .writeStream.outputMode("update").foreachBatch(batch_writer(sink))
+                  .option("checkpointLocation", new_dir(spark, "x3-ckpt")), "x3")
+    return (spark.read.parquet(sink).groupBy("window_start", "window_end")
+            .agg(F.max_by("n_sessions", "batch_id").alias("n_sessions")))
 
 
 # -- X4 -----------------------------------------------------------------------
 
 def stream_dedup_last(spark: SparkSession, events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Last interaction per (session, item); rows later than the
-    watermark are dropped.  Update-mode results are appended with their batch
-    id and the newest version per key is read back."""
-    src = stage_input(events.select("session_id", "item_id", "date", "event_id"), spark, "x4")
+    """Last interaction per (session, item).  State is kept by day, so the
+    watermark can let it go; the maximum over days and reports is the last."""
+    src = stage_input(events.select("session_id", "item_id", "date", "event_id"), spark, "x4", order="date")
     s = read_stream(spark, src, "session_id long, item_id long, date timestamp_ntz, event_id long").withColumn(
         "ts", F.col("date").cast("timestamp"))
-    agg = (s.withWatermark("ts", watermark).groupBy("session_id", "item_id")
-           .agg(F.max_by(F.struct("date", "event_id"), F.struct("ts", "event_id")).alias("last")))
+    agg = (s.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"), "session_id", "item_id")
+           .agg(F.max(F.struct("date", "event_id")).alias("last")))
     sink = new_dir(spark, "x4-out")
-
-    def per_batch(batch: DataFrame, batch_id: int):
-        batch.select("session_id", "item_id", "last.date", "last.event_id", F.lit(batch_id).alias("batch_id")) \
-            .write.mode("append").parquet(sink)
-
-    run_available(agg.writeStream.outputMode("update").foreachBatch(per_batch)
+    run_available(agg.select("session_id", "item_id", "last").writeStream.outputMode("update").foreachBatch(batch_writer(sink))
                   .option("checkpointLocation", new_dir(spark, "x4-ckpt")), "x4")
-    out = spark.read.parquet(sink)
-    return (out.groupBy("session_id", "item_id")
-            .agg(F.max_by(F.struct("date", "event_id"), "batch_id").alias("v"))
+    return (spark.read.parquet(sink).groupBy("session_id", "item_id").agg(F.max("last").alias("v"))
             .select("session_id", "item_id", "v.date", "v.event_id"))

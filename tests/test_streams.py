@@ -34,3 +34,34 @@ def test_stream_dedup_matches_batch(spark):
     got = sorted(tuple(r) for r in ST.stream_dedup_last(spark, df).select("session_id", "item_id", "event_id").collect())
     batch = I.dedup_last(df).select("session_id", "item_id", "event_id")
     assert got == sorted(tuple(r) for r in batch.collect())
+
+
+def _purchases(spark):
+    from conftest import SF001
+    from cartwalk.sources.roles import Roles
+    from cartwalk.sources.tables import Tables
+    return Roles(Tables(spark, SF001)).event_interactions()
+
+
+def test_stream_windows_equal_their_batch_twin(spark):
+    ev = _purchases(spark).filter(F.col("event_type") == "purchase")
+    got = sorted(map(tuple, ST.stream_window_4h(spark, ev).select("window_start", "n_sessions").collect()))
+    twin = ev.groupBy(F.window(F.col("date").cast("timestamp"), "4 hours").alias("w")).agg(
+        F.approx_count_distinct("session_id").alias("n"))
+    assert got == sorted(map(tuple, twin.select(F.col("w.start").cast("timestamp_ntz"), "n").collect())) and got
+
+
+def test_stream_dedup_equals_batch_on_the_table(spark):
+    ev = _purchases(spark)
+    got = sorted(map(tuple, ST.stream_dedup_last(spark, ev).select("session_id", "item_id", "event_id").collect()))
+    last = ev.groupBy("session_id", "item_id").agg(F.max(F.struct("date", "event_id")).alias("v"))
+    assert got == sorted(map(tuple, last.select("session_id", "item_id", "v.event_id").collect()))
+
+
+def test_repeated_batch_changes_nothing(spark):
+    from cartwalk.sources.io import new_dir
+    sink = new_dir(spark, "repeat")
+    write = ST.batch_writer(sink)
+    for b in (0, 1, 1, 0):
+        write(spark.range(5).withColumn("x", F.lit(b)), b)
+    assert spark.read.parquet(sink).count() == 10
