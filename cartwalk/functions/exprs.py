@@ -21,8 +21,10 @@ def r6(x) -> Column:
 
 def rank_key(x) -> Column:
     """Score key for ranking: 12-decimal rounding so float noise cannot
-    reorder ties; callers always add an id as the second key."""
-    return F.floor(_c(x) * F.lit(1e12) + F.lit(0.5))
+    reorder ties; callers always add an id as the second key.  The key stays
+    a double (``floor`` would make it a long, which large scores overflow)."""
+    y = _c(x) * F.lit(1e12) + F.lit(0.5)
+    return y - F.pmod(y, F.lit(1.0))
 
 
 def safe_div(num, den) -> Column:

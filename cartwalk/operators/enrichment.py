@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwalk.operators.ids import with_scalar
+
 # Category id -> category literal of the test catalogue
 # (category 50 deliberately has none), and the validation fallback literal.
 CATEGORY_LITERALS = {55: "brand", 72: "type", 30: "colour", 68: "product"}
@@ -226,3 +228,31 @@ def feat_label_encode(features: DataFrame, labels_from: DataFrame) -> DataFrame:
 def split_grouped(df: DataFrame, key: str = "item_id", test_pct: int = 20, seed: int = 42) -> DataFrame:
     """Every row of a group on the same side: hash of (key, seed)."""
     return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < test_pct)
+
+
+def binary_report(d: DataFrame) -> DataFrame:
+    """One row with accuracy, weighted F1 and ROC AUC of (label,
+    prediction, score), labels and predictions being 0.0 or 1.0.
+
+    Rows are first counted by (score, label, prediction); the ranks the AUC
+    needs then run over the distinct scores only."""
+    counts = d.groupBy("score", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    by_score = counts.groupBy("score").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"),
+                                           F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    auc = by_score.withColumn("below", below).agg(
+        (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+
+    def total(*conditions):
+        hit = F.lit(True)
+        for c in conditions:
+            hit = hit & c
+        return F.sum(F.when(hit, F.col("n")).otherwise(0))
+    f1 = []
+    for c in (0.0, 1.0):
+        label, guess = F.col("label") == c, F.col("prediction") == c
+        f1.append(total(label) * F.when(total(label) + total(guess) == 0, 0.0).otherwise(
+            2.0 * total(label, guess) / (total(label) + total(guess))))
+    report = counts.agg((total(F.col("label") == F.col("prediction")) / F.sum("n")).alias("accuracy"),
+                        ((f1[0] + f1[1]) / F.sum("n")).alias("weighted_f1"))
+    return with_scalar(report, auc)

@@ -3,8 +3,8 @@
 Rows with a category literal train a classifier over one-hot encoded ids;
 rows without one get a prediction.  Forests and networks of another library
 are not reproducible here, so results are checked on rows, classes and
-accuracy bounds only.  Greedy rounds (E20, E29) loop on the driver with a
-bound on the number of rounds and one small read per round.
+accuracy bounds only.  Greedy rounds (E20, E29) loop on the driver, with one
+small read per round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, Window
@@ -22,12 +22,12 @@ SEED = 42
 LABEL = "feature_category_literal"
 
 
+# Width of the hashed ids: fixed, whatever the number of distinct values.
+HASHED = 1024
+
+
 def _features_stages():
-    idx = StringIndexer(inputCols=["feature_category_id", "feature_value_id"],
-                        outputCols=["cat_idx", "val_idx"], handleInvalid="keep")
-    ohe = OneHotEncoder(inputCols=["cat_idx", "val_idx"], outputCols=["cat_vec", "val_vec"], handleInvalid="keep")
-    asm = VectorAssembler(inputCols=["cat_vec", "val_vec"], outputCol="features")
-    return [idx, ohe, asm]
+    return [FeatureHasher(inputCols=["feature_category_id", "feature_value_id"], outputCol="features", numFeatures=HASHED)]
 
 
 def _prep(df: DataFrame) -> DataFrame:
@@ -47,9 +47,7 @@ def fit_classifier(known: DataFrame, kind: str = "rf", **params):
         clf = RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", 5),
                                      seed=SEED, labelCol="label", featuresCol="features")
     else:
-        feat = Pipeline(stages=_features_stages()).fit(_prep(known))
-        n_in = len(feat.transform(_prep(known.limit(1))).first()["features"])
-        clf = MultilayerPerceptronClassifier(layers=[n_in, 50, len(label_idx.labelsArray[0])], seed=SEED,
+        clf = MultilayerPerceptronClassifier(layers=[HASHED, 50, len(label_idx.labelsArray[0])], seed=SEED,
                                              maxIter=params.get("maxIter", 50), labelCol="label",
                                              featuresCol="features")
     to_str = IndexToString(inputCol="prediction", outputCol="predicted", labels=label_idx.labelsArray[0])
@@ -75,7 +73,7 @@ def _predict(model, df: DataFrame) -> DataFrame:
     have no label)."""
     x = _prep(df)
     for i, st in enumerate(model.stages):
-        if i != 3:  # stage 3 is the label indexer
+        if i != 1:  # stage 1 is the label indexer
             x = st.transform(x)
     return x
 
@@ -85,7 +83,7 @@ def cv_accuracy(features: DataFrame, folds: int = 5) -> DataFrame:
     known, _ = split_known(features)
     train, test = known.randomSplit([0.8, 0.2], seed=SEED)
     label_idx = StringIndexer(inputCol=LABEL, outputCol="label", handleInvalid="keep")
-    rf = RandomForestClassifier(numTrees=20, seed=SEED)
+    rf = RandomForestClassifier(numTrees=100, seed=SEED)
     pipe = Pipeline(stages=_features_stages() + [label_idx, rf])
     ev = MulticlassClassificationEvaluator(metricName="accuracy")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
@@ -97,33 +95,38 @@ def cv_accuracy(features: DataFrame, folds: int = 5) -> DataFrame:
                                  "metric STRING, value DOUBLE")
 
 
-def top_n_candidates(features: DataFrame, n: int = 3) -> DataFrame:
-    """The n most probable literals of every row lacking one."""
+def _class_probabilities(features: DataFrame, labelled: DataFrame | None, trees: int) -> DataFrame:
+    """Probability of every class for every row lacking a literal.  The
+    classifier learns from ``labelled`` rows, by default the known ones."""
     known, missing = split_known(features)
-    model, labels = fit_classifier(known, "rf", numTrees=20)
+    model, labels = fit_classifier(known if labelled is None else labelled, "rf", numTrees=trees)
     p = _predict(model, missing).select("item_id", F.col("feature_category_id").cast("int"),
                                         F.col("feature_value_id").cast("long"),
                                         F.posexplode(vector_to_array("probability")).alias("cls", "prob"))
     lab = features.sparkSession.createDataFrame(list(enumerate(labels)), "cls INT, literal STRING")
+    return p.join(F.broadcast(lab), "cls")  # one row per class
+
+
+def top_n_candidates(features: DataFrame, n: int = 5, labelled: DataFrame | None = None, trees: int = 100) -> DataFrame:
+    """The n most probable literals of every row lacking one."""
     w = Window.partitionBy("item_id", "feature_category_id", "feature_value_id").orderBy(
         F.col("prob").desc(), F.col("cls"))
-    return (p.join(F.broadcast(lab), "cls").withColumn("rank", F.row_number().over(w).cast("long"))
+    return (_class_probabilities(features, labelled, trees).withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= n).drop("cls"))
 
 
-def per_id_candidates(features: DataFrame, n: int = 20) -> DataFrame:
-    """Candidate literals per category id lacking literals: mean class
-    probability over the id's missing rows, best first (rank 1..n)."""
-    cand = top_n_candidates(features, n)
-    agg = cand.groupBy("feature_category_id", "literal").agg(F.avg("prob").alias("prob"))
+def per_id_candidates(features: DataFrame, labelled: DataFrame | None = None, trees: int = 100) -> DataFrame:
+    """Candidate literals per category id lacking literals: the mean of each
+    class's probability over all of the id's missing rows, best first."""
+    agg = _class_probabilities(features, labelled, trees).groupBy("feature_category_id", "literal").agg(F.avg("prob").alias("prob"))
     w = Window.partitionBy("feature_category_id").orderBy(F.col("prob").desc(), F.col("literal"))
-    return agg.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
+    return agg.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def unique_predictions(features: DataFrame) -> DataFrame:
+def unique_predictions(features: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Per category id without literals, the top prediction, rejected
     when the literal is already used by another category id."""
-    best = per_id_candidates(features, 1)
+    best = per_id_candidates(features, labelled).filter(F.col("rank") == 1)
     used = features.filter(F.col(LABEL).isNotNull()).select(
         F.col(LABEL).alias("literal"), F.col("feature_category_id").alias("_owner")).distinct()
     rejected = best.join(used, "literal").filter(F.col("_owner") != F.col("feature_category_id")).select(
@@ -132,17 +135,22 @@ def unique_predictions(features: DataFrame) -> DataFrame:
         "feature_category_id", "literal", "prob")
 
 
-def greedy_assign(cands: DataFrame, used: DataFrame, max_rounds: int = 20) -> DataFrame:
+def used_literals(features: DataFrame) -> DataFrame:
+    """Category literals that stand in the table already."""
+    return features.filter(F.col(LABEL).isNotNull()).select(F.col(LABEL).alias("literal")).distinct()
+
+
+def greedy_assign(cands: DataFrame, used: DataFrame) -> DataFrame:
     """Each id takes its best candidate not used anywhere; per
     round every unresolved id proposes its best free candidate, the most
-    probable proposal of a literal wins, winners become used.  Bounded
-    rounds; one count per round decides whether to continue."""
+    probable proposal of a literal wins, winners become used.  Rounds go on until
+    nothing is proposed; each one uses up at least one literal."""
     from cartwalk.session import materialize
     spark = cands.sparkSession
     taken = used.select("literal").distinct()
     result = spark.createDataFrame([], "feature_category_id INT, literal STRING")
-    pending = cands
-    for _ in range(max_rounds):
+    pending = materialize(cands)
+    while True:
         free = pending.join(taken, "literal", "left_anti").join(
             result.select("feature_category_id"), "feature_category_id", "left_anti")
         w = Window.partitionBy("feature_category_id").orderBy("rank")
@@ -150,17 +158,16 @@ def greedy_assign(cands: DataFrame, used: DataFrame, max_rounds: int = 20) -> Da
         wl = Window.partitionBy("literal").orderBy(F.col("prob").desc(), F.col("feature_category_id"))
         win = materialize(prop.withColumn("_w", F.row_number().over(wl)).filter(F.col("_w") == 1)
                           .select(F.col("feature_category_id").cast("int"), "literal"))
-        if win.limit(1).count() == 0:
-            break
+        if win.isEmpty():
+            return result
         result = materialize(result.unionByName(win))
-        taken = taken.unionByName(win.select("literal"))
-    return result
+        taken = materialize(taken.unionByName(win.select("literal")))
 
 
-def constrained_candidates(features: DataFrame, vocab: DataFrame, n: int = 20) -> DataFrame:
+def constrained_candidates(features: DataFrame, vocab: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """E29 candidates: the id's likeliest literals whose vocabulary list
     length equals the id's distinct-value count (length predicate)."""
-    cand = per_id_candidates(features, n)
+    cand = per_id_candidates(features, labelled)
     nvals = features.groupBy("feature_category_id").agg(F.countDistinct("feature_value_id").alias("n_values"))
     sizes = vocab.select(F.col("category").alias("literal"), F.size("literals").alias("n_values"))
     return cand.join(nvals, "feature_category_id").join(sizes, ["literal", "n_values"])
@@ -185,8 +192,7 @@ def grid_search(features: DataFrame) -> DataFrame:
     rows = []
     kf = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=3, seed=SEED).fit(known)
     rows.append(("kfold", kf.avgMetrics))
-    w = Window.partitionBy(LABEL).orderBy("item_id", "feature_category_id")
-    strat = known.withColumn("fold", (F.row_number().over(w) % 3).cast("int"))
+    strat = known.withColumn("fold", F.pmod(F.xxhash64(LABEL, "item_id", "feature_category_id"), F.lit(3)).cast("int"))
     sf = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold").fit(strat)
     rows.append(("stratified", sf.avgMetrics))
     tv = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.75,

@@ -28,7 +28,7 @@ TOP_N = 5
 VOCAB_SIZE = 5000
 # Descriptive categories in description order (a parameter in the reference).
 DESCRIPTIVE = ["product", "colour", "type", "brand"]
-NO_RESULT_MESSAGE = "No fue posible obtener recomendaciones con la información que me das."
+NO_RESULT_MESSAGE = "Sin novedades para esta consulta."  # default wording, a parameter of the operators
 
 
 def spanish_stop_words(spark) -> list[str]:

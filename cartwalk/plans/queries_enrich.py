@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
@@ -10,6 +9,7 @@ from cartwalk.operators import enrichment as EN
 from cartwalk.operators import imputation as IM
 from cartwalk.plans.registry import query
 from cartwalk.plans.sqlroles import R6, with_roles
+from cartwalk.sources import io as IO
 
 # Vocabulary: category -> sorted literals observed on train-purchased items.
 VOCAB_CTES = """
@@ -183,11 +183,11 @@ def vocab_vs_table(ctx):
 
 @query("feat_assigned_listing", with_roles("""
 SELECT DISTINCT feature_category_id, feature_value_id, feature_category_literal, feature_value_literal FROM item_features
-WHERE feature_category_literal = 'product' AND feature_value_literal IS NOT NULL"""))
+WHERE feature_category_literal IS NOT NULL AND feature_value_literal IS NOT NULL"""))
 def feat_assigned_listing(ctx):
-    """Distinct assigned id/literal quadruples of the product category."""
+    """Distinct assigned id/literal quadruples."""
     return ctx.r.item_features().filter(
-        (F.col("feature_category_literal") == "product") & F.col("feature_value_literal").isNotNull()).select(
+        F.col("feature_category_literal").isNotNull() & F.col("feature_value_literal").isNotNull()).select(
         "feature_category_id", "feature_value_id", "feature_category_literal", "feature_value_literal").distinct()
 
 
@@ -222,13 +222,35 @@ def feat_corrections(ctx):
 
 @query("feat_complete_split", with_roles("""
 SELECT CASE WHEN feature_category_literal IS NOT NULL AND feature_value_literal IS NOT NULL THEN 'complete' ELSE 'missing' END AS part,
-  count(*) AS n_rows FROM item_features GROUP BY 1"""))
+  item_id, feature_category_id, feature_value_id, feature_category_literal, feature_value_literal FROM item_features"""))
 def feat_complete_split(ctx):
-    """E14 (+E31 export shape): complete rows against rows lacking a literal."""
+    """Complete rows and rows lacking a literal, told apart by ``part``."""
     f = ctx.r.item_features()
     ok = F.col("feature_category_literal").isNotNull() & F.col("feature_value_literal").isNotNull()
-    return f.groupBy(F.when(ok, "complete").otherwise("missing").alias("part")).agg(
-        F.count(F.lit(1)).alias("n_rows"))
+    return f.select(F.when(ok, "complete").otherwise("missing").alias("part"), "item_id", "feature_category_id",
+                    "feature_value_id", "feature_category_literal", "feature_value_literal")
+
+
+@query("feat_export", with_roles("""
+SELECT item_id, feature_category_id, feature_value_id, feature_category_literal, feature_value_literal FROM item_features
+WHERE feature_category_literal IS NOT NULL AND feature_value_literal IS NOT NULL"""))
+def feat_export(ctx):
+    """E31 / IO11: the complete rows written as CSV with a header and read
+    back with the declared schema."""
+    f = ctx.r.item_features().dropna(subset=["feature_category_literal", "feature_value_literal"])
+    path = IO.write_csv(f.select("item_id", "feature_category_id", "feature_value_id", "feature_category_literal",
+                                 "feature_value_literal"), IO.new_dir(ctx.spark, "features-csv"))
+    return IO.read_csv(ctx.spark, path, IO.ENRICHED_FEATURES)
+
+
+def labelled(ctx):
+    """Rows the classifiers of E18-E20, E29 and E30 learn from: the features of
+    the items the vocabulary was observed on, with their category's literal.  They hold
+    categories that have no literal anywhere in the table, which is what is left to assign."""
+    bought = ctx.r.train_purchases().select("item_id").distinct()
+    names = ctx.r.feature_values().select("feature_category_id", "feature_category_literal").distinct()
+    return (ctx.r.item_features().join(bought, "item_id", "left_semi").drop("feature_category_literal")
+            .join(F.broadcast(names), "feature_category_id"))  # one row per category
 
 
 @query("feat_validate_vocab", with_roles("""
@@ -308,23 +330,20 @@ def impute_rf_cv(ctx):
 @query("impute_unique")
 def impute_unique(ctx):
     """Per unassigned id, the top prediction unless used elsewhere."""
-    return IM.unique_predictions(ctx.r.item_features())
+    return IM.unique_predictions(ctx.r.item_features(), labelled(ctx))
 
 
 @query("impute_topn")
 def impute_topn(ctx):
-    """Three most probable literals per missing row."""
-    return IM.top_n_candidates(ctx.r.item_features(), 3)
+    """Five most probable literals per missing row."""
+    return IM.top_n_candidates(ctx.r.item_features(), 5, labelled(ctx))
 
 
 @query("impute_greedy")
 def impute_greedy(ctx):
     """Greedy best-first walk over candidates, no literal twice."""
     f = ctx.r.item_features()
-    cands = IM.per_id_candidates(f, 4)
-    used = f.filter(F.col("feature_category_literal").isNotNull()).select(
-        F.col("feature_category_literal").alias("literal")).filter(F.lit(False))
-    return IM.greedy_assign(cands, used)
+    return IM.greedy_assign(IM.per_id_candidates(f, labelled(ctx)), IM.used_literals(f))
 
 
 @query("impute_mlp")
@@ -358,36 +377,29 @@ SELECT {R6('(SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) FROM clf)'
           / (sum(label) * (count(*) - sum(label))) FROM ranks)''')} AS roc_auc""", CLF))
 def clf_metrics(ctx):
     """Accuracy, weighted F1 and ROC AUC of a document-length quality
-    classifier against the labels (built-in evaluators)."""
+    classifier against the labels."""
     d = ctx.t.labels.join(ctx.t.documents.select("doc_id", "n_chars"), "doc_id").select(
         F.col("quality").cast("double").alias("label"),
         F.when(F.col("n_chars") >= 2000, 1.0).otherwise(0.0).alias("prediction"),
-        F.col("n_chars").cast("double").alias("rawPrediction"))
-    acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(d)
-    f1 = MulticlassClassificationEvaluator(metricName="weightedFMeasure").evaluate(d)
-    auc = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(d)
-    row = ctx.spark.createDataFrame([(float(acc), float(f1), float(auc))], "accuracy DOUBLE, weighted_f1 DOUBLE, roc_auc DOUBLE")
-    return row.select(r6("accuracy").alias("accuracy"), r6("weighted_f1").alias("weighted_f1"),
-                      r6("roc_auc").alias("roc_auc"))
+        F.col("n_chars").cast("double").alias("score"))
+    return EN.binary_report(d).select(*[r6(c).alias(c) for c in ("accuracy", "weighted_f1", "roc_auc")])
+
+
+def _constrained(ctx, f):
+    cands = IM.constrained_candidates(f, vocab(ctx), labelled(ctx))
+    return IM.greedy_assign(cands, IM.used_literals(f))
 
 
 @query("impute_constrained")
 def impute_constrained(ctx):
-    """Per unassigned category id, the likeliest literal whose
-    vocabulary length equals the id's value count, unused elsewhere."""
-    f = ctx.r.item_features()
-    cands = IM.constrained_candidates(f, vocab(ctx), 20)
-    used = f.filter(F.col("feature_category_literal").isNotNull()).select(
-        F.col("feature_category_literal").alias("literal")).distinct()
-    return IM.greedy_assign(cands, used)
+    """Per unassigned category id, the likeliest literal missing from the
+    table whose vocabulary length equals the id's value count."""
+    return _constrained(ctx, ctx.r.item_features())
 
 
 @query("impute_failed")
 def impute_failed(ctx):
     """Category ids left without an admissible literal."""
     f = ctx.r.item_features()
-    cands = IM.constrained_candidates(f, vocab(ctx), 20)
-    used = f.filter(F.col("feature_category_literal").isNotNull()).select(
-        F.col("feature_category_literal").alias("literal")).distinct()
     ids = f.filter(F.col("feature_category_literal").isNull()).select("feature_category_id").distinct()
-    return IM.impute_failed(ids, IM.greedy_assign(cands, used))
+    return IM.impute_failed(ids, _constrained(ctx, f))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartwalk.functions.exprs import r6
 from cartwalk.operators import text as TX
 from cartwalk.plans import recommend as P
-from cartwalk.plans.queries_rec import TRAIN, W20
+from cartwalk.plans.queries_rec import REC, TRAIN, W20
 from cartwalk.plans.registry import query
 from cartwalk.plans.sqlroles import R6, with_roles
 from cartwalk.sources import io as IO
@@ -46,19 +46,37 @@ def model_roundtrip(ctx):
     return m["W"].select("item_i", "item_j", r6("sim").alias("sim"))
 
 
-@query("bundle_roundtrip")
+@query("bundle_roundtrip", with_roles("""
+SELECT 'features' AS member, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_diff FROM item_features
+UNION ALL SELECT 'purchases', count(*), CAST(0 AS BIGINT) FROM purchases"""))
 def bundle_roundtrip(ctx):
-    """IO8 + IO9: a bundle with tables, scalars, a list, a nested bundle and
-    a hidden member; returns the reloaded tables' row counts."""
+    """IO8 + IO9: a bundle with tables, scalars, a list, a nested bundle and a
+    hidden member; the reloaded tables are compared with the saved ones row by row."""
     path = IO.new_dir(ctx.spark, "bundle")
+    tables = {"purchases": ctx.r.purchases(), "features": ctx.r.item_features()}
     IO.save_bundle(ctx.spark, path, {
-        "urm": P.train_urm(ctx), "purchases": ctx.r.purchases(), "alpha": 1.0, "cutoffs": [5, 10],
-        "nested": {"features": ctx.r.item_features(), "note": "side tables"},
-        ".hidden": "skipped on load"})
+        "purchases": tables["purchases"], "alpha": 1.0, "cutoffs": [5, 10],
+        "nested": {"features": tables["features"], "note": "side tables"}, ".hidden": "skipped on load"})
     b = IO.load_bundle(ctx.spark, path)
-    rows = [(k, v.count()) for k, v in sorted(b.items()) if hasattr(v, "count") and not isinstance(v, (list, str))]
-    rows += [("nested." + k, v.count()) for k, v in sorted(b["nested"].items()) if not isinstance(v, str)]
-    return ctx.spark.createDataFrame(rows, "member STRING, n_rows LONG")
+    if (b["alpha"], b["cutoffs"], b["nested"]["note"]) != (1.0, [5, 10], "side tables") or ".hidden" in b:
+        raise ValueError("the bundle's values changed on the way")
+    out = None
+    for name, back in (("purchases", b["purchases"]), ("features", b["nested"]["features"])):
+        cols = tables[name].columns
+        both = tables[name].withColumn("_d", F.lit(1)).unionByName(back.withColumn("_d", F.lit(-1)))
+        same = both.groupBy(*cols).agg(F.sum("_d").alias("_d"), F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_n"))
+        one = same.agg(F.sum("_n").cast("long").alias("n_rows"), F.sum(F.abs("_d")).cast("long").alias("n_diff")).select(
+            F.lit(name).alias("member"), "n_rows", "n_diff")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("results_roundtrip", with_roles("SELECT session_id, item_id, rank FROM t_top", REC))
+def results_roundtrip(ctx):
+    """IO5: the ranked list of the test sessions exported as CSV and read back."""
+    path = IO.new_dir(ctx.spark, "results")
+    IO.save_results(P.recommend(ctx, P.test_profile(ctx), P.fit_w(ctx), 10), path, "csv")
+    return IO.read_csv(ctx.spark, path, IO.RESULTS)
 
 
 @query("encoder_roundtrip")

@@ -121,67 +121,71 @@ def neg_samples(ctx):
 
 
 ACC = TEXT_CTES + """,
-lastturn AS (SELECT conv_id, max(turn) AS last FROM uq GROUP BY 1),
-hist AS (SELECT DISTINCT q.conv_id AS session_id, q.item_id FROM qtop q JOIN lastturn l USING (conv_id)
-  WHERE q.turn < l.last AND q.rank = 1),
-newc AS (SELECT q.conv_id AS session_id, q.item_id, q.rank FROM qtop q JOIN lastturn l USING (conv_id) WHERE q.turn = l.last),
-added AS (SELECT session_id, item_id, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank, item_id) AS rn FROM newc n
-  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.session_id = n.session_id AND h.item_id = n.item_id)) WHERE rn = 1)"""
+turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, c FROM (
+  SELECT conv_id, turn, list(item_id ORDER BY rank, item_id) AS c FROM qtop GROUP BY conv_id, turn)),
+walk AS (
+  SELECT conv_id, turn, k, c[1] AS added, [c[1]] AS items FROM turns WHERE k = 1
+  UNION ALL
+  SELECT t.conv_id, t.turn, t.k, t.added, CASE WHEN t.added IS NULL THEN t.items ELSE list_append(t.items, t.added) END FROM (
+    SELECT n.conv_id, n.turn, n.k, w.items, list_filter(n.c, lambda x: NOT list_contains(w.items, x))[1] AS added
+    FROM walk w JOIN turns n ON n.conv_id = w.conv_id AND n.k = w.k + 1) t),
+lastturn AS (SELECT conv_id, max(k) AS last FROM turns GROUP BY 1)"""
+
+
+def _walk(ctx):
+    """(session, turn, added item, is it the last turn) of every conversation."""
+    if "encoded" not in ctx.memo:
+        walked = I.session_walk(top_items(ctx).withColumnRenamed("conv_id", "session_id"))
+        last = walked.groupBy("session_id").agg(F.max("turn").alias("_last"))
+        # read by several branches
+        ctx.memo["encoded"] = materialize(walked.join(last, "session_id").select(
+            "session_id", "turn", "added_item", (F.col("turn") == F.col("_last")).alias("is_last")))
+    return ctx.memo["encoded"]
 
 
-def _history_and_new(ctx):
-    if "encoded" not in ctx.memo:
-        # the encoded candidates are an artefact read by several branches
-        ctx.memo["encoded"] = materialize(top_items(ctx))
-    top = ctx.memo["encoded"]
-    last = top.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    t = top.join(last, "conv_id")
-    hist = (t.filter((F.col("turn") < F.col("last")) & (F.col("rank") == 1))
-            .select(F.col("conv_id").alias("session_id"), "item_id").distinct())
-    new = t.filter(F.col("turn") == F.col("last")).select(
-        F.col("conv_id").alias("session_id"), "item_id", "rank")
-    return hist, new
+def _added(ctx):
+    """The item the last turn added, for sessions where it added one."""
+    return _walk(ctx).filter(F.col("is_last") & F.col("added_item").isNotNull()).select(
+        "session_id", F.col("added_item").alias("item_id"))
 
 
 @query("session_accumulate", with_roles("""
-SELECT session_id, item_id, 'history' AS source FROM hist
-UNION ALL SELECT session_id, item_id, 'new' FROM added""", ACC))
+SELECT w.conv_id AS session_id, w.turn, w.added AS item_id, CASE WHEN w.k = l.last THEN 'new' ELSE 'history' END AS source
+FROM walk w JOIN lastturn l USING (conv_id) WHERE w.added IS NOT NULL""", ACC))
 def session_accumulate(ctx):
-    """Each conversation's session (top item of every earlier user turn)
-    plus the best candidate of its last turn that is not yet in it."""
-    hist, new = _history_and_new(ctx)
-    added = I.session_accumulate(hist, new)
-    return hist.withColumn("source", F.lit("history")).unionByName(
-        added.select("session_id", "item_id", F.lit("new").alias("source")))
+    """Each conversation's session, built turn by turn from the best
+    candidate not yet in it."""
+    return _walk(ctx).filter(F.col("added_item").isNotNull()).select(
+        "session_id", "turn", F.col("added_item").alias("item_id"),
+        F.when(F.col("is_last"), "new").otherwise("history").alias("source"))
 
 
 @query("session_fallback", with_roles(f"""
-SELECT s.session_id, a.item_id AS added_item,
-  CASE WHEN a.item_id IS NULL THEN '{TX.NO_RESULT_MESSAGE}' END AS answer
-FROM (SELECT DISTINCT conv_id AS session_id FROM uq) s LEFT JOIN added a USING (session_id)""", ACC))
+SELECT s.session_id, w.added AS added_item,
+  CASE WHEN w.added IS NULL THEN '{TX.NO_RESULT_MESSAGE}' END AS answer
+FROM (SELECT DISTINCT conv_id AS session_id FROM uq) s
+LEFT JOIN (walk w JOIN lastturn l ON l.conv_id = w.conv_id AND l.last = w.k) ON w.conv_id = s.session_id""", ACC))
 def session_fallback(ctx):
-    """The added item, or the fallback answer when nothing is new."""
-    hist, new = _history_and_new(ctx)
-    added = I.session_accumulate(hist, new)
-    sessions = ctx.t.conversations.filter(F.col("role") == "user").select(F.col("conv_id").alias("session_id"))
-    return I.session_fallback(sessions, added, TX.NO_RESULT_MESSAGE)
+    """The item the last turn added, or the fallback answer when nothing
+    is new."""
+    return I.session_fallback(_sessions(ctx), _added(ctx), TX.NO_RESULT_MESSAGE)
+
+
+def _sessions(ctx):
+    return ctx.t.conversations.filter(F.col("role") == "user").select(F.col("conv_id").alias("session_id"))
 
 
 @query("pipe_query")
 def pipe_query(ctx):
-    """Encode every conversation's last query, accumulate its session,
+    """Encode every turn of every conversation, accumulate its session,
     recommend from the accumulated session with W, decode to descriptions
-    (fallback answer when no new candidate) - all sessions in one plan."""
-    hist, new = _history_and_new(ctx)
-    added = I.session_accumulate(hist, new)
-    session = hist.unionByName(added.select("session_id", "item_id")).withColumn(
-        "date", F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
+    (fallback answer when the last turn adds nothing) - all sessions in one plan."""
+    added = _added(ctx)
+    session = _walk(ctx).filter(F.col("added_item").isNotNull()).select(
+        "session_id", F.col("added_item").alias("item_id")).withColumn("date", F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
     prof = P.views_profile(session.join(added.select("session_id"), "session_id", "left_semi"))
     rec = P.recommend(ctx, prof, P.fit_w(ctx), 10)
     decoded = TX.decode_items(rec, TX.item_descrip(ctx.r.item_features()))
-    fb = I.session_fallback(
-        ctx.t.conversations.filter(F.col("role") == "user").select(F.col("conv_id").alias("session_id")),
-        added, TX.NO_RESULT_MESSAGE)
+    fb = I.session_fallback(_sessions(ctx), added, TX.NO_RESULT_MESSAGE)
     return fb.join(decoded, "session_id", "left").select(
         "session_id", F.coalesce("item_descrip", F.array(F.col("answer"))).alias("recomendaciones"))

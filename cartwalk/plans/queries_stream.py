@@ -13,7 +13,6 @@ from cartwalk.streaming import sessions as ST
 def stream_session(ctx):
     """Keyed-state session accumulation over every user turn of every
     conversation (messages applied in turn order)."""
-    from cartwalk.plans.queries_session import _history_and_new  # noqa: F401  (shared encoder memo)
     from cartwalk.plans.queries_text import top_items
     top = top_items(ctx).select(F.col("conv_id").alias("session_id"), "turn", "item_id", "rank")
     return ST.stream_session(ctx.spark, top)

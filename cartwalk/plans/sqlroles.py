@@ -58,7 +58,7 @@ def with_roles(body: str, extra_ctes: str = "") -> str:
     ctes = ROLE_CTES.strip()
     if extra_ctes.strip():
         ctes = ctes + ",\n" + extra_ctes.strip().rstrip(",")
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
 
 
 def keep_last(src: str, score: str) -> str:
