@@ -49,6 +49,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called c0, c1, ... and the names they had.
+    PySpark's Arrow functions can't take names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
 def words(raw: bytes | None) -> list[bytes]:
     """The words of a UTF-8 text; none for null."""
     return raw.split() if raw else []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cartwalk.llm.common import quoted, ready
+from cartwalk.llm.common import plain, quoted, ready
 
 # Fixed values of the HTML standard, as far as the renderer needs them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -352,6 +352,7 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     ready(pages.sparkSession)
     pages = pages.select(*[quoted(c) for c in pages.columns if c == html_col or c.lower() not in ("title", "text")])
     at = pages.columns.index(html_col)
+    pages, old = plain(pages)
     schema = T.StructType([*pages.schema.fields, T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
 
     def run(batches):
@@ -359,4 +360,4 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             got = [extract(h) for h in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())],
                                              names=schema.names)
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema).toDF(*old, "title", "text")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwalk.llm.common import fresh, quoted, ready, shuffle_partitions
+from cartwalk.llm.common import plain, quoted, ready, shuffle_partitions
 from cartwalk.session import scratch_path
 
 CELL_ROWS = 1 << 20
@@ -124,7 +124,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 7) -> Dat
         raise ValueError("shards must be at least 1")
     spark = ready(docs.sparkSession)
     docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("shard", "slot")])
-    part, place, cell = fresh("_part", docs), fresh("_place", docs), fresh("_cell", docs)
+    docs, old = plain(docs)
+    part, place, cell = "part", "place", "cell"
     path = scratch_path(spark, f"shards-{uuid.uuid4().hex}")
     docs.withColumn(part, F.spark_partition_id()).withColumn(
         place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
@@ -172,7 +173,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 7) -> Dat
                 last, seen = int(cells[-1]), int(inside[-1]) + 1
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in carried], pa.array((cells // per_shard).astype(np.int32)),
                                               pa.array(starts[cells] + inside)], names=out.names)
-    return dealt.mapInArrow(number, out)
+    return dealt.mapInArrow(number, out).toDF(*old, "shard", "slot")
 
 
 def shards_digest(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwalk.llm.common import fresh, quoted, ready, shuffle_partitions, words
+from cartwalk.llm.common import plain, quoted, ready, shuffle_partitions, words
 
 SHORT_BITS = 40
 FIRST_LENGTH = 18
@@ -92,6 +92,8 @@ class _Bucket:
         first = levels[0]
         self.at = np.flatnonzero(self.left >= first)
         self.names = _base_names(h, first) if len(h) >= first else np.zeros(0, np.uint64)
+        # Only looked at if the first level is the last as well.
+        self.check = _base_names(_mix(h, _C), first) if len(h) >= first and len(levels) == 1 else self.names
         self._key()
 
     def _key(self):
@@ -264,7 +266,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_words: int = 35)
     spark = ready(docs.sparkSession)
     docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("n_words", "n_removed")])
     levels, ranges = lengths(min_words), shuffle_partitions(spark)
-    src = fresh("src", docs)
+    text_col, src = f"c{docs.columns.index(text_col)}", "src"
+    docs, names = plain(docs)
     keyed = docs.withColumn(src, F.pmod(F.xxhash64(*[quoted(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]), F.lit(2 * ranges)).cast("int"))
     by_src = keyed.groupBy(src)
     replies = None
@@ -294,7 +297,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_words: int = 35)
         keep = keep.set_column(i, keep.schema.field(i).name, pa.array(out, pa.binary()).cast(pa.string()))
         return keep.append_column("n_words", pa.array(b.counts, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
-    return by_src.cogroup(replies.groupBy("src")).applyInArrow(cut, schema)
+    return by_src.cogroup(replies.groupBy("src")).applyInArrow(cut, schema).toDF(*names, "n_words", "n_removed")
 
 
 def repeats_digest(docs: DataFrame, min_words: int = 35) -> DataFrame:
