@@ -259,6 +259,8 @@ def render(root: Node, tables: int = 0) -> list[str]:
             continue
         node, parent, pre, depth = step
         if isinstance(node, str):
+            if parent.tag == "details" and "open" not in parent.attrs:
+                continue
             if parent.tag not in ("ul", "ol", "menu", "dir", "select", "datalist") or node.strip():
                 page.text(node, pre)
             continue

@@ -124,7 +124,7 @@ class Scanner:
                 self.holders.setdefault(g, []).append(k)
         self.known = frozenset(self.holders)
         # dice >= t needs max(size) <= (2 - t) / t * min(size)
-        self.ratio = (2 - threshold) / threshold
+        self.ratio = (2 - threshold) / threshold + 1e-9  # not below the bound by rounding
         self.largest = self.ratio * max((len(b) for _, b in self.templates), default=0)
 
     def best(self, grams) -> tuple[float, str] | None:
