@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_words: int = 35)
     levels, ranges = lengths(min_words), shuffle_partitions(spark)
     text_col, src = f"c{docs.columns.index(text_col)}", "src"
     docs, names = plain(docs)
-    keyed = docs.withColumn(src, F.pmod(F.xxhash64(*[quoted(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]), F.lit(2 * ranges)).cast("int"))
+    keyed = docs.withColumn(src, F.pmod(F.xxhash64(*[quoted(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]), F.lit(ranges)).cast("int"))
     by_src = keyed.groupBy(src)
     replies = None
     for k in range(len(levels)):
