@@ -293,29 +293,28 @@ def diversity_similarity_terms(rel: DataFrame, emb: DataFrame, exact: bool = Fal
     """M14 per (cutoff, user): sum of pair diversities over n(n-1).
 
     ``emb`` is (item_id, v, nrm) from ``item_vectors``; the diversity of a
-    pair is (1 - cosine) / 2, zero when an item has no vector.  Only pairs
-    inside one list are formed (at most cutoff^2 per user), never all item
-    pairs.  Reference mode skips pairs whose first item is the last of the
-    list; ``exact`` uses all ordered pairs; a one-item list gives null.
+    pair is (1 - cosine) / 2, zero when an item has no vector.  No pairs are
+    formed: with unit vectors u, m of them in the list and their sum S, the
+    pairs whose first item is a add up to (m - u_a . S) / 2, so a list costs one
+    pass over its vectors (at most cutoff of them).  Reference mode skips pairs whose first item
+    is the last of the list; ``exact`` uses all ordered pairs; a one-item
+    list gives null.
     """
-    a = rel.select("cutoff", "session_id", F.col("item_id").alias("item_a"), F.col("rank").alias("ra"))
-    b = rel.select("cutoff", "session_id", F.col("item_id").alias("item_b"), F.col("rank").alias("rb"))
-    n = rel.groupBy("cutoff", "session_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
-    p = a.join(b, ["cutoff", "session_id"]).filter(F.col("ra") != F.col("rb"))
-    p = p.join(n, ["cutoff", "session_id"])
-    if not exact:
-        p = p.filter(F.col("ra") != F.col("last"))
-    ea = emb.select(F.col("item_id").alias("item_a"), F.col("v").alias("va"), F.col("nrm").alias("na"))
-    eb = emb.select(F.col("item_id").alias("item_b"), F.col("v").alias("vb"), F.col("nrm").alias("nb"))
-    p = p.join(ea, "item_a", "left").join(eb, "item_b", "left")
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0).cast("double"),
-                      lambda acc, x: acc + x)
-    d = F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(),
-               (F.lit(1.0) - dot / (F.col("na") * F.col("nb"))) / 2).otherwise(0.0)
-    s = p.groupBy("cutoff", "session_id").agg(F.sum(d).alias("s"))
-    return n.join(s, ["cutoff", "session_id"], "left").select(
-        "cutoff", "session_id",
-        (F.coalesce("s", F.lit(0.0)) / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))).alias("div_sim"))
+    unit = emb.select("item_id", F.transform("v", lambda x: x / F.col("nrm")).alias("u"))
+    lists = rel.select("cutoff", "session_id", "item_id", "rank").join(unit, "item_id", "left").groupBy("cutoff", "session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"),
+        F.sort_array(F.collect_list(F.when(F.col("u").isNotNull(), F.struct("rank", "u")))).alias("vs"))
+
+    def total(vectors):
+        zero = F.transform(F.element_at(vectors, 1)["u"], lambda x: F.lit(0.0))
+        return F.aggregate(vectors, zero, lambda acc, x: F.zip_with(acc, x["u"], lambda p, q: p + q))
+    firsts = F.col("vs") if exact else F.filter("vs", lambda x: x["rank"] != F.col("last"))
+    sums = lists.withColumn("fs", firsts).withColumn("S", F.when(F.size("vs") > 0, total(F.col("vs")))).withColumn(
+        "T", F.when(F.size("fs") > 0, total(F.col("fs"))))
+    dot = F.aggregate(F.zip_with("S", "T", lambda p, q: p * q), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    s = F.coalesce((F.size("vs") * F.size("fs") - dot) / 2, F.lit(0.0))
+    return sums.select("cutoff", "session_id",
+                       (s / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))).alias("div_sim"))
 
 
 def item_vectors(emb: DataFrame) -> DataFrame:

@@ -18,10 +18,12 @@ def cold_report(urm: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame
     a = cold_items.agg(F.count(F.lit(1)).alias("n_cold_items"))
     b = it.agg(F.count(F.lit(1)).alias("n_items"))
     c = cold_users.agg(F.count(F.lit(1)).alias("n_cold_users"))
-    return (with_scalar(with_scalar(a, b), c)
+    d = us.agg(F.count(F.lit(1)).alias("n_users"))
+    return (with_scalar(with_scalar(with_scalar(a, b), c), d)
             .select("n_cold_items", "n_items",
                     r6(F.lit(100.0) * F.col("n_cold_items") / F.col("n_items")).alias("pct_cold_items"),
-                    "n_cold_users"))
+                    "n_cold_users", "n_users",
+                    r6(F.lit(100.0) * F.col("n_cold_users") / F.col("n_users")).alias("pct_cold_users")))
 
 
 def _n(col="*"):

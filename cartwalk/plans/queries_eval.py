@@ -9,6 +9,7 @@ from cartwalk.operators import evaluation as EV
 from cartwalk.operators import interactions as I
 from cartwalk.operators import ranking as RK
 from cartwalk.operators import walk as WK
+from cartwalk.operators.ids import dense_index, with_scalar
 from cartwalk.plans import recommend as P
 from cartwalk.plans.queries_rec import REC
 from cartwalk.plans.registry import query
@@ -159,15 +160,21 @@ def eval_sql(rank_cte: str, cutoffs: list[int], prefix: str = "ev", div: bool =
 EVAL = REC + "," + TEST + "," + eval_sql("t_top", CUTOFFS)
 
 
+def test_urm(ctx):
+    """The hold-out matrix, read by every metric family: stored once."""
+    if "test_urm" not in ctx.memo:
+        ctx.memo["test_urm"] = materialize(I.urm_build(I.dedup_last(I.interaction_score(ctx.r.test_purchases(), 1.0))))
+    return ctx.memo["test_urm"]
+
+
 def eval_inputs(ctx, ranking=None, cutoffs=CUTOFFS, div=True):
     prof = P.test_profile(ctx)
     if ranking is None:
         ranking = P.recommend(ctx, prof, P.fit_w(ctx), max(cutoffs))
     if not is_stored(ranking):
         ranking = materialize(ranking)
-    test = I.urm_build(I.dedup_last(I.interaction_score(ctx.r.test_purchases(), 1.0)))
     return EV.EvalInputs(
-        ranking=ranking, test=test, pop_src=prof, items=ctx.r.featured_items(),
+        ranking=ranking, test=test_urm(ctx), pop_src=prof, items=ctx.r.featured_items(),
         user_universe=prof, cutoffs=cutoffs, ignore_items=P.excluded(ctx),
         diversity=EV.item_vectors(ctx.t.embeddings) if div else None)
 
@@ -176,7 +183,8 @@ def _metric(key: str, col: str, doc: str):
     sql = with_roles(f"SELECT cutoff, {R6(col)} AS value FROM ev_final", EVAL)
 
     def fn(ctx):
-        return EV.evaluate(eval_inputs(ctx)).select("cutoff", r6(col).alias("value"))
+        # item vectors are joined for the one metric that needs them
+        return EV.evaluate(eval_inputs(ctx, div=col == "DIVERSITY_SIMILARITY")).select("cutoff", r6(col).alias("value"))
     fn.__doc__ = doc
     query(key, sql)(fn)
 
@@ -276,9 +284,15 @@ def m_mrr_frame(ctx):
     return EV.mrr_frame(lab).select(r6("mrr").alias("mrr"))
 
 
+# Sampled negatives of a user: NEGATIVES catalogue positions spread by two primes.
+NEGATIVES, STEP, STRIDE = 50, 7919, 104729
 NEG = f"""
+numbered AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM featured_items)),
 neg_items AS (SELECT DISTINCT session_id, item_id FROM (
-  SELECT session_id, item_id FROM tst UNION ALL SELECT session_id, item_id FROM t_top)),
+  SELECT session_id, item_id FROM tst
+  UNION ALL
+  SELECT s.session_id, i.item_id FROM (SELECT DISTINCT session_id FROM tst) s CROSS JOIN range({NEGATIVES}) k(j)
+  JOIN numbered i ON i.pos = (s.session_id * {STEP} + k.j * {STRIDE}) % i.n)),
 neg_all AS (
   SELECT n.session_id, n.item_id, coalesce(sc.score, 0.0) AS score FROM neg_items n
   LEFT JOIN t_sc sc USING (session_id, item_id)
@@ -293,19 +307,29 @@ neg_top AS (SELECT session_id, item_id, CAST(rn AS BIGINT) AS rank FROM (
     "SELECT cutoff, " + ", ".join(f"{R6(c)} AS {c}" for c in ["PRECISION", "RECALL", "MAP", "MRR", "NDCG", "HIT_RATE"])
     + " FROM ng_final", REC + "," + TEST + "," + NEG + "," + eval_sql("neg_top", CUTOFFS, "ng", div=False)))
 def eval_negative(ctx):
-    """Rank only each user's test items plus supplied negatives (here the
-    model's own top-10), each once, then evaluate."""
+    """Rank only each user's test items plus sampled negatives, each
+    once, then evaluate."""
     prof = P.test_profile(ctx)
     W = P.fit_w(ctx)
-    top = P.recommend(ctx, prof, W, 10)
-    test = I.urm_build(I.dedup_last(I.interaction_score(ctx.r.test_purchases(), 1.0)))
-    cand = test.select("session_id", "item_id").unionByName(top.select("session_id", "item_id")).distinct()
+    test = test_urm(ctx)
+    cand = test.select("session_id", "item_id").unionByName(sampled_negatives(ctx, test)).distinct()
     ranking = negative_ranking(prof, W, cand, P.excluded(ctx), 10)
     e = eval_inputs(ctx, ranking=ranking, div=False)
     wide = EV.evaluate(e)
     return wide.select("cutoff", *[r6(c).alias(c) for c in ["PRECISION", "RECALL", "MAP", "MRR", "NDCG", "HIT_RATE"]])
 
 
+def sampled_negatives(ctx, test):
+    """NEGATIVES catalogue items for every user of the hold-out matrix, drawn
+    by position so that every user gets others and a repeat gets the same."""
+    items = ctx.r.featured_items().select("item_id").distinct()
+    numbered = dense_index(items, ["item_id"], "pos", start=0)
+    users = with_scalar(test.select("session_id").distinct(), numbered.agg(F.count(F.lit(1)).alias("n")))
+    drawn = users.select("session_id", "n", F.explode(F.sequence(F.lit(0), F.lit(NEGATIVES - 1))).alias("j")).select(
+        "session_id", ((F.col("session_id") * STEP + F.col("j") * STRIDE) % F.col("n")).alias("pos"))
+    return drawn.join(numbered, "pos").select("session_id", "item_id")
+
+
 def negative_ranking(prof, W, cand, exclude, cutoff):
     """Per-user candidate ranking: scores restricted to each user's own
     (session, item) candidates, zero when unscored; seen and excluded out."""

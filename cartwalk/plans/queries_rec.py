@@ -10,6 +10,7 @@ from cartwalk.operators import ranking as RK
 from cartwalk.operators import walk as WK
 from cartwalk.plans import recommend as P
 from cartwalk.plans.registry import query
+from cartwalk.sources import io as IO
 from cartwalk.plans.sqlroles import (
     EXCL_CTE, R6, keep_last, topk_ctes, urm_cte, walk_ctes, with_roles,
 )
@@ -126,21 +127,21 @@ def rp3_similarity(ctx):
 @query("rp3_topk_row", with_roles(_w() + "m_r", TRAIN + "," + W20))
 def rp3_topk_row(ctx):
     """Top 20 per source item."""
-    s = WK.rp3_topk_row(WK.rp3_similarity(P.train_urm(ctx)), 20)
+    s = WK.rp3_topk_row(WK.rp3_similarity(P.train_urm(ctx)), P.TOPK)
     return s.select("item_i", "item_j", r6("sim").alias("sim"))
 
 
 @query("rp3_normalized", with_roles(_w() + "m_n", TRAIN + "," + W20))
 def rp3_normalized(ctx):
     """L1-normalised rows after the row cut."""
-    s = WK.rp3_normalized(WK.rp3_topk_row(WK.rp3_similarity(P.train_urm(ctx)), 20))
+    s = WK.rp3_normalized(WK.rp3_topk_row(WK.rp3_similarity(P.train_urm(ctx)), P.TOPK))
     return s.select("item_i", "item_j", r6("sim").alias("sim"))
 
 
 @query("rp3_topk_col", with_roles(_w() + "m_w", TRAIN + "," + W20))
 def rp3_topk_col(ctx):
     """Top 20 per target item (final W)."""
-    s = WK.rp3_topk_col(WK.rp3_normalized(WK.rp3_topk_row(WK.rp3_similarity(P.train_urm(ctx)), 20)), 20)
+    s = WK.rp3_topk_col(WK.rp3_normalized(WK.rp3_topk_row(WK.rp3_similarity(P.train_urm(ctx)), P.TOPK)), P.TOPK)
     return s.select("item_i", "item_j", r6("sim").alias("sim"))
 
 
@@ -151,10 +152,10 @@ W_NOCUT = walk_ctes("urm", "q", topk=10 ** 9, alpha=0.8, beta=0.4, normalize=Fal
     _w() + "m_w UNION ALL SELECT item_i, item_j, -1.0 * " + R6("sim") + " FROM q_w",
     TRAIN + "," + W20 + "," + W_NOCUT))
 def rp3_fit(ctx):
-    """Two fits, (alpha 1, beta .6, topK 20, normalised) and
+    """Two fits, (alpha 1, beta .6, topK 100, normalised) and
     (alpha .8, beta .4, no cut, not normalised, reported negated)."""
     urm = P.train_urm(ctx)
-    a = WK.rp3_fit(urm, topK=20).select("item_i", "item_j", r6("sim").alias("sim"))
+    a = WK.rp3_fit(urm, topK=P.TOPK).select("item_i", "item_j", r6("sim").alias("sim"))
     b = WK.rp3_fit(urm, alpha=0.8, beta=0.4, topK=None, normalize_similarity=False).select(
         "item_i", "item_j", (F.lit(-1.0) * r6("sim")).alias("sim"))
     return a.unionByName(b)
@@ -164,7 +165,9 @@ def rp3_fit(ctx):
 SELECT (SELECT count(*) FROM featured_items f WHERE f.item_id NOT IN (SELECT item_id FROM urm)) AS n_cold_items,
        (SELECT count(*) FROM featured_items) AS n_items,
        """ + R6("100.0 * (SELECT count(*) FROM featured_items f WHERE f.item_id NOT IN (SELECT item_id FROM urm)) / (SELECT count(*) FROM featured_items)") + """ AS pct_cold_items,
-       (SELECT count(DISTINCT session_id) FROM train_views WHERE session_id NOT IN (SELECT session_id FROM urm)) AS n_cold_users""", TRAIN))
+       (SELECT count(DISTINCT session_id) FROM train_lines_all WHERE session_id NOT IN (SELECT session_id FROM urm)) AS n_cold_users,
+       (SELECT count(DISTINCT session_id) FROM train_lines_all) AS n_users,
+       """ + R6("100.0 * (SELECT count(DISTINCT session_id) FROM train_lines_all WHERE session_id NOT IN (SELECT session_id FROM urm)) / (SELECT count(DISTINCT session_id) FROM train_lines_all)") + """ AS pct_cold_users""", TRAIN).replace("train_lines_all", "train_views"))
 def cold_report(ctx):
     """R2: items (of the catalogue) and sessions without a stored interaction."""
     from cartwalk.operators.profiling import cold_report as cr
@@ -247,12 +250,12 @@ REC2 = REC + "," + walk_ctes("urm", "b", topk=5, beta=0.0) + "," + topk_ctes("t2
 
 
 @query("rec_ranking_frame", with_roles(f"""
-SELECT 'rp3_k20' AS model, session_id, item_id, rank, {R6('score')} AS score FROM t_top
+SELECT 'rp3_k100' AS model, session_id, item_id, rank, {R6('score')} AS score FROM t_top
 UNION ALL SELECT 'rp3_k5_b0', session_id, item_id, rank, {R6('score')} FROM t2_top""", REC2))
 def rec_ranking_frame(ctx):
     """One ranking per model, with scores."""
     urm = P.train_urm(ctx)
-    models = {"rp3_k20": WK.rp3_fit(urm, topK=20), "rp3_k5_b0": WK.rp3_fit(urm, topK=5, beta=0.0)}
+    models = {"rp3_k100": WK.rp3_fit(urm, topK=P.TOPK), "rp3_k5_b0": WK.rp3_fit(urm, topK=5, beta=0.0)}
     r = RK.rec_ranking_frame(models, P.test_profile(ctx), ctx.r.featured_items(), cutoff=10,
                              exclude=P.excluded(ctx))
     return r.withColumn("score", r6("score"))
@@ -278,8 +281,20 @@ def rec_item_scores(ctx):
 
 @query("rec_ranked_output", with_roles("SELECT session_id, item_id, rank FROM t_top", REC))
 def rec_ranked_output(ctx):
-    """Rank column 1..cutoff per session on original ids."""
-    return P.recommend(ctx, P.test_profile(ctx), P.fit_w(ctx), 10).select("session_id", "item_id", "rank")
+    """The model works on dense item and session numbers; its lists get a
+    rank column and are mapped back to the original ids."""
+    from cartwalk.session import materialize
+    urm, prof = P.train_urm(ctx), P.test_profile(ctx)
+    items = materialize(I.dense_mapping(ctx.r.featured_items().select("item_id").unionByName(urm.select("item_id")), "item_id", "item_idx"))
+    users = materialize(I.dense_mapping(prof.select("session_id"), "session_id", "session_idx"))
+
+    def to_dense(df, col="item_id"):
+        return df.join(items.withColumnRenamed("item_id", col), col).drop(col).withColumnRenamed("item_idx", col)
+    W = to_dense(to_dense(P.fit_w(ctx), "item_i"), "item_j")
+    dense = to_dense(prof).join(users, "session_id").drop("session_id").withColumnRenamed("session_idx", "session_id")
+    top = RK.rec_topk(materialize(dense), materialize(W), to_dense(ctx.r.featured_items()), cutoff=10, exclude=to_dense(P.excluded(ctx)))
+    return (top.withColumnRenamed("item_id", "item_idx").withColumnRenamed("session_id", "session_idx")
+            .join(items, "item_idx").join(users, "session_idx").select("session_id", "item_id", "rank"))
 
 
 @query("rec_concat", with_roles("""
@@ -323,12 +338,16 @@ def rec_hybrid(ctx):
     urm = P.train_urm(ctx)
     prof = P.test_profile(ctx)
     flags = I.cold_sessions(urm, prof)
-    r = RK.rec_hybrid(prof, WK.rp3_fit(urm, topK=20), urm, ctx.r.featured_items(), flags,
+    r = RK.rec_hybrid(prof, WK.rp3_fit(urm, topK=P.TOPK), urm, ctx.r.featured_items(), flags,
                       cutoff=10, exclude=P.excluded(ctx))
     return r.select("model", "session_id", "item_id", "rank", r6("score").alias("score"))
 
 
 @query("pipe_recommend", with_roles("SELECT session_id, item_id, rank FROM t_top", REC))
 def pipe_recommend(ctx):
-    """Batch inference: load-free composition from raw test views."""
-    return P.pipe_recommend(ctx, ctx.r.test_views(), P.fit_w(ctx), 10)
+    """Batch inference from a saved model: W, candidates and weights are
+    loaded from the artefact (missing weights fall back to the defaults) and
+    score the raw test views."""
+    path = IO.new_dir(ctx.spark, "model")
+    IO.save_model(ctx.spark, path, P.fit_w(ctx), ctx.r.candidate_items(), ctx.r.item_features(), P.VIEW_WEIGHT, P.PURCHASE_WEIGHT)
+    return P.recommend_from_model(IO.load_model(ctx.spark, path), ctx.r.featured_items(), ctx.r.test_views(), 10)

@@ -14,7 +14,7 @@ from cartwalk.session import is_stored, materialize
 # Parameters of the registered recommender queries.
 VIEW_WEIGHT = 0.2       # the reference's fallback when a model carries none
 PURCHASE_WEIGHT = 1.0
-TOPK = 20               # model neighbourhood used by the registered queries
+TOPK = 100              # model neighbourhood
 CUTOFF = 10             # serving cutoff
 
 
@@ -59,8 +59,10 @@ def recommend(ctx, profile: DataFrame, W: DataFrame, cutoff: int = CUTOFF, **kw)
                        exclude=excluded(ctx), **kw)
 
 
-def pipe_recommend(ctx, sessions: DataFrame, W: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
-    """Prepare new sessions (weights, keep-last), score with W, remove
-    seen and non-candidate items, rank, output (session_id, item_id, rank)."""
-    prof = views_profile(sessions)
-    return recommend(ctx, prof, W, cutoff).select("session_id", "item_id", "rank")
+def recommend_from_model(model: dict, catalogue: DataFrame, sessions: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
+    """Prepare new sessions (weights, keep-last), score with the loaded
+    W, remove seen and non-candidate items, rank, output (session_id, item_id,
+    rank).  Without saved candidates the whole catalogue may be recommended."""
+    prof = materialize(I.prepare_profile(sessions, model["view_weight"], model["purch_weight"]))
+    exclude = I.items_to_exclude(catalogue, model["candidate_items"]) if "candidate_items" in model else None
+    return RK.rec_topk(prof, model["W"], catalogue, cutoff=cutoff, exclude=exclude).select("session_id", "item_id", "rank")

@@ -82,7 +82,7 @@ def urm_cte(name: str, views: str, purchases: str | None, view_w: float = 0.2,
   GROUP BY session_id, item_id HAVING sum(score) <> 0)"""
 
 
-def walk_ctes(urm: str, prefix: str, topk: int = 20, alpha: float = 1.0, beta: float = 0.6,
+def walk_ctes(urm: str, prefix: str, topk: int = 100, alpha: float = 1.0, beta: float = 0.6,
               normalize: bool = True) -> str:
     """S, row cut, normalise, column cut as CTEs ``{prefix}_w``."""
     a = float(alpha)

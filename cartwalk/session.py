@@ -7,7 +7,10 @@ bench run gets sane defaults without overriding a cluster's choices.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,6 +30,10 @@ _DEFAULTS = {
 }
 
 
+# Paths of stored tables, for ``release``.
+_STORED: list[str] = []
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "cartwalk") -> SparkSession:
     """Return the active session, creating a local one when none exists."""
@@ -64,17 +71,33 @@ def _apply(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/object store) folder there; we only make
-    one up when it is unset, which happens in local tests.
+    A cluster names a shared (HDFS/object store) folder there.  One is made up
+    only in local mode, where driver and executors are one process; anywhere
+    else a machine's own folder would be invisible to the other executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="cartwalk-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the tables :func:`materialize` has stored so far, for callers
+    that are done with the results; returns how many there were."""
+    jvm, n = spark._jvm, 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -91,6 +114,7 @@ def materialize(df):
     spark = df.sparkSession
     path = scratch_path(spark, f"mat-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
+    _STORED.append(path)
     out = spark.read.parquet(path)
     out._cartwalk_stored = True
     return out
