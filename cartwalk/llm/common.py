@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwalk.session import materialize, ship_package
+from cartwalk.session import scratch_path, ship_package
 
 # Words are maximal runs of anything but these six ASCII characters, which are
 # also what ``bytes.split()`` cuts at.
@@ -32,8 +34,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: ``df`` written under the shared checkpoint folder and
-    read back, so that several readers share one evaluation."""
-    return materialize(df)
+    read back, so that several readers share one evaluation.
+
+    The tables kept this way are narrow.  They are written uncompressed: the
+    compression codecs hold buffers outside the heap for every file until the
+    next garbage collection, which adds up over many small files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm-{uuid.uuid4().hex}")
+    df.write.option("compression", "none").parquet(path)
+    return spark.read.parquet(path)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
