@@ -98,12 +98,13 @@ def tokens(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFra
     return (df.select(*id_cols, F.posexplode(F.filter(parts, lambda w: F.length(w) >= 2)).alias("pos", "token")))
 
 
-def stem_tokens(toks: DataFrame) -> DataFrame:
-    """T4: stem every token.  The pandas UDF runs on the distinct tokens only
+def stem_tokens(toks: DataFrame, stemmer=stem_udf) -> DataFrame:
+    """T4: stem every token with ``stemmer`` (a column function, by default
+    the English Porter stemmer).  It runs on the distinct tokens only
     and the result is joined back (shuffle join: the distinct-token table
     grows with the corpus, so it is not broadcast)."""
     distinct = toks.select("token").distinct()
-    stems = distinct.select("token", stem_udf("token").alias("stem"))
+    stems = distinct.select("token", stemmer(F.col("token")).alias("stem"))
     return toks.join(stems, "token").drop("token").withColumnRenamed("stem", "token")
 
 

@@ -13,7 +13,7 @@ from cartwalk.plans import recommend as P
 from cartwalk.plans.queries_rec import REC, TOPPOP, TRAIN
 from cartwalk.plans.queries_text import DESC_CTES, TEXT_CTES, top_items
 from cartwalk.plans.registry import query
-from cartwalk.plans.sqlroles import R6, urm_cte, with_roles
+from cartwalk.plans.sqlroles import R6, topk_ctes, urm_cte, with_roles
 from cartwalk.session import materialize
 
 EARLY = urm_cte("early", "early_train", None)
@@ -175,7 +175,19 @@ def _sessions(ctx):
     return ctx.t.conversations.filter(F.col("role") == "user").select(F.col("conv_id").alias("session_id"))
 
 
-@query("pipe_query")
+ASKED = REC + "," + DESC_CTES + "," + ACC + f""",
+last_added AS (SELECT w.conv_id, w.added FROM walk w JOIN lastturn l ON l.conv_id = w.conv_id AND l.last = w.k),
+prof_q AS (SELECT conv_id AS session_id, added AS item_id, CAST({P.VIEW_WEIGHT} AS DOUBLE) AS score FROM walk
+  WHERE added IS NOT NULL AND conv_id IN (SELECT conv_id FROM last_added WHERE added IS NOT NULL)),
+""" + topk_ctes("pq", "prof_q", "m_w", 10)
+
+
+@query("pipe_query", with_roles(f"""
+SELECT s.session_id, CASE WHEN d.l IS NULL THEN [CASE WHEN a.added IS NULL THEN '{TX.NO_RESULT_MESSAGE}' END] ELSE d.l END AS recomendaciones
+FROM (SELECT DISTINCT conv_id AS session_id FROM uq) s
+LEFT JOIN last_added a ON a.conv_id = s.session_id
+LEFT JOIN (SELECT t.session_id, list(coalesce(d.item_descrip, '') ORDER BY t.rank) AS l FROM pq_top t LEFT JOIN descr d USING (item_id) GROUP BY 1) d
+  ON d.session_id = s.session_id""", ASKED))
 def pipe_query(ctx):
     """Encode every turn of every conversation, accumulate its session,
     recommend from the accumulated session with W, decode to descriptions

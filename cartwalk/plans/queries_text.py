@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
+from cartwalk.functions.stemmer import stem_sql
 from cartwalk.operators import text as TX
 from cartwalk.plans import recommend as P
 from cartwalk.plans.queries_rec import REC
@@ -16,14 +17,19 @@ QUERY_TS = "2024-06-01 12:00:00"
 
 STOP_CTE = f"stop_words AS (SELECT * FROM (VALUES {STOP_WORDS}) t(token))"
 PAT = TX.TOKEN_PATTERN
-TEXT_CTES = STOP_CTE + f""",
-dtok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{PAT}')) AS token FROM documents),
+PLAIN_CTES = STOP_CTE + f""",
+uq AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+plain_dtok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{PAT}')) AS token FROM documents),
+plain_qtok AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{PAT}')) AS token FROM uq)"""
+TEXT_CTES = PLAIN_CTES + """,
+plain_tok AS (SELECT token FROM plain_dtok UNION ALL SELECT token FROM plain_qtok),
+""" + stem_sql("plain_tok") + f""",
+dtok AS (SELECT d.doc_id, s.stem AS token FROM plain_dtok d JOIN stems s USING (token)),
 dterm AS (SELECT doc_id, token AS term, count(*) AS tf FROM dtok WHERE token NOT IN (SELECT token FROM stop_words) GROUP BY 1, 2),
 vocab AS (SELECT term, tf, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM (
   SELECT term, sum(tf) AS tf FROM dterm GROUP BY 1 ORDER BY tf DESC, term LIMIT {TX.VOCAB_SIZE})),
 dvec AS (SELECT d.doc_id AS item_id, d.term, v.term_id, d.tf FROM dterm d JOIN vocab v USING (term)),
-uq AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-qtok AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{PAT}')) AS token FROM uq),
+qtok AS (SELECT q.conv_id, q.turn, s.stem AS token FROM plain_qtok q JOIN stems s USING (token)),
 qvec AS (SELECT q.conv_id, q.turn, q.token AS term, v.term_id, count(*) AS tf FROM qtok q JOIN vocab v ON v.term = q.token
   WHERE q.token NOT IN (SELECT token FROM stop_words) GROUP BY 1, 2, 3, 4),
 qn AS (SELECT conv_id, turn, sqrt(sum(tf * tf)) AS nq FROM qvec GROUP BY 1, 2),
@@ -62,9 +68,9 @@ def _docs(ctx):
     return spread(ctx.t.documents.select(F.col("doc_id").alias("item_id"), "text"))
 
 
-def doc_term_counts(ctx, stem: bool = False):
+def doc_term_counts(ctx, stem: bool = True):
     """(item_id, term, tf) of every document, stop words removed; tokenised
-    once per context and stored."""
+    and stemmed once per context and stored."""
     key = ("doc_terms", stem)
     if key not in ctx.memo:
         t = TX.tokens(_docs(ctx), ["item_id"])
@@ -76,7 +82,7 @@ def doc_term_counts(ctx, stem: bool = False):
     return ctx.memo[key]
 
 
-def vocab(ctx, stem: bool = False):
+def vocab(ctx, stem: bool = True):
     key = ("vocab", stem)
     if key not in ctx.memo:
         from cartwalk.session import materialize
@@ -84,7 +90,7 @@ def vocab(ctx, stem: bool = False):
     return ctx.memo[key]
 
 
-def doc_vecs(ctx, stem: bool = False):
+def doc_vecs(ctx, stem: bool = True):
     """The term-count matrix X of the documents, stored once (an artefact,
     read by the norms, the inverted-index join and the vectorizer bundle)."""
     key = ("doc_vecs", stem)
@@ -94,7 +100,7 @@ def doc_vecs(ctx, stem: bool = False):
     return ctx.memo[key]
 
 
-def query_vecs(ctx, stem: bool = False):
+def query_vecs(ctx, stem: bool = True):
     key = ("query_vecs", stem)
     if key not in ctx.memo:
         from cartwalk.session import materialize
@@ -104,7 +110,7 @@ def query_vecs(ctx, stem: bool = False):
     return ctx.memo[key]
 
 
-def top_items(ctx, stem: bool = False):
+def top_items(ctx, stem: bool = True):
     qv = query_vecs(ctx, stem)
     sim = TX.blocked_cosine(qv.select("query_id", "term_id", "tf"), doc_vecs(ctx, stem), "query_id", "item_id",
                             topk=TX.TOP_N)
@@ -161,7 +167,7 @@ def text_stem(ctx):
 
 @query("text_stopwords", with_roles("""
 SELECT doc_id, count(*) AS n_tokens, CAST(sum(CASE WHEN token IN (SELECT token FROM stop_words) THEN 0 ELSE 1 END) AS BIGINT) AS n_kept
-FROM dtok GROUP BY doc_id""", TEXT_CTES))
+FROM plain_dtok GROUP BY doc_id""", PLAIN_CTES))
 def text_stopwords(ctx):
     """T5: tokens per document before and after stop-word removal."""
     t = TX.tokens(ctx.t.documents, ["doc_id"])
