@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwalk.operators.ids import with_scalar
+from cartwalk.operators.ids import dense_index_within, with_scalar
 
 # Category id -> category literal of the test catalogue
 # (category 50 deliberately has none), and the validation fallback literal.
@@ -87,8 +87,8 @@ def feat_cyclic_literal(features: DataFrame, vocab: DataFrame, sub_vocab: DataFr
     first = rows.filter(F.col("category_literal").isNotNull()).groupBy(*key_cols).agg(
         F.min_by(F.struct("list_key", "category_literal"), pos).alias("_k"), F.min(pos).alias("_first"))
     first = first.select(*key_cols, "_k.list_key", "_k.category_literal", "_first")
-    w = Window.partitionBy("list_key", "category_literal").orderBy("_first")
-    first = first.withColumn("_n", F.row_number().over(w))
+    first = dense_index_within(first.select(*key_cols, "list_key", "category_literal", F.col("_first.item_id").alias("_at_item")),
+                               ["list_key", "category_literal"], ["_at_item", *key_cols], "_n").drop("_at_item")
     lists = vocab.select(F.lit("general").alias("list_key"), F.col("category").alias("category_literal"),
                          "literals")
     if sub_vocab is not None:
@@ -191,10 +191,8 @@ def assign_one_to_one(missing: DataFrame, free: DataFrame) -> DataFrame:
     of its category and no literal twice: the n-th missing row (by item) is
     paired with the n-th free literal (alphabetical) - an equi-join on
     (category, n).  Rows beyond the free literals get null (infeasible)."""
-    wm = Window.partitionBy("category").orderBy("item_id")
-    wf = Window.partitionBy("category").orderBy("literal")
-    m = missing.withColumn("n", F.row_number().over(wm))
-    f = free.withColumn("n", F.row_number().over(wf))
+    m = dense_index_within(missing, ["category"], ["item_id"], "n")
+    f = dense_index_within(free, ["category"], ["literal"], "n")
     return m.join(f, ["category", "n"], "left").select("category", "item_id", "literal")
 
 

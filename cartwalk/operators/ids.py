@@ -47,6 +47,16 @@ def dense_index(df: DataFrame, order_cols: list[str], out_col: str, start: int =
     )
 
 
+def dense_index_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str) -> DataFrame:
+    """``row_number`` from 1 within each group without bringing a group
+    into one task: the global position less the group's first one.  Group and
+    ordering columns together must be unique and not null."""
+    from cartwalk.session import materialize
+    n = materialize(dense_index(df, [*group_cols, *order_cols], "_at"))
+    first = n.groupBy(*group_cols).agg(F.min("_at").alias("_first_at"))
+    return n.join(first, group_cols).withColumn(out_col, F.col("_at") - F.col("_first_at") + 1).drop("_at", "_first_at")
+
+
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 

@@ -51,6 +51,9 @@ def rec_remove_custom(scores: DataFrame, items: DataFrame | None) -> DataFrame:
     return scores.join(items.select("item_id").distinct(), "item_id", "left_anti")
 
 
+FILL_SALTS = 16
+
+
 def fill_from_order(need: DataFrame, blocked: DataFrame, order: DataFrame) -> DataFrame:
     """First free items of a global order per user.
 
@@ -61,13 +64,16 @@ def fill_from_order(need: DataFrame, blocked: DataFrame, order: DataFrame) -> Da
     """
     blk = blocked.join(order, "item_id").select("session_id", "item_id", "pos")
     nblk = blk.groupBy("session_id").agg(F.count(F.lit(1)).alias("_b"))
+    upto = need.filter(F.col("need") > 0).join(nblk, "session_id", "left").select(
+        "session_id", "need", (F.col("need") + F.coalesce(F.col("_b"), F.lit(0))).cast("long").alias("_upto"))
+    # The first positions are wanted by every user: only the prefix somebody
+    # wants takes part, each position FILL_SALTS times.
+    prefix = with_scalar(order, upto.agg(F.coalesce(F.max("_upto"), F.lit(0)).alias("_most"))).filter(
+        F.col("pos") <= F.col("_most")).select("item_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(FILL_SALTS - 1))).alias("_salt"))
     cand = (
-        need.filter(F.col("need") > 0)
-        .join(nblk, "session_id", "left")
-        .select("session_id", "need", F.explode(F.sequence(
-            F.lit(1).cast("long"),
-            (F.col("need") + F.coalesce(F.col("_b"), F.lit(0))).cast("long"))).alias("pos"))
-        .join(order, "pos")
+        upto.select("session_id", "need", F.pmod(F.xxhash64("session_id"), F.lit(FILL_SALTS)).cast("int").alias("_salt"),
+                    F.explode(F.sequence(F.lit(1).cast("long"), F.col("_upto"))).alias("pos"))
+        .join(prefix, ["pos", "_salt"])
         .join(blk.select("session_id", "item_id"), ["session_id", "item_id"], "left_anti")
     )
     w = Window.partitionBy("session_id").orderBy("pos")

@@ -86,16 +86,18 @@ def rp3_similarity(urm: DataFrame, alpha: float = DEFAULT_ALPHA, beta: float = D
     urm = urm.select("session_id", "item_id", F.col("score").cast("double").alias("score"))
     ust = user_stats(urm)
     ist = item_stats(urm)
-    # Salt: a user with L rows gets ceil(L / salt_rows) buckets.  The left
-    # side spreads its rows over the buckets, the right side is replicated
-    # into each bucket, so every (i, j) pair is still produced exactly once.
+    # Salt: a user with L rows gets n = ceil(L / salt_rows) buckets on either
+    # side and a grid of n x n cells.  Each side spreads its rows over its own
+    # buckets and repeats them along the other axis, so every (i, j) pair is
+    # produced exactly once and a cell makes about salt_rows^2 of them.
     nb = ust.select("session_id", "l1", F.greatest(
         F.lit(1), F.ceil(F.col("profile_len") / F.lit(salt_rows))).cast("int").alias("_nb"))
     base = urm.join(nb, "session_id").join(ist, "item_id")
     left = base.select(
         "session_id",
         F.col("item_id").alias("item_i"),
-        F.pmod(F.xxhash64("item_id"), F.col("_nb")).cast("int").alias("_salt"),
+        F.pmod(F.xxhash64("item_id"), F.col("_nb")).cast("int").alias("_si"),
+        F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_sj"),
         (F.pow(F.lit(1.0) / F.col("pop"), F.lit(float(alpha))) if alpha != 1.0
          else F.lit(1.0) / F.col("pop")).alias("piu"),
     )
@@ -103,11 +105,12 @@ def rp3_similarity(urm: DataFrame, alpha: float = DEFAULT_ALPHA, beta: float = D
     right = base.select(
         "session_id",
         F.col("item_id").alias("item_j"),
-        F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_salt"),
+        F.pmod(F.xxhash64("item_id"), F.col("_nb")).cast("int").alias("_sj"),
+        F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_si"),
         (F.pow(pui, F.lit(float(alpha))) if alpha != 1.0 else pui).alias("pui"),
         F.pow(F.col("pop").cast("double"), F.lit(-float(beta))).alias("degree"),
     )
-    pairs = left.join(right, ["session_id", "_salt"]).filter(F.col("item_i") != F.col("item_j"))
+    pairs = left.join(right, ["session_id", "_si", "_sj"]).filter(F.col("item_i") != F.col("item_j"))
     return (
         pairs.groupBy("item_i", "item_j")
         .agg(F.sum(F.col("piu") * F.col("pui") * F.col("degree")).alias("sim"))
