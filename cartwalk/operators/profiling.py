@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
@@ -193,19 +193,23 @@ def in_year(p: DataFrame, year: int) -> DataFrame:
                     & (F.col("date") < F.lit(f"{year + 1}-01-01 00:00:00").cast("timestamp_ntz")))
 
 
+def _year() -> Column:
+    return F.year("date").cast("long").alias("year")
+
+
 def period_4h(p: DataFrame) -> DataFrame:
-    """Distinct sessions per 4-hour period label."""
+    """Distinct sessions per year and 4-hour period label."""
     idx = (F.floor(F.hour("date") / 4) + 1).cast("int")
     labels = F.array(*[F.lit(x) for x in PERIOD_LABELS])
-    return p.groupBy(F.element_at(labels, idx).alias("period")).agg(
+    return p.groupBy(_year(), F.element_at(labels, idx).alias("period")).agg(
         F.countDistinct("session_id").alias("n_sessions"))
 
 
 def per_hour(p: DataFrame) -> DataFrame:
-    """Distinct sessions per zero-padded hour label."""
+    """Distinct sessions per year and zero-padded hour label."""
     h = F.lpad(F.hour("date").cast("string"), 2, "0")
     label = F.concat(h, F.lit(":00 - "), h, F.lit(":59"))
-    return p.groupBy(label.alias("hour")).agg(F.countDistinct("session_id").alias("n_sessions"))
+    return p.groupBy(_year(), label.alias("hour")).agg(F.countDistinct("session_id").alias("n_sessions"))
 
 
 def weekend_share(p: DataFrame) -> DataFrame:
@@ -213,36 +217,38 @@ def weekend_share(p: DataFrame) -> DataFrame:
     return p.agg(r6(F.avg((F.weekday("date") >= 5).cast("double"))).alias("weekend_share"))
 
 
-def _spine(spark, labels):
-    return spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "idx INT, label STRING")
+def _on_spine(p: DataFrame, idx: Column, labels: list[str]) -> DataFrame:
+    """Counts per year on a spine of labels, zero where there are none: (year,
+    idx, label, n).  Every year that occurs gets the whole spine."""
+    counts = p.groupBy(_year(), idx.cast("int").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+    spine = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(x).alias("label")) for i, x in enumerate(labels)])
+    years = p.select(_year()).distinct().select("year", F.explode(spine).alias("s")).select("year", "s.idx", "s.label")
+    return years.join(counts, ["year", "idx"], "left").select(
+        "year", "idx", "label", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
 
 def per_weekday(p: DataFrame) -> DataFrame:
-    """Purchases per weekday on a 7-row spine plus their rounded mean."""
-    spark = p.sparkSession
-    counts = p.groupBy(F.weekday("date").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
-    days = F.broadcast(_spine(spark, WEEKDAYS[:7])).join(counts, "idx", "left").select(
-        "idx", F.col("label").alias("day"), F.coalesce("n", F.lit(0)).cast("double").alias("n"))
-    mean = days.agg(F.bround(F.avg("n"), 0).alias("n")).select(
-        F.lit(7).alias("idx"), F.lit(WEEKDAYS[7]).alias("day"), "n")
-    return days.unionByName(mean)
+    """Purchases per year and weekday on a 7-row spine plus their rounded
+    mean."""
+    days = _on_spine(p, F.weekday("date"), WEEKDAYS[:7])
+    mean = days.groupBy("year").agg(F.bround(F.avg("n"), 0).alias("n")).select(
+        "year", F.lit(7).alias("idx"), F.lit(WEEKDAYS[7]).alias("label"), "n")
+    return days.unionByName(mean).withColumnRenamed("label", "day")
 
 
 def per_month(p: DataFrame) -> DataFrame:
-    """Purchases per month on a 12-row spine plus their mean."""
-    spark = p.sparkSession
-    counts = p.groupBy((F.month("date") - 1).alias("idx")).agg(F.count(F.lit(1)).alias("n"))
-    months = F.broadcast(_spine(spark, MONTHS[:12])).join(counts, "idx", "left").select(
-        "idx", F.col("label").alias("month"), F.coalesce("n", F.lit(0)).cast("double").alias("n"))
-    mean = months.agg(r6(F.avg("n")).alias("n")).select(
-        F.lit(12).alias("idx"), F.lit(MONTHS[12]).alias("month"), "n")
-    return months.unionByName(mean)
+    """Purchases per year and month on a 12-row spine plus their mean."""
+    months = _on_spine(p, F.month("date") - 1, MONTHS[:12])
+    mean = months.groupBy("year").agg(r6(F.avg("n")).alias("n")).select(
+        "year", F.lit(12).alias("idx"), F.lit(MONTHS[12]).alias("label"), "n")
+    return months.unionByName(mean).withColumnRenamed("label", "month")
 
 
 def top_items_per_month(p: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` most bought items of each month (ties: smaller id)."""
+    """The ``k`` most bought items of each month of each year (ties:
+    smaller id)."""
     from pyspark.sql import Window
-    c = p.groupBy(F.month("date").cast("long").alias("month"), "item_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("month").orderBy(F.col("n").desc(), F.col("item_id"))
+    c = p.groupBy(_year(), F.month("date").cast("long").alias("month"), "item_id").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("year", "month").orderBy(F.col("n").desc(), F.col("item_id"))
     return c.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).withColumn(
         "pos", F.col("pos").cast("long"))

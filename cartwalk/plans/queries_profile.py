@@ -9,9 +9,7 @@ from cartwalk.operators import profiling as PR
 from cartwalk.plans.registry import query
 from cartwalk.plans.sqlroles import R6, with_roles
 
-YEAR = 1996              # calendar year profiled for purchases (P26-P28)
 CUT = "1996-12-31 23:59:59"
-EVENT_YEAR = 2024        # the event stream's year (P23, P24)
 
 
 @query("prof_nulls", with_roles("""
@@ -197,26 +195,26 @@ def prof_year_split(ctx):
     return PR.year_split(ctx.r.purchases(), CUT)
 
 
-EV_PURCH = f"(SELECT * FROM event_interactions WHERE event_type = 'purchase' AND year(date) = {EVENT_YEAR})"
+EV_PURCH = "(SELECT *, year(date) AS year FROM event_interactions WHERE event_type = 'purchase')"
 
 
 def _ev_purchases(ctx):
-    return PR.in_year(ctx.r.event_interactions().filter(F.col("event_type") == "purchase"), EVENT_YEAR)
+    return ctx.r.event_interactions().filter(F.col("event_type") == "purchase")
 
 
 @query("time_4h_period", with_roles(f"""
-SELECT (['00:00 - 03:59', '04:00 - 07:59', '08:00 - 11:59', '12:00 - 15:59', '16:00 - 19:59', '20:00 - 23:59'])[hour(date) // 4 + 1] AS period,
-  count(DISTINCT session_id) AS n_sessions FROM {EV_PURCH} GROUP BY 1"""))
+SELECT year, (['00:00 - 03:59', '04:00 - 07:59', '08:00 - 11:59', '12:00 - 15:59', '16:00 - 19:59', '20:00 - 23:59'])[hour(date) // 4 + 1] AS period,
+  count(DISTINCT session_id) AS n_sessions FROM {EV_PURCH} GROUP BY 1, 2"""))
 def time_4h_period(ctx):
-    """Sessions with a purchase per 4-hour period."""
+    """Sessions with a purchase per year and 4-hour period."""
     return PR.period_4h(_ev_purchases(ctx))
 
 
 @query("time_hour", with_roles(f"""
-SELECT lpad(CAST(hour(date) AS VARCHAR), 2, '0') || ':00 - ' || lpad(CAST(hour(date) AS VARCHAR), 2, '0') || ':59' AS hour,
-  count(DISTINCT session_id) AS n_sessions FROM {EV_PURCH} GROUP BY 1"""))
+SELECT year, lpad(CAST(hour(date) AS VARCHAR), 2, '0') || ':00 - ' || lpad(CAST(hour(date) AS VARCHAR), 2, '0') || ':59' AS hour,
+  count(DISTINCT session_id) AS n_sessions FROM {EV_PURCH} GROUP BY 1, 2"""))
 def time_hour(ctx):
-    """Sessions with a purchase per hour."""
+    """Sessions with a purchase per year and hour."""
     return PR.per_hour(_ev_purchases(ctx))
 
 
@@ -227,34 +225,34 @@ def time_weekend_share(ctx):
     return PR.weekend_share(ctx.r.purchases())
 
 
-P_YEAR = f"(SELECT * FROM purchases WHERE date >= TIMESTAMP '{YEAR}-01-01' AND date < TIMESTAMP '{YEAR + 1}-01-01')"
+P_YEAR = "(SELECT *, year(date) AS year FROM purchases)"
 
 
 @query("time_weekday", with_roles("""
-SELECT idx, day, n FROM x UNION ALL SELECT 7, 'Media', round_even(avg(n), 0) FROM x""", f"""
+SELECT year, idx, day, n FROM x UNION ALL SELECT year, 7, 'Media', round_even(avg(n), 0) FROM x GROUP BY year""", f"""
 d AS (SELECT * FROM (VALUES (0, 'Lunes'), (1, 'Martes'), (2, 'Miércoles'), (3, 'Jueves'), (4, 'Viernes'), (5, 'Sábado'), (6, 'Domingo')) t(idx, day)),
-c AS (SELECT isodow(date) - 1 AS idx, count(*) AS n FROM {P_YEAR} GROUP BY 1),
-x AS (SELECT d.idx, d.day, CAST(coalesce(c.n, 0) AS DOUBLE) AS n FROM d LEFT JOIN c USING (idx))"""))
+c AS (SELECT year, isodow(date) - 1 AS idx, count(*) AS n FROM {P_YEAR} GROUP BY 1, 2),
+x AS (SELECT y.year, d.idx, d.day, CAST(coalesce(c.n, 0) AS DOUBLE) AS n FROM (SELECT DISTINCT year FROM c) y CROSS JOIN d LEFT JOIN c USING (year, idx))"""))
 def time_weekday(ctx):
-    """Purchases per weekday in 1996 plus the rounded mean."""
-    return PR.per_weekday(PR.in_year(ctx.r.purchases(), YEAR))
+    """Purchases per year and weekday plus the rounded mean."""
+    return PR.per_weekday(ctx.r.purchases())
 
 
 @query("time_month", with_roles(f"""
-SELECT idx, month, n FROM x UNION ALL SELECT 12, 'Media', {R6('avg(n)')} FROM x""", f"""
+SELECT year, idx, month, n FROM x UNION ALL SELECT year, 12, 'Media', {R6('avg(n)')} FROM x GROUP BY year""", f"""
 m AS (SELECT * FROM (VALUES (0, 'Enero'), (1, 'Febrero'), (2, 'Marzo'), (3, 'Abril'), (4, 'Mayo'), (5, 'Junio'), (6, 'Julio'),
   (7, 'Agosto'), (8, 'Septiembre'), (9, 'Octubre'), (10, 'Noviembre'), (11, 'Diciembre')) t(idx, month)),
-c AS (SELECT month(date) - 1 AS idx, count(*) AS n FROM {P_YEAR} GROUP BY 1),
-x AS (SELECT m.idx, m.month, CAST(coalesce(c.n, 0) AS DOUBLE) AS n FROM m LEFT JOIN c USING (idx))"""))
+c AS (SELECT year, month(date) - 1 AS idx, count(*) AS n FROM {P_YEAR} GROUP BY 1, 2),
+x AS (SELECT y.year, m.idx, m.month, CAST(coalesce(c.n, 0) AS DOUBLE) AS n FROM (SELECT DISTINCT year FROM c) y CROSS JOIN m LEFT JOIN c USING (year, idx))"""))
 def time_month(ctx):
-    """Purchases per month in 1996 plus the mean."""
-    return PR.per_month(PR.in_year(ctx.r.purchases(), YEAR))
+    """Purchases per year and month plus the mean."""
+    return PR.per_month(ctx.r.purchases())
 
 
 @query("top5_month", with_roles(f"""
-SELECT month, item_id, n, CAST(pos AS BIGINT) AS pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY month ORDER BY n DESC, item_id) AS pos FROM (
-    SELECT month(date) AS month, item_id, count(*) AS n FROM {P_YEAR} GROUP BY 1, 2)) WHERE pos <= 5"""))
+SELECT year, month, item_id, n, CAST(pos AS BIGINT) AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY year, month ORDER BY n DESC, item_id) AS pos FROM (
+    SELECT year, month(date) AS month, item_id, count(*) AS n FROM {P_YEAR} GROUP BY 1, 2, 3)) WHERE pos <= 5"""))
 def top5_month(ctx):
-    """Five most bought items per month of 1996."""
-    return PR.top_items_per_month(PR.in_year(ctx.r.purchases(), YEAR), 5)
+    """Five most bought items per month of every year."""
+    return PR.top_items_per_month(ctx.r.purchases(), 5)
