@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwalk.llm.bpe import Memo
-from cartwalk.llm.common import PIECE_BYTES, quoted, ready, shuffle_partitions, word_pieces
+from cartwalk.llm.bpe import WORDS_AT_ONCE, Codec, load
+from cartwalk.llm.common import quoted, ready, shuffle_partitions
 from cartwalk.session import scratch_path
 
 BITS, LANES, STEPS = 20, 64, 512
@@ -194,48 +194,41 @@ def decode_chunk(data: bytes) -> np.ndarray:
 
 # -- tokenizing --------------------------------------------------------------
 
-class LibraryEncoder:
+class LibraryEncoder(Codec):
     """Whole texts to ids with the tokenizers library.
 
-    For files whose pre-tokenizer never joins what white space separates, the ids
-    of a text are those of its words one behind the other, so each distinct
-    word goes through the library once and is remembered (in bounded
-    memory).  Many words share a call, with a NUL between spaces as separator: it is a
-    word of its own and has one id.  Words with a NUL go alone."""
+    The file's pre-tokenizer never joins what white space separates, so the ids of
+    a text are those of its parts (as :class:`Codec` cuts them) one behind the
+    other.  Each distinct part goes through the library once and is remembered in
+    bounded memory.  Thousands of parts share a call, with spaces between; where a part
+    ends shows in the ids, since only the last token of a part has the word end."""
 
-    def __init__(self, spec: str):
+    def __init__(self, tables: dict, spec: str):
         from tokenizers import Tokenizer
+        super().__init__(tables)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        mark = self._ids(["\0"])[0]
-        if len(mark) != 1 or self._ids(["a \0 a"])[0] != self._ids(["a"])[0] + mark + self._ids(["a"])[0]:
-            raise ValueError("the tokenizer does not keep words apart")
-        self.mark = mark[0]
-        self.memo = Memo(self._words)
+        self.is_end = np.array([t.endswith("</w>") for t in self.tokens])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, raws: list[bytes]):
-        flat, sizes = [], []
-        for lo in range(0, len(raws), 4096):
-            words = [r.decode() for r in raws[lo:lo + 4096]]
-            if any("\0" in w for w in words):
-                runs = [np.array(i, np.int32) for i in self._ids(words)]
-                flat += runs
-                sizes.append(np.array([len(r) for r in runs], np.int64))
-                continue
-            ids = np.array(self._ids([" \0 ".join(words)])[0], np.int32)
-            cuts = np.flatnonzero(ids == self.mark)
-            flat.append(np.delete(ids, cuts))
-            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+    def merge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts and their number by part."""
+        flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(parts), WORDS_AT_ONCE):
+            some = parts[lo:lo + WORDS_AT_ONCE]
+            ids = np.array(self._ids([" ".join(some)])[0], np.int32)
+            n = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+            if len(n) != len(some) or any(self._normal(p) != p for p in some if not p.isascii()):
+                # A part that the library would normalise once more or cut anew.
+                runs = self._ids(some)
+                ids, n = np.array([i for r in runs for i in r], np.int32), np.array([len(r) for r in runs], np.int64)
+            flat.append(ids)
+            sizes.append(n)
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def encode(self, raw: bytes | None) -> np.ndarray:
-        got = [self.memo.encode(piece)[0] for piece in word_pieces(raw, PIECE_BYTES)]
-        return np.concatenate(got) if got else np.zeros(0, np.int32)
-
 
 _ENCODERS: dict = {}
 
@@ -257,7 +250,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     spark = ready(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
-    shared, key = spark.sparkContext.broadcast(spec), zlib.crc32(spec.encode())
+    shared, key = spark.sparkContext.broadcast((load(tokenizer), spec)), zlib.crc32(spec.encode())
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     order = [F.col("id"), F.xxhash64("text")]
@@ -271,7 +264,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[key] = LibraryEncoder(shared.value)
+            _ENCODERS[key] = LibraryEncoder(*shared.value)
         encoder, part = _ENCODERS[key], TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         names, sizes, n, chunk, first, goes_on = [], [], 0, 0, 0, False
@@ -285,8 +278,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                ids = np.append(encoder.encode(raw), np.int32(end_id))
+            for name, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).cast(pa.binary()).to_pylist())):
+                ids = np.append(ids, np.int32(end_id))
                 begun = False
                 while len(ids):
                     take = ids[:CHUNK - n]
