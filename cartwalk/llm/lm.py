@@ -20,12 +20,13 @@ shared by a batch so that forward and backward pass are matrix products, from th
 parameters of the round before; the partitions' parameters are averaged, weighted
 by tokens, with a distributed sum.  The parameters have a fixed size.
 
-Counts of rare tokens.  The ``KNOWN`` most frequent tokens are broadcast with
-their counts (a fixed bound); for all others the counts are joined in.
+Counts of rare tokens.  At most ``KNOWN`` of the most frequent tokens are broadcast
+with their counts (a fixed bound); for all others the counts are joined in.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -42,14 +43,20 @@ END = "\n"  # no word has a line break
 WORDS, ENDINGS, KNOWN = 384, 127, 1 << 17
 CONTEXT, WIDTH = 4, 16
 ROUNDS, BATCH, NOISE, RATE = 2, 2048, 48, 0.1
+TOKENS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 512  # scores of so many contexts stay in a core's cache
 FLUSH = 300_000  # distinct tokens a counting task holds at once
 
 
 def _tokens(raw: bytes | None):
-    """Lists of a text's tokens, the end last."""
-    for piece in word_pieces(raw):
-        yield piece
-    yield [b"\n"]
+    """A text's tokens in lists of bounded size, the end behind the last."""
+    last: list[bytes] = []
+    for piece in word_pieces(raw.lower() if raw else raw):
+        if last:
+            yield last
+        last = piece
+    last.append(b"\n")
+    yield last
 
 
 def held_out(doc_id) -> bool:
@@ -75,7 +82,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 if held_out(i):
                     continue
-                for piece in _tokens(raw.lower() if raw else raw):
+                for piece in _tokens(raw):
                     held.update(piece)
                 if len(held) > FLUSH:
                     yield flush()
@@ -108,17 +115,27 @@ class Vocabulary:
         self.symbols, self.total, self.distinct = symbols, total, distinct
         self.class_mass, self.symbol_counts = class_mass, symbol_counts
         self.known = {t.encode(): i for i, (t, _) in enumerate(known)}
-        self.known_symbol = np.array([symbols.of(t.encode()) for t, _ in known], np.int32)
+        self.known_symbol = np.array([symbols.of(t.encode()) for t, _ in known], np.int16)
         self.known_log = np.log10(np.array([c for _, c in known], np.float64) + 1)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The tables over all training counts; ``counts`` is a stored table."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = [(r["token"], r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(KNOWN).collect()]
+    # The most frequent tokens by a threshold on the count, from a histogram of
+    # fixed size; a top-k would have every task send k rows to the driver.
+    cell = F.floor(F.log2("c") * 64).cast("int")
+    cells = sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True)
+    held, least = 0, 1 << 30
+    for r in cells:
+        if held + r["count"] > KNOWN:
+            break
+        held, least = held + r["count"], r["cell"]
+    known = sorted(((r["token"], r["c"]) for r in counts.filter(cell >= least).collect()), key=lambda x: (-x[1], x[0]))
     words = [t for t, _ in known[:WORDS]]
     if END not in words:
         words = words[:WORDS - 1] + [END]
+    count = dict(known)
     ending = F.substring("token", -2, 2)
     others = counts.filter(~F.col("token").isin(words)).groupBy(ending.alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     top = others.orderBy(F.desc("n"), "e").limit(ENDINGS).collect()
@@ -126,7 +143,6 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     symbols = Symbols(words, [r["e"] for r in top])
     n = [r["n"] for r in top] + [all_n - sum(r["n"] for r in top)]
     v = [r["v"] for r in top] + [all_v - sum(r["v"] for r in top)]
-    count = dict(known)
     return Vocabulary(symbols, known, int(total), int(distinct), np.array(n, np.float64) + np.array(v, np.float64) + 1,
                       np.array([count.get(w, 0) for w in words] + n, np.float64))
 
@@ -163,45 +179,67 @@ class Model:
         edges = np.cumsum(noise_p)
         g = Model(np.zeros(len(self.flat)), self.size)
         order = rng.permutation(len(target))
-        for lo in range(0, len(order), BATCH):
-            at = order[lo:lo + BATCH]
-            t, c = target[at], ctx[:, at]
-            noise = np.minimum(np.searchsorted(edges, rng.random(NOISE)), self.size - 1)
-            h = self.context(c)
-            d_true = (h * self.Q[t]).sum(1) + self.b[t] - log_kp[t]
-            d_noise = h @ self.Q[noise].T + self.b[noise] - log_kp[noise]
-            e_true = 1 / (1 + np.exp(np.clip(d_true, -30, 30)))  # 1 - sigmoid
-            e_noise = -1 / (1 + np.exp(np.clip(-d_noise, -30, 30)))
-            dh = e_true[:, None] * self.Q[t] + e_noise @ self.Q[noise]
-            g.flat[:] = 0
-            _add_rows(g.Q, t, e_true[:, None] * h)
-            np.add.at(g.Q, noise, e_noise.T @ h)
-            g.b += np.bincount(t, weights=e_true, minlength=self.size)
-            np.add.at(g.b, noise, e_noise.sum(0))
-            for i in range(CONTEXT):
-                g.C[i] += (dh * self.R[c[i]]).sum(0)
-                _add_rows(g.R, c[i], dh * self.C[i])
-            step = g.flat / len(at)
-            grad2 += step * step
-            self.flat += RATE * step / np.sqrt(grad2 + 1e-8)
+        target, ctx = target[order], ctx[:, order]
+        with np.errstate(over="ignore"):  # exp to infinity is a sigmoid of 0
+            for lo in range(0, len(target), BATCH):
+                t, c = target[lo:lo + BATCH], ctx[:, lo:lo + BATCH]
+                noise = np.minimum(np.searchsorted(edges, rng.random(NOISE)), self.size - 1)
+                rows = [self.R[x] for x in c]
+                h = self.C[0] * rows[0]
+                for i in range(1, CONTEXT):
+                    h += self.C[i] * rows[i]
+                q_true, q_noise = self.Q[t], self.Q[noise]
+                e_true = np.einsum("ij,ij->i", h, q_true)
+                e_true += (self.b - log_kp)[t]
+                np.exp(e_true, out=e_true)
+                e_true += 1
+                np.reciprocal(e_true, out=e_true)  # 1 - sigmoid
+                e_noise = h @ q_noise.T
+                e_noise += (self.b - log_kp)[noise]
+                np.negative(e_noise, out=e_noise)
+                np.exp(e_noise, out=e_noise)
+                e_noise += 1
+                np.divide(-1, e_noise, out=e_noise)  # -sigmoid
+                dh = e_noise @ q_noise
+                q_true *= e_true[:, None]
+                dh += q_true
+                g.flat[:] = 0
+                np.add.at(g.Q, noise, e_noise.T @ h)
+                np.add.at(g.b, noise, e_noise.sum(0))
+                g.b += np.bincount(t, weights=e_true, minlength=self.size)
+                h *= e_true[:, None]
+                _add_rows(g.Q, t, h)
+                for i in range(CONTEXT):
+                    g.C[i] += np.einsum("ij,ij->j", dh, rows[i])
+                    _add_rows(g.R, c[i], dh, self.C[i])
+                step = g.flat
+                step /= len(t)
+                grad2 += step * step
+                self.flat += RATE * step / np.sqrt(grad2 + 1e-8)
 
     def log_probs(self, target: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Normalised natural-log probabilities of the target symbols."""
-        out = np.empty(len(target), np.float64)
-        for lo in range(0, len(target), 8192):
-            t = target[lo:lo + 8192]
-            s = self.context(ctx[:, lo:lo + 8192]) @ self.Q.T + self.b
-            top = s.max(1, keepdims=True)
-            at = s[np.arange(len(t)), t]
-            out[lo:lo + 8192] = at - top[:, 0] - np.log(np.exp(s - top).sum(1, dtype=np.float64))
+        out, ones = np.empty(len(target), np.float64), np.ones(self.size, np.float32)
+        for lo in range(0, len(target), ROWS_AT_ONCE):
+            t = target[lo:lo + ROWS_AT_ONCE]
+            s = self.context(ctx[:, lo:lo + ROWS_AT_ONCE]) @ self.Q.T
+            s += self.b
+            top = s.max()
+            if top > 40:  # beyond what single precision adds up safely: one by one
+                s -= s.max(1, keepdims=True)
+            at = s[np.arange(len(t)), t].astype(np.float64)
+            np.exp(s, out=s)
+            out[lo:lo + ROWS_AT_ONCE] = at - np.log((s @ ones).astype(np.float64))
         return out
 
 
-def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray, factor=None) -> None:
+    """Add ``values`` (times ``factor`` by column) to the given rows."""
     order = np.argsort(rows, kind="stable")
     r = rows[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    into[r[first]] += np.add.reduceat(values[order], first, axis=0)
+    total = np.add.reduceat(values[order], first, axis=0)
+    into[r[first]] += total if factor is None else total * factor
 
 
 def _windows(streams: list[np.ndarray], before: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,24 +257,21 @@ class _Reader:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
 
-    def numbers(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict]:
-        """Known numbers (-1: not among them), symbols, and the counts of the
+    def numbers(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Known numbers (-1: not among them), symbols, and the places of the
         tokens that are not known."""
         got = list(map(self.vocab.known.get, tokens))
-        rare: dict = {}
+        odd: list[int] = []
         if None in got:
             odd = [i for i, k in enumerate(got) if k is None]
             for i in odd:
                 got[i] = -1
-            number = np.array(got, np.int64)
-            symbol = self.vocab.known_symbol[number].astype(np.int16)
-            names = [tokens[i] for i in odd]
-            rare = Counter(names)
-            of = {w: self.vocab.symbols.of(w) for w in rare}
-            symbol[odd] = [of[w] for w in names]
-            return number, symbol, rare
         number = np.array(got, np.int64)
-        return number, self.vocab.known_symbol[number].astype(np.int16), rare
+        symbol = self.vocab.known_symbol[number] if len(self.vocab.known_symbol) else np.zeros(len(number), np.int16)
+        if odd:
+            of = self.vocab.symbols.of
+            symbol[odd] = [of(tokens[i]) for i in odd]
+        return number, symbol, odd
 
 
 def _train_round(pairs: DataFrame, shared, model: Model, seed: int) -> np.ndarray:
@@ -259,7 +294,7 @@ def _train_round(pairs: DataFrame, shared, model: Model, seed: int) -> np.ndarra
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 if held_out(i):
                     continue
-                streams.append(np.concatenate([reader.numbers(t)[1] for t in _tokens(raw.lower() if raw else raw) if t]))
+                streams.append(np.concatenate([reader.numbers(t)[1] for t in _tokens(raw)]))
                 held += len(streams[-1])
                 tokens += len(streams[-1])
                 if held > 300_000:
@@ -315,29 +350,52 @@ def score(docs: DataFrame, counts: DataFrame, lm: LanguageModel, id_col: str = "
         reader, model = _Reader(vocab), Model(flat, size)
         own = len(vocab.symbols.words)
         mass = np.concatenate([np.zeros(own), np.log10(vocab.class_mass)])
+        known_log = vocab.known_log if len(vocab.known_log) else np.zeros(1)
+        pad = np.full(CONTEXT, size, np.int16)
+
+        def finish(group, tails, sums, rare):
+            """Add what the pieces of ``group`` (row, tokens) contribute."""
+            tokens = list(itertools.chain.from_iterable(t for _, t in group))
+            number, symbol, odd = reader.numbers(tokens)
+            ends = np.cumsum([len(t) for _, t in group])
+            starts = ends - [len(t) for _, t in group]
+            parts = [x for (k, _), lo, hi in zip(group, starts, ends) for x in (tails.get(k, pad), symbol[lo:hi])]
+            is_target = np.concatenate([np.full(len(x), i % 2 == 1) for i, x in enumerate(parts)])
+            flat = np.concatenate(parts)
+            at = np.flatnonzero(is_target)
+            logs = model.log_probs(symbol, np.stack([flat[at - i - 1] for i in range(CONTEXT)])) * (1 / math.log(10))
+            is_known, in_class = number >= 0, symbol >= own
+            log_c = np.where(is_known, known_log[number], 0.0)
+            logs += np.where(in_class, log_c, 0.0) - mass[symbol]
+            at_rows = [k for k, _ in group]
+            for c, x in enumerate((np.ones(len(symbol)), is_known.astype(float), log_c, logs)):
+                np.add.at(sums[:, c], at_rows, np.add.reduceat(x, starts))
+            owner = np.searchsorted(ends, odd, side="right") if odd else []
+            for i, o in zip(odd, owner):
+                rare[at_rows[o]].append(tokens[i])
+            for (k, _), lo, hi in zip(group, starts, ends):
+                tails[k] = np.concatenate([tails.get(k, pad), symbol[max(lo, hi - CONTEXT):hi]])[-CONTEXT:]
+
         for b in batches:
-            rows = {f.name: [] for f in schema.fields}
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                n, known, known_log, model_log, rare, tail = 0, 0, 0.0, 0.0, Counter(), np.full(CONTEXT, size, np.int16)
-                for tokens in _tokens(raw.lower() if raw else raw):
-                    if not tokens:
-                        continue
-                    number, symbol, odd = reader.numbers(tokens)
-                    flat_symbols = np.concatenate([tail, symbol])
-                    at = np.arange(CONTEXT, len(flat_symbols))
-                    logs = model.log_probs(symbol, np.stack([flat_symbols[at - k - 1] for k in range(CONTEXT)])) / math.log(10)
-                    is_known, in_class = number >= 0, symbol >= own
-                    log_c = np.where(is_known, vocab.known_log[number], 0.0) if len(vocab.known_log) else np.zeros(len(number))
-                    n += len(tokens)
-                    known += int(is_known.sum())
-                    known_log += float(log_c.sum())
-                    model_log += float(logs.sum() - mass[symbol].sum() + log_c[in_class].sum())
-                    rare.update(odd)
-                    tail = flat_symbols[-CONTEXT:]
-                for name, x in zip(rows, (i, held_out(i), n, known, known_log, model_log, [w.decode() for w in rare], list(rare.values()))):
-                    rows[name].append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0) if f == "id" else pa.array(v, t) for (f, v), t in zip(rows.items(), (
-                None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=list(rows))
+            sums = np.zeros((b.num_rows, 4))
+            rare: list[list[bytes]] = [[] for _ in range(b.num_rows)]
+            tails: dict[int, np.ndarray] = {}
+            group, held = [], 0
+            for k, raw in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
+                for n, tokens in enumerate(_tokens(raw)):
+                    if held + len(tokens) > TOKENS_AT_ONCE and group or n:
+                        finish(group, tails, sums, rare)
+                        group, held, tails = [], 0, ({k: tails[k]} if n else {})
+                    group.append((k, tokens))
+                    held += len(tokens)
+            if group:
+                finish(group, tails, sums, rare)
+            counted = [Counter(r) for r in rare]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([held_out(i) for i in b.column(0).to_pylist()], pa.bool_()),
+                pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 2]), pa.array(sums[:, 3]),
+                pa.array([list(c) for c in counted], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))], names=schema.names)
 
     scored = stored(pairs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("k"))
