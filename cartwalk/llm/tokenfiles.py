@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwalk.llm.bpe import WORDS_AT_ONCE, Codec, load
+from cartwalk.llm.bpe import WORDS_AT_ONCE, Codec, kept, load
 from cartwalk.llm.common import quoted, ready, shuffle_partitions
 from cartwalk.session import scratch_path
 
@@ -230,9 +230,6 @@ class LibraryEncoder(Codec):
         return np.concatenate(flat), np.concatenate(sizes)
 
 
-_ENCODERS: dict = {}
-
-
 # -- writing and reading -----------------------------------------------------
 
 def _chunk_schema(id_type: T.DataType) -> T.StructType:
@@ -250,7 +247,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     spark = ready(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
-    shared, key = spark.sparkContext.broadcast((load(tokenizer), spec)), zlib.crc32(spec.encode())
+    shared, key = spark.sparkContext.broadcast((load(tokenizer), spec)), ("library", zlib.crc32(spec.encode()))
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     order = [F.col("id"), F.xxhash64("text")]
@@ -262,10 +259,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
 
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = LibraryEncoder(*shared.value)
-        encoder, part = _ENCODERS[key], TaskContext.get().partitionId()
+        encoder = kept(key, lambda: LibraryEncoder(*shared.value))
+        part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         names, sizes, n, chunk, first, goes_on = [], [], 0, 0, 0, False
 
