@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwalk.llm.bpe import WORDS_AT_ONCE, Codec, kept, load
-from cartwalk.llm.common import quoted, ready, shuffle_partitions
+from cartwalk.llm.common import quoted, ready, shuffle_partitions, stored
 from cartwalk.session import scratch_path
 
 BITS, LANES, STEPS = 20, 64, 512
@@ -357,7 +357,8 @@ def catalogue(spark, path: str) -> DataFrame:
                     col["ids"][i].values, pa.array([col["part"][i].as_py()] * k, pa.int32()), pa.array([first + e - n for e, n in zip(ends, sizes)], pa.int64()),
                     pa.array([not (col["goes_on"][i].as_py() and j == 0) for j in range(k)]), pa.array([full and j == k - 1 for j in range(k)]),
                     pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=schema.names)
-    pieces = chunks.select("part", "first", "n", "data", "ids", "sizes", "goes_on").mapInArrow(run, schema)
+    # Read twice below; stored, so that chunks are decoded once.
+    pieces = stored(chunks.select("part", "first", "n", "data", "ids", "sizes", "goes_on").mapInArrow(run, schema))
 
     # Documents cut by a chunk's end: runs of pieces in one part, of which the
     # later ones are no heads.  Only the first and last piece of a chunk can be one.
