@@ -211,6 +211,28 @@ def test_outliers_do_not_hide_each_other(spark):
     assert all(r["kept"] == (r["doc_id"] % 5 != 0) for r in out)
 
 
+def test_each_coordinate_alone_rejects(spark):
+    rnd = random.Random(3)
+
+    def word(lo=2, hi=8):
+        return "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(lo, hi)))
+
+    def clean():
+        return [word() for _ in range(120)]
+    few, chunk = [word(5, 5) for _ in range(20)], clean()[:27]
+    odd = {
+        900: " ".join(word(7, 14) for _ in range(120)),
+        901: " ".join(w + "#" * (i % 5 == 0) for i, w in enumerate(clean())),
+        902: "\n".join(rnd.choice(few) for _ in range(200)),
+        903: " ".join(clean()[:66] + chunk + chunk)}
+    rows = [(i, " ".join(clean())) for i in range(100)] + list(odd.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r["doc_id"]: r for r in quality.quality_digest(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert got[902]["n_dup_lines"] == 180 and got[903]["n_repeat_words"] == 54
+    assert {k for k, r in got.items() if not r["kept"]} == set(odd)
+
+
 # -- decontamination ---------------------------------------------------------------
 
 def test_templates_and_slots(spark):
