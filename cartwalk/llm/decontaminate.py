@@ -10,12 +10,16 @@ values in the document and different slots opposite different values.  So a
 question asked anew with other numbers and names is caught, while a passage
 that merely has the same shape is not.
 
+Beside them go windows of plain lower-case words, numbers and names as they
+are, with no literal words required.  They find verbatim copies of items that
+are short, dense in numbers, or whose names show differently in the document.
+
 Items are collapsed to templates first: items of the same canonical tokens and
 the same pattern of equal slots are one template, so a benchmark of many
 variations of one question adds one row to the join, not one for each.
 
-A document is contaminated by a template if consistent alignments cover
-``min(MIN_TOKENS, length of the template)`` of its tokens or more.
+A document is contaminated by a template if consistent alignments, or verbatim
+ones, cover ``min(MIN_TOKENS, SHARE of its length)`` of its tokens or more.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from cartwalk.llm.common import quoted, ready, stored
 
 WINDOW = 8
 MIN_TOKENS = 13
-# A window needs this many words that are no placeholders.
+# Short items need this share of their tokens.
+SHARE = 0.8
+# A canonical window needs this many words that are no placeholders.
 MIN_LITERAL = 4
 # Rows of template windows that may be broadcast (three numbers each).
 BROADCAST_ROWS = 200_000
@@ -45,6 +51,7 @@ _NUMBER = r"(?<![\p{L}\p{N}])([+-]?[$€£]?\p{N}+(?:[.,:/]\p{N}+)*)"
 _QUANTITY = _NUMBER + r"[ \t]?(%|(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}]))"
 _NAME = r"(?<=[^.!?:;\s\p{Co}][ \t])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 _SPLIT = r"[^\p{L}\p{N}\ue000-\ue002]+"
+_WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def _plain(text: Column) -> Column:
@@ -60,6 +67,15 @@ def canonical(text: Column) -> Column:
     return F.filter(F.split(F.lower(t), _SPLIT), lambda x: x != "")
 
 
+def verbatim(text: Column) -> Column:
+    """Array of lower-case words and numbers as they stand in the text."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD_SPLIT), lambda x: x != "")
+
+
+def _wanted(n: str) -> Column:
+    return F.least(F.lit(MIN_TOKENS), F.ceil(F.lit(SHARE) * F.col(n)))
+
+
 def slot_values(text: Column) -> Column:
     """Values of the slots of each type in text order."""
     t = F.regexp_replace(_plain(text), _NAME, f" {NAME} ")
@@ -85,43 +101,68 @@ def _opposite(tokens: Column, values: Column) -> Column:
                                           for what, mark in kinds.items()])))
 
 
-def _windows(tokens: Column, sizes: list[int]) -> Column:
-    """Array of (size, hash, pos) of all windows with enough literal words."""
+def _windows(tokens: Column, sizes: list[int], plain: bool = False) -> Column:
+    """Array of (hash, pos) of all windows; canonical ones need enough literal
+    words.  Hashes of plain and canonical windows and of sizes are told apart."""
     def of(k):
         def windows(h):
             def window(i):
                 parts = [F.get(h, i + j) for j in range(k)]
+                if plain:
+                    return F.struct(F.xxhash64(F.lit(-k), *parts).alias("h"), i.alias("pos"))
                 literal = sum((F.when(p["lit"], 1).otherwise(0) for p in parts[1:]), F.when(parts[0]["lit"], 1).otherwise(0))
-                return F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), *[p["h"] for p in parts]).alias("h"), i.alias("pos"),
-                                (literal >= min(MIN_LITERAL, k)).alias("ok"))
+                return F.when(literal >= min(MIN_LITERAL, k), F.struct(
+                    F.xxhash64(F.lit(k), *[p["h"] for p in parts]).alias("h"), i.alias("pos")))
             n = F.size(h) - k
-            return F.when(n < 0, F.array().cast("array<struct<k:int,h:bigint,pos:int,ok:boolean>>")).otherwise(
-                F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), window), lambda w: w["ok"]))
+            every = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), window)
+            return F.when(n < 0, F.array().cast("array<struct<h:bigint,pos:int>>")).otherwise(
+                every if plain else F.filter(every, lambda w: w.isNotNull()))
         return windows
-    marks = F.transform(tokens, lambda x: F.struct(F.xxhash64(x).alias("h"), (~x.isin(NUMBER, UNIT, NAME)).alias("lit")))
+    marks = F.transform(tokens, lambda x: F.xxhash64(x) if plain else F.struct(
+        F.xxhash64(x).alias("h"), (~x.isin(NUMBER, UNIT, NAME)).alias("lit")))
     return _bound(marks, lambda h: F.concat(*[of(k)(h) for k in sizes]))
 
 
+def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Items that have tokens: item_id, tokens, pattern, key of the template
+    and words (plain tokens)."""
+    def numbered(values):
+        return F.transform(values, lambda v: F.when(v.isNull(), F.lit(-1)).otherwise(
+            F.array_position(F.filter(values, lambda x: x.isNotNull()), v).cast("int")))
+    items = bench.select(quoted(id_col).alias("item_id"), canonical(quoted(text_col)).alias("tokens"),
+                         slot_values(quoted(text_col)).alias("v"), verbatim(quoted(text_col)).alias("words"))
+    items = items.filter(F.size("tokens") > 0).select("item_id", "tokens", _opposite(F.col("tokens"), F.col("v")).alias("values"), "words")
+    return items.withColumn("pattern", numbered(F.col("values"))).withColumn("key", F.xxhash64("tokens", "pattern"))
+
+
 def templates(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Benchmark items collapsed to templates: template_id (smallest item id),
     tokens, n_tokens, pattern (for each token the number of its slot value, -1
     for words) and n_items.  Items without tokens are left out; null ids take
     part but name a template only where no other item shares it."""
-    def numbered(values):
-        return F.transform(values, lambda v: F.when(v.isNull(), F.lit(-1)).otherwise(
-            F.array_position(F.filter(values, lambda x: x.isNotNull()), v).cast("int")))
-    items = bench.select(quoted(id_col).alias("item_id"), canonical(quoted(text_col)).alias("tokens"), slot_values(quoted(text_col)).alias("v"))
-    items = items.filter(F.size("tokens") > 0).select("item_id", "tokens", _opposite(F.col("tokens"), F.col("v")).alias("values"))
-    return items.withColumn("pattern", numbered(F.col("values"))).groupBy("tokens", "pattern").agg(
-        F.min("item_id").alias("template_id"), F.count(F.lit(1)).alias("n_items")).withColumn(
-        "key", F.xxhash64("tokens", "pattern")).withColumn("n_tokens", F.size("tokens"))
+    return _items(bench, id_col, text_col).groupBy("tokens", "pattern").agg(
+        F.min("item_id").alias("template_id"), F.count(F.lit(1)).alias("n_items"), F.first("key").alias("key")).withColumn(
+        "n_tokens", F.size("tokens"))
+
+
+def _own_windows(rows: DataFrame, tokens: str, plain: bool) -> tuple[DataFrame, list[int]]:
+    """Windows of the benchmark side (rows: key, n, tokens), each of the one
+    size its length asks for, and the sizes there are (1..WINDOW)."""
+    k = F.least("n", F.lit(WINDOW))
+    sizes = sorted(r["k"] for r in rows.select(k.alias("k")).distinct().collect())
+    parts = [rows.filter(k == s).select("key", "n", F.lit(s).alias("k"), F.lit(plain).alias("plain"), F.explode(
+        _windows(F.col(tokens), [s], plain)).alias("w")) for s in sizes or [WINDOW]]
+    own = parts[0]
+    for part in parts[1:]:
+        own = own.unionByName(part)
+    return own.select("key", "n", "k", "plain", F.col("w.h").alias("h"), F.col("w.pos").alias("tpos")).distinct(), sizes
 
 
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and template that contaminates it: doc_id,
     item_id (the template's smallest), n_items of the template, n_tokens of it,
-    covered (tokens under consistent alignments) and n_slots (most slots that
-    one of these alignments covers).
+    covered (tokens under consistent alignments, or under verbatim ones if
+    these are more) and n_slots (most slots that one consistent alignment covers).
 
     Null and empty texts match nothing.  Rows that share a document id are
     taken as parts of one document; rows with a null id never match.  An empty
@@ -129,34 +170,38 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     """
     ready(docs.sparkSession)
     known = stored(templates(bench).select("template_id", "key", "tokens", "pattern", "n_items", "n_tokens"))
-    sizes = sorted(r["k"] for r in known.select(F.least("n_tokens", F.lit(WINDOW)).alias("k")).distinct().collect())  # 1..WINDOW
+    # Variations of a template that are equally long share their plain windows.
+    words = stored(_items(bench, "item_id", "text").select("key", "words", F.size("words").alias("n")))
+    own, sizes = _own_windows(known.select("key", "tokens", F.col("n_tokens").alias("n")), "tokens", False)
+    own_plain, plain_sizes = _own_windows(words, "words", True)
+    own = stored(own.unionByName(own_plain))
     text = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    if not sizes:
-        sizes = [WINDOW]
-    own = known.select("key", F.explode(_windows(F.col("tokens"), sizes)).alias("w"), "n_tokens").filter(
-        F.col("w.k") == F.least("n_tokens", F.lit(WINDOW))).select("key", F.col("w.k").alias("k"), F.col("w.h").alias("h"), F.col("w.pos").alias("tpos"))
-    own = stored(own)
     side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
-    seen = text.select("doc_id", F.explode(_windows(canonical(F.col("text")), sizes)).alias("w")).select(
+    seen = text.select("doc_id", F.explode(F.concat(
+        _windows(canonical(F.col("text")), sizes or [WINDOW]), _windows(verbatim(F.col("text")), plain_sizes or [WINDOW], True))).alias("w")).select(
         "doc_id", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
-    found = stored(seen.join(side, "h").groupBy("doc_id", "key", (F.col("pos") - F.col("tpos")).alias("shift")).agg(
+    found = stored(seen.join(side, "h").groupBy("doc_id", "key", "plain", "n", (F.col("pos") - F.col("tpos")).alias("shift")).agg(
         F.collect_set("tpos").alias("at"), F.min("k").alias("k")))
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("k") - 1))))
+    found = found.withColumn("covered", covered)
+    union = F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("covered")
+    copied = found.filter("plain").groupBy("doc_id", "key", "n").agg(union).filter(F.col("covered") >= _wanted("n")).select(
+        "doc_id", "key", "covered", F.lit(0).alias("n_slots"))
 
     # Slots are looked up in the documents that matched, and nowhere else.
+    found = found.filter("NOT plain")
     matched = found.select("doc_id").distinct()
     opposite = text.join(matched, "doc_id").select("doc_id", canonical(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("v")).select(
         "doc_id", _opposite(F.col("tokens"), F.col("v")).alias("values"))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("k") - 1))))
-    lined = found.withColumn("covered", covered).join(known, "key").join(opposite, "doc_id").withColumn("pairs", F.filter(
+    lined = found.join(known, "key").join(opposite, "doc_id").withColumn("pairs", F.filter(
         F.transform("covered", lambda p: F.struct(F.get("pattern", p).alias("s"), F.get("values", p + F.col("shift")).alias("v"))),
         lambda x: x["s"] >= 0))
     one_to_one = (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["s"])))) & (
         F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["v"]))))
-    good = lined.filter(one_to_one).groupBy("doc_id", "key").agg(
-        F.min("template_id").alias("item_id"), F.min("n_items").alias("n_items"), F.min("n_tokens").alias("n_tokens"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("covered"), F.max(F.size("pairs")).alias("n_slots"))
-    return good.filter(F.col("covered") >= F.least(F.lit(MIN_TOKENS), F.col("n_tokens"))).select(
-        F.col("doc_id").alias(id_col), "item_id", "n_items", "n_tokens", "covered", "n_slots")
+    varied = lined.filter(one_to_one).groupBy("doc_id", "key", "n").agg(union, F.max(F.size("pairs")).alias("n_slots")).filter(
+        F.col("covered") >= _wanted("n")).select("doc_id", "key", "covered", "n_slots")
+    return copied.unionByName(varied).groupBy("doc_id", "key").agg(F.max("covered").alias("covered"), F.max("n_slots").alias("n_slots")).join(
+        known, "key").select(F.col("doc_id").alias(id_col), F.col("template_id").alias("item_id"), "n_items", "n_tokens", "covered", "n_slots")
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -249,6 +249,18 @@ def test_templates_and_slots(spark):
     assert got == {(10, 1, 2, 17, 6), (13, 3, 1, 4, 0)}
 
 
+def test_verbatim_copies_of_short_and_numeric_items(spark):
+    bench = spark.createDataFrame([
+        (1, "What is 15 percent of 240?"), (2, "What is 17 + 25?"), (3, "What is the capital city of France in Europe?"),
+        (4, "Sort 3, 9, 12, 7, 41, 8, 5, 66, 20, 13, 2, 90 and 31 now.")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "So: what is 15 percent of 240? Let us see."), (11, "Answer this. What is 17 + 25? It is 42."),
+        (12, "1) What is the capital city of France in Europe?"), (13, "- sort 3, 9, 12, 7, 41, 8, 5, 66, 20, 13, 2, 90 and 31 now"),
+        (14, "What is 16 percent of 250? What is 18 + 25? Sort 4, 8, 1, 7, 41, 9, 5, 66, 21, 13, 2, 91 and 31 now.")],
+        "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(docs, bench).collect()} == {(10, 1), (11, 2), (12, 3), (13, 4)}
+
+
 def test_op8_finds_the_planted_passages(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
