@@ -4,9 +4,10 @@ Built from DataFrame functions only.  Benchmark items and documents are brought
 to a canonical form in which numbers, units after numbers and names are typed
 placeholders and everything else is lower-case words.  Windows of ``WINDOW``
 canonical tokens are hashed and joined.  Matching windows are lined up into
-(document, template, offset) alignments, and an alignment counts only if the
-slots it covers are consistent: equal slots of the item stand opposite equal
-values in the document and different slots opposite different values.  So a
+(document, template, offset) alignments, and only windows whose slots are
+consistent within their alignment count: equal slots of the item stand opposite
+equal values in the document, and different names opposite different names
+(different numbers may happen to get the same value).  So a
 question asked anew with other numbers and names is caught, while a passage
 that merely has the same shape is not.
 
@@ -123,6 +124,15 @@ def _windows(tokens: Column, sizes: list[int], plain: bool = False) -> Column:
     return _bound(marks, lambda h: F.concat(*[of(k)(h) for k in sizes]))
 
 
+def _conflicts(pairs: Column, x: Column) -> Column:
+    """Whether pair ``x`` of a slot and a value is at odds with the others: the
+    slot has another value at least as often, or two slots have one name."""
+    def often(y):
+        return F.size(F.filter(pairs, lambda z: (z["s"] == y["s"]) & (z["v"] == y["v"])))
+    return F.exists(pairs, lambda y: (y["s"] == x["s"]) & (y["v"] != x["v"]) & (often(y) >= often(x))) | (
+        x["v"].startswith(NAME) & F.exists(pairs, lambda y: (y["s"] != x["s"]) & (y["v"] == x["v"])))
+
+
 def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Items that have tokens: item_id, tokens, pattern, key of the template
     and words (plain tokens)."""
@@ -194,11 +204,14 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     opposite = text.join(matched, "doc_id").select("doc_id", canonical(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("v")).select(
         "doc_id", _opposite(F.col("tokens"), F.col("v")).alias("values"))
     lined = found.join(known, "key").join(opposite, "doc_id").withColumn("pairs", F.filter(
-        F.transform("covered", lambda p: F.struct(F.get("pattern", p).alias("s"), F.get("values", p + F.col("shift")).alias("v"))),
+        F.transform("covered", lambda p: F.struct(p.alias("p"), F.get("pattern", p).alias("s"), F.get("values", p + F.col("shift")).alias("v"))),
         lambda x: x["s"] >= 0))
-    one_to_one = (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["s"])))) & (
-        F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["v"]))))
-    varied = lined.filter(one_to_one).groupBy("doc_id", "key", "n").agg(union, F.max(F.size("pairs")).alias("n_slots")).filter(
+    # Only the windows over a conflicting slot go, not the whole alignment.
+    lined = lined.withColumn("bad", F.transform(F.filter("pairs", lambda x: _conflicts(F.col("pairs"), x)), lambda x: x["p"]))
+    lined = lined.withColumn("at", F.filter("at", lambda p: ~F.exists("bad", lambda b: (b >= p) & (b < p + F.col("k")))))
+    lined = lined.withColumn("covered", covered).withColumn(
+        "slots", F.size(F.filter("pairs", lambda x: F.array_contains(F.col("covered"), x["p"]))))
+    varied = lined.groupBy("doc_id", "key", "n").agg(union, F.max("slots").alias("n_slots")).filter(
         F.col("covered") >= _wanted("n")).select("doc_id", "key", "covered", "n_slots")
     return copied.unionByName(varied).groupBy("doc_id", "key").agg(F.max("covered").alias("covered"), F.max("n_slots").alias("n_slots")).join(
         known, "key").select(F.col("doc_id").alias(id_col), F.col("template_id").alias("item_id"), "n_items", "n_tokens", "covered", "n_slots")

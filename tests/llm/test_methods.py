@@ -261,6 +261,21 @@ def test_verbatim_copies_of_short_and_numeric_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(docs, bench).collect()} == {(10, 1), (11, 2), (12, 3), (13, 4)}
 
 
+def test_one_bad_slot_voids_its_windows_only(spark):
+    def ask(a, b, c, d, misprint=None):
+        return (f"Then the baker has {a} trays with buns and another {b} trays with rolls on the table near the door, and after selling "
+                f"{misprint or a} trays to the school and {c} trays to the clinic there remain some of them which were given to the old "
+                f"farmer who lives beyond the river with {d} hens.")
+    bench = spark.createDataFrame([(1, ask(3, 5, 2, 9)), (2, "We see 3 red apples beside 5 sweet oranges in this wooden bowl today.")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, ask(3, 5, 2, 9, misprint=8)), (11, ask(14, 15, 16, 17, misprint=18)), (12, ask(4, 4, 4, 4)),
+        (13, "We see 4 red apples beside 4 sweet oranges in this wooden bowl today.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.hits(docs, bench).collect()}
+    assert set(got) == {(10, 1), (11, 1), (12, 1), (13, 2)}
+    assert got[11, 1]["covered"] < got[11, 1]["n_tokens"] == got[12, 1]["covered"]
+
+
 def test_op8_finds_the_planted_passages(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
