@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwalk.llm.common import quoted, ready, stored
+from cartwalk.llm.common import fresh, quoted, ready, stored
 
 WINDOW = 8
 MIN_TOKENS = 13
@@ -178,14 +178,19 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     taken as parts of one document; rows with a null id never match.  An empty
     table on either side gives an empty result.
     """
-    ready(docs.sparkSession)
+    text = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    return _hits(text, bench).withColumnRenamed("doc_id", id_col)
+
+
+def _hits(text: DataFrame, bench: DataFrame) -> DataFrame:
+    """:func:`hits` of ``text`` (doc_id, text), no id null."""
+    ready(text.sparkSession)
     known = stored(templates(bench).select("template_id", "key", "tokens", "pattern", "n_items", "n_tokens"))
     # Variations of a template that are equally long share their plain windows.
     words = stored(_items(bench, "item_id", "text").select("key", "words", F.size("words").alias("n")))
     own, sizes = _own_windows(known.select("key", "tokens", F.col("n_tokens").alias("n")), "tokens", False)
     own_plain, plain_sizes = _own_windows(words, "words", True)
     own = stored(own.unionByName(own_plain))
-    text = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).filter("doc_id IS NOT NULL")
     side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
     seen = text.select("doc_id", F.explode(F.concat(
         _windows(canonical(F.col("text")), sizes or [WINDOW]), _windows(verbatim(F.col("text")), plain_sizes or [WINDOW], True))).alias("w")).select(
@@ -214,11 +219,21 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     varied = lined.groupBy("doc_id", "key", "n").agg(union, F.max("slots").alias("n_slots")).filter(
         F.col("covered") >= _wanted("n")).select("doc_id", "key", "covered", "n_slots")
     return copied.unionByName(varied).groupBy("doc_id", "key").agg(F.max("covered").alias("covered"), F.max("n_slots").alias("n_slots")).join(
-        known, "key").select(F.col("doc_id").alias(id_col), F.col("template_id").alias("item_id"), "n_items", "n_tokens", "covered", "n_slots")
+        known, "key").select("doc_id", F.col("template_id").alias("item_id"), "n_items", "n_tokens", "covered", "n_slots")
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               match_null_ids: bool = False) -> DataFrame:
     """``docs`` without the documents any benchmark item contaminates.  Rows
-    with a null id are kept."""
-    bad = stored(hits(docs, bench, id_col, text_col).select(quoted(id_col).alias("_bad")).distinct())
-    return docs.join(bad, quoted(id_col) == F.col("_bad"), "left_anti")
+    with a null id are kept, or, with ``match_null_ids``, are documents of
+    their own, told apart by a stored row key."""
+    if not match_null_ids:
+        bad = stored(hits(docs, bench, id_col, text_col).select(quoted(id_col).alias("_bad")).distinct())
+        return docs.join(bad, quoted(id_col) == F.col("_bad"), "left_anti")
+    row = fresh("_row", docs)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    # Not null in either field, so that keys can be compared by equality.
+    key = F.struct(quoted(id_col).isNull().alias("none"), F.coalesce(quoted(id_col).cast("string"), F.col(row).cast("string")).alias("id"))
+    bad = stored(_hits(rows.select(key.alias("doc_id"), quoted(text_col).alias("text")), bench).select("doc_id").distinct())
+    gone = rows.select(F.col(row).alias("_gone"), key.alias("_key")).join(bad, F.col("_key") == F.col("doc_id")).select("_gone")
+    return rows.join(gone, F.col(row) == F.col("_gone"), "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwalk.llm.common import quoted, ready, stored, word_pieces
+from cartwalk.llm.common import fresh, quoted, ready, stored, word_pieces
 from cartwalk.llm.components import components
 
 PIVOTS = 16
@@ -151,12 +151,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
              max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of the
-    smallest id.  If that id stands on several rows, all of them are kept;
-    documents with a null id are kept only if their group has no other id."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    keep = groups.filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("_keep")).distinct()
-    return docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
+    """``docs`` with one row of each near-duplicate group: the one of the
+    smallest id, null ids last, and of rows that share it the first by a stored
+    row key."""
+    row = fresh("_row", docs)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    key = F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), F.col(row).alias("row"))
+    groups = near_duplicates(rows.select(key.alias("id"), quoted(text_col).alias("text")), "id", "text", shingle, max_bits)
+    keep = groups.select(F.col("component_id")["row"].alias("_keep")).distinct()
+    return rows.join(keep, F.col(row) == F.col("_keep"), "left_semi").select(*[quoted(c) for c in docs.columns])
 
 
 def near_duplicates_digest(docs: DataFrame) -> DataFrame:

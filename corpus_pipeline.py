@@ -40,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, as they are or re-parameterised, go."""
-    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"), match_null_ids=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartwalk.llm import quality, simhash
+from cartwalk.llm import decontaminate, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +53,21 @@ def test_stages(spark):
         assert r["ids"] == tok.encode(rows[4][k]["text"], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    text = {k: " ".join(f"{k}{i * i % 97}x{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, "a"), (1, "a"), (None, "a"), (2, "b"), (2, "c"), (None, "c"), (None, "d"), (None, "d")]
+    df = spark.createDataFrame([(i, text[k]) for i, k in rows], "doc_id long, text string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"][0]) for r in kept.collect())
+    assert got == [(0, "d"), (1, "a"), (2, "b"), (2, "c")]
+    bench = spark.createDataFrame([(1, "so " + text["d"][:200])], "item_id long, text string")
+    clean = decontaminate.keep_clean(df, bench, match_null_ids=True)
+    assert clean.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in clean.collect()) == [
+        (0, "a"), (0, "c"), (1, "a"), (1, "a"), (2, "b"), (2, "c")]
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
