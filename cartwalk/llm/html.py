@@ -23,8 +23,13 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
             "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
-UNSEEN = set("area audio base basefont canvas col colgroup datalist embed frame frameset head iframe link math meta noembed noframes "
-             "noscript object param rp script source style svg template title track video".split())
+UNSEEN = set("area audio base basefont canvas col colgroup datalist embed frame frameset head iframe link meta noembed noframes "
+             "noscript object param rp script source style template title track video".split())
+# Inside svg or math only.
+FOREIGN_UNSEEN = {"svg": set("clippath defs desc marker mask metadata pattern symbol title".split()),
+                  "math": set("annotation annotation-xml mphantom".split())}
+# Parts of these stand at places of their own, so their words don't run together.
+MATH_APART = set("mfrac mmultiscripts mover mroot msub msubsup msup mtable mtr munder munderover".split())
 # An opening tag closes these, unless one of the walls lies between.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
@@ -87,10 +92,19 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
         if here == "head" and tag not in UNSEEN:
             self.open.pop()
-        self._push(tag, {k: v or "" for k, v in attrs})
+        given, foreign = {k: v or "" for k, v in attrs}, self._foreign()
+        if foreign and (tag in FOREIGN_UNSEEN[foreign] or given.get("display") == "none" or given.get("visibility") in ("hidden", "collapse")):
+            given["hidden"] = ""
+        if (foreign == "svg" and tag == "text") or (foreign == "math" and here in MATH_APART):
+            self.open[-1].children.append(" ")
+        self._push(tag, given)
         if tag in VOID:
             self.open.pop()
 
+    def _foreign(self) -> str | None:
+        """The innermost of svg and math that is open."""
+        return next((n.tag for n in reversed(self.open) if n.tag in FOREIGN_UNSEEN), None)
+
     def _push(self, tag, attrs):
         if len(self.open) > MAX_DEPTH:
             self.open.pop()
@@ -99,7 +113,9 @@ class TreeBuilder(HTMLParser):
         self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # the slash has no effect in HTML
+        self.handle_starttag(tag, attrs)  # the slash has no effect in HTML, but in svg and math
+        if self._foreign() and tag not in VOID and self.open[-1].tag == tag:
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -120,7 +136,7 @@ class TreeBuilder(HTMLParser):
         if top.tag == "head" and data.strip():
             self.open.pop()
             top = self.open[-1]
-        if top.tag == "title" and len(self.open) <= 4:
+        if top.tag == "title" and len(self.open) <= 4 and not self._foreign():
             self.title.append(data)
         top.children.append(data)
 

@@ -495,6 +495,17 @@ B
 S"""
 
 
+def test_formulas_and_drawings_are_shown():
+    title, text = html.extract("""<head><title>Page</title></head><body><p>Area <math><semantics><mrow><mi>A</mi><mo>=</mo>
+<mfrac><mn>7</mn><mn>2</mn></mfrac></mrow><annotation encoding="tex">A=\\frac</annotation><annotation-xml>gone</annotation-xml></semantics></math> here</p>
+<svg><title>gone</title><desc>gone</desc><metadata>gone</metadata><defs><text>gone</text></defs><defs/><path d="M0 0"/>
+<text x="1">North</text><text x="9">South</text><text display="none">gone</text></svg><svg style="display:none"><text>gone</text></svg>
+<desc>shown</desc><p>end</p>""")
+    assert title == "Page"
+    assert text.split() == ["Area", "A=", "7", "2", "here", "North", "South", "shown", "end"]
+    assert html.extract("<svg><title>gone</title><text>a</text></svg>") == (None, "a")
+
+
 def test_op4_keeps_all_visible_words(spark):
     import re
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
