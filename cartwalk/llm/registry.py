@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwalk.llm import bpe, decontaminate, html, licenses, lm, quality, shards, simhash, substrings, tokenfiles
+from cartwalk.llm import (bpe, decontaminate, html, langid, licenses, lm, negatives, quality, runs, shards, simhash, substrings,
+                          tokenfiles)
 from cartwalk.sources.tables import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,10 +75,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats_digest(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every whole text, a tenth of the texts made
+    periodic first as the query's contract says."""
+    return runs.runs_digest(runs.planted(_documents(spark, sf_dir)))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every fiftieth embedding and its five best rows of
+    the same label."""
+    return negatives.hard_negatives(negatives.relabelled(read_table(spark, sf_dir, "embeddings")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt from three quarters of the
+    labelled documents."""
+    return langid.languages_digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_sharding, op3_bpe_codec, op4_html_extraction, op5_license_scan, op6_simhash_near_dedup, op7_token_files, op8_benchmark_decontamination, op9_quality_rules, op10_substring_dedup,
+        op11_periodic_runs, op12_hard_negatives, op13_language_id,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": negatives.NEGATIVES_SQL}
