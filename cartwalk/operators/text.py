@@ -1,23 +1,21 @@
 """Item text, bag-of-words encoding and cosine retrieval.
 
 Documents and queries become long tables ``(id, term, tf)``; the vocabulary
-is the most frequent terms; query-to-item cosine is an inverted-index join
-on the term followed by a partial aggregation on (query, item).  All-pairs
-item similarity is computed block against block with dense vectors inside
-each task (``applyInPandas``), so no task ever holds the pairs of one common
-term for the whole corpus.
+is the most frequent terms.  Retrieval (T9, T10) and all-pairs similarity
+(T12) are pruned searches of :mod:`cartwalk.operators.retrieval`; the plain
+inverted-index join on the term (:func:`query_item_cosine`) remains for
+selective vocabularies.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import rank_key
 from cartwalk.functions.stemmer import stem_udf
 from cartwalk.operators.ids import dense_index
+from cartwalk.operators.retrieval import SHARD_DOCS, cosine_join
 
 # Word-token pattern (two or more letters, digits or
 # underscores, the vectorizer's default) and thresholds.
@@ -136,14 +134,24 @@ def fit_vocabulary(doc_terms: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
     return top.withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))
 
 
+def stemmed_counts(docs: DataFrame, id_col: str, stop: list[str], stem: bool = True, text_col: str = "text", stemmer=stem_udf) -> DataFrame:
+    """(id, term, tf) without stop words.  Tokens are counted by
+    document first (a document is in one task, so the counts are final before
+    any shuffle) and only then joined to their stems: a frequent token is one
+    row a document there, not one an occurrence."""
+    counts = term_counts(tokens(docs, [id_col], text_col), [id_col]).withColumnRenamed("term", "token")
+    if stem:
+        counts = stem_tokens(counts, stemmer)
+    counts = remove_stop_words(counts, stop)
+    if not stem:
+        return counts.withColumnRenamed("token", "term")
+    return counts.groupBy(id_col, F.col("token").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
 def doc_vectors(docs: DataFrame, id_col: str, vocab: DataFrame, stop: list[str],
                 stem: bool = False, text_col: str = "text") -> DataFrame:
     """(id, term, term_id, tf) restricted to the vocabulary."""
-    t = tokens(docs, [id_col], text_col)
-    if stem:
-        t = stem_tokens(t)
-    t = remove_stop_words(t, stop)
-    return term_counts(t, [id_col]).join(vocab.select("term", "term_id"), "term")
+    return stemmed_counts(docs, id_col, stop, stem, text_col).join(vocab.select("term", "term_id"), "term")
 
 
 def norms(vec: DataFrame, id_col: str) -> DataFrame:
@@ -187,95 +195,21 @@ def top_similar(sim: DataFrame, queries: DataFrame, items: DataFrame, n: int = T
     return top.unionByName(fill)
 
 
-# -- blocked cosine (T9, T10, T12) ------------------------------------------
-
-def blocked_cosine(left: DataFrame, right: DataFrame | None, left_id: str, right_id: str,
-                   threshold: float = COSINE_THRESHOLD, topk: int | None = None,
-                   vocab_size: int = VOCAB_SIZE, block_rows: int = 1024) -> DataFrame:
-    """Cosine of vectors ``(id, term_id, tf)``: every (left, right) pair above
-    ``threshold``, or with ``topk`` only each left id's ``topk`` best (sim
-    desc, right id asc) - exact, because a pair outside its block's top-k
-    cannot be in the global top-k.
-
-    Each vector travels as one packed row (term ids and counts as arrays).
-    Ids are hashed into ``ceil(n / block_rows)`` blocks; each task multiplies
-    one left block by one right block as dense matrices (the vocabulary is
-    the most frequent terms, so vectors are dense) and keeps only pairs above
-    the threshold.  Task memory is bounded by the block size, and no task
-    ever holds the postings of a common term for the whole corpus.  With
-    ``right=None`` the left table is paired with itself (T12): block pairs
-    b1 <= b2, mirrored, diagonal kept.
-    """
-    spark = left.sparkSession
-    self_pairs = right is None
-    lt = dict(left.dtypes)[left_id]
-    rt = lt if self_pairs else dict(right.dtypes)[right_id]
-
-    def n_blocks(df, idc):
-        n = df.select(idc).distinct().count()
-        return max(1, -(-n // block_rows))
-
-    nl = n_blocks(left, left_id)
-    nr = nl if self_pairs else n_blocks(right, right_id)
-    def packed(df, idc):
-        # one row per vector: (id, term ids, counts) - what crosses into Python
-        return df.groupBy(idc).agg(F.collect_list(F.struct("term_id", "tf")).alias("v")).select(
-            idc, F.col("v.term_id").alias("term_id"), F.col("v.tf").cast("array<double>").alias("tf"))
-
-    L = packed(left, left_id).select(F.col(left_id).alias("lid"), F.lit(None).cast(rt).alias("rid"), "term_id", "tf",
-                                     F.pmod(F.xxhash64(left_id), F.lit(nl)).alias("lb"))
-    src_r = left if self_pairs else right
-    rcol = left_id if self_pairs else right_id
-    R = packed(src_r, rcol).select(F.lit(None).cast(lt).alias("lid"), F.col(rcol).alias("rid"), "term_id", "tf",
-                                   F.pmod(F.xxhash64(rcol), F.lit(nr)).alias("rb"))
-    # block-pair table: at most nl * nr rows (blocks, not items)
-    lb = spark.range(nl).select(F.col("id").alias("lb"))
-    rb = spark.range(nr).select(F.col("id").alias("rb"))
-    pairs = lb.join(rb, (F.col("lb") <= F.col("rb")) if self_pairs else F.lit(True))
-    cols = ["lb", "rb", "lid", "rid", "term_id", "tf", "side"]
-    data = pairs.join(L.withColumn("side", F.lit(0)), "lb").select(*cols).unionByName(
-        pairs.join(R.withColumn("side", F.lit(1)), "rb").select(*cols))
-    out_schema = f"{left_id} {lt}, {right_id} {rt}, sim double"
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf.side == 0]
-        b = pdf[pdf.side == 1]
-        mirror = self_pairs and pdf.lb.iloc[0] != pdf.rb.iloc[0]
-        def dense(rows):
-            M = np.zeros((len(rows), vocab_size))
-            lens = rows.term_id.map(len).values
-            if lens.sum():
-                r = np.repeat(np.arange(len(rows)), lens)
-                M[r, np.concatenate(rows.term_id.values).astype(np.int64)] = np.concatenate(rows.tf.values)
-            return M
-        ida, idb = a.lid.values, b.rid.values
-        A, B = dense(a), dense(b)
-        S = (A @ B.T) / np.outer(np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1))
-        S = np.where(S > threshold, S, 0.0)
-        r, c = np.nonzero(S)
-        res = pd.DataFrame({left_id: ida[r], right_id: idb[c], "sim": S[r, c]})
-        if mirror:
-            res = pd.concat([res, res.rename(columns={left_id: right_id, right_id: left_id})[res.columns]],
-                            ignore_index=True)
-        if topk is not None and len(res):
-            res["_k"] = -np.floor(res["sim"].values * 1e12 + 0.5)
-            res = (res.sort_values([left_id, "_k", right_id]).groupby(left_id, sort=False).head(topk)
-                   .drop(columns="_k"))
-        return res
-
-    sims = data.groupBy("lb", "rb").applyInPandas(product, out_schema)
-    if topk is None:
-        return sims
-    w = Window.partitionBy(left_id).orderBy(rank_key("sim").desc(), F.col(right_id))
-    return sims.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= topk).drop("_r")
-
+# -- T12 ------------------------------------------------------------------------
 
 def all_pairs_cosine(dv: DataFrame, id_col: str = "item_id", threshold: float = COSINE_THRESHOLD,
-                     block_rows: int = 1024, vocab_size: int = VOCAB_SIZE) -> DataFrame:
-    """Cosine of every item pair above ``threshold`` (diagonal kept,
-    both orders), block against block."""
-    return blocked_cosine(dv.withColumnRenamed(id_col, "item_a"), None, "item_a", "item_b", threshold,
-                          None, vocab_size, block_rows)
+                     block_rows: int = SHARD_DOCS, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """T12 as a matrix: cosine of every item pair above ``threshold``
+    (diagonal kept, both orders), copies written out.  It expands the class
+    rows of :func:`cosine_join`, which large tables should use as they are.
+    ``block_rows`` bounds a shard; the index needs no vocabulary size."""
+    rows = cosine_join(dv, id_col, threshold, shard_docs=block_rows)
+    member = rows.filter(F.col("kind") == "member").select(F.col("item_a").alias("rep"), F.col("item_b").alias("id"))
+    pairs = rows.filter(F.col("kind") == "pair").select(F.col("item_a").alias("ra"), F.col("item_b").alias("rb"), "sim")
+    pairs = pairs.unionByName(pairs.select(F.col("rb").alias("ra"), F.col("ra").alias("rb"), "sim")) \
+        .unionByName(member.filter(F.col("id") == F.col("rep")).select(F.col("rep").alias("ra"), F.col("rep").alias("rb"), F.lit(1.0).alias("sim")))
+    one, two = (member.select(F.col("rep").alias(r), F.col("id").alias(i)) for r, i in (("ra", "item_a"), ("rb", "item_b")))
+    return pairs.join(one, "ra").join(two, "rb").select("item_a", "item_b", "sim")
 
 
 # -- T11, T13 -----------------------------------------------------------------

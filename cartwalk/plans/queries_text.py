@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
 from cartwalk.functions.stemmer import stem_sql
+from cartwalk.operators import retrieval as RT
 from cartwalk.operators import text as TX
 from cartwalk.plans import recommend as P
 from cartwalk.plans.queries_rec import REC
@@ -73,12 +74,8 @@ def doc_term_counts(ctx, stem: bool = True):
     and stemmed once per context and stored."""
     key = ("doc_terms", stem)
     if key not in ctx.memo:
-        t = TX.tokens(_docs(ctx), ["item_id"])
-        if stem:
-            t = TX.stem_tokens(t)
-        t = TX.remove_stop_words(t, _stop(ctx))
         from cartwalk.session import materialize
-        ctx.memo[key] = materialize(TX.term_counts(t, ["item_id"]))
+        ctx.memo[key] = materialize(TX.stemmed_counts(_docs(ctx), "item_id", _stop(ctx), stem))
     return ctx.memo[key]
 
 
@@ -112,8 +109,7 @@ def query_vecs(ctx, stem: bool = True):
 
 def top_items(ctx, stem: bool = True):
     qv = query_vecs(ctx, stem)
-    sim = TX.blocked_cosine(qv.select("query_id", "term_id", "tf"), doc_vecs(ctx, stem), "query_id", "item_id",
-                            topk=TX.TOP_N)
+    sim = RT.block_max_search(qv.select("query_id", "term_id", "tf"), doc_vecs(ctx, stem), "query_id", "item_id", TX.COSINE_THRESHOLD, TX.TOP_N)
     top = TX.top_similar(sim, _queries(ctx), _docs(ctx), TX.TOP_N)
     return top.join(_queries(ctx).select("query_id", "conv_id", "turn"), "query_id")
 
@@ -202,7 +198,7 @@ def text_query_terms(ctx):
 def sim_query_items(ctx):
     """Query-to-document cosine above 0.1."""
     qv = query_vecs(ctx)
-    sim = TX.blocked_cosine(qv.select("query_id", "term_id", "tf"), doc_vecs(ctx), "query_id", "item_id")
+    sim = RT.block_max_search(qv.select("query_id", "term_id", "tf"), doc_vecs(ctx), "query_id", "item_id", TX.COSINE_THRESHOLD)
     return sim.join(_queries(ctx).select("query_id", "conv_id", "turn"), "query_id").select(
         "conv_id", "turn", "item_id", r6("sim").alias("sim"))
 
@@ -222,11 +218,19 @@ def encode_query(ctx):
                     F.lit(QUERY_TS).cast("timestamp_ntz").alias("date"))
 
 
-@query("sim_all_pairs")
+@query("sim_all_pairs", with_roles(f"""
+SELECT 'pair' AS kind, a.item_id AS item_a, b.item_id AS item_b, {R6('sum(a.tf * b.tf) / (min(na.nd) * min(nb.nd))')} AS sim
+FROM rvec a JOIN rvec b ON a.term = b.term AND a.item_id < b.item_id JOIN dn na ON na.item_id = a.item_id JOIN dn nb ON nb.item_id = b.item_id
+GROUP BY 2, 3 HAVING sum(a.tf * b.tf) / (min(na.nd) * min(nb.nd)) > {TX.COSINE_THRESHOLD}
+UNION ALL SELECT 'member', rep, item_id, 1.0 FROM cls""", TEXT_CTES + """,
+cls AS (SELECT item_id, min(item_id) OVER (PARTITION BY v) AS rep FROM (
+  SELECT item_id, string_agg(term_id || ':' || tf, ' ' ORDER BY term_id) AS v FROM dvec GROUP BY 1)),
+rvec AS (SELECT * FROM dvec WHERE item_id IN (SELECT rep FROM cls))"""))
 def sim_all_pairs(ctx):
-    """All document pairs with cosine above 0.1 (blocked dense
-    products; checked against brute force in the tests, no SQL oracle)."""
-    return TX.all_pairs_cosine(doc_vecs(ctx)).select("item_a", "item_b", r6("sim").alias("sim"))
+    """All document pairs with cosine above 0.1, equal vectors as one
+    class (`pair` rows between classes, `member` rows for their documents)."""
+    return RT.cosine_join(doc_vecs(ctx).select("item_id", "term_id", "tf"), "item_id", TX.COSINE_THRESHOLD).select(
+        "kind", "item_a", "item_b", r6("sim").alias("sim"))
 
 
 @query("decode_items", with_roles(
