@@ -9,13 +9,19 @@ selective vocabularies.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cartwalk.functions.exprs import rank_key
-from cartwalk.functions.stemmer import stem_udf
+from cartwalk.functions.stemmer import stem_udf, stem_word
 from cartwalk.operators.ids import dense_index
 from cartwalk.operators.retrieval import SHARD_DOCS, cosine_join
+from cartwalk.session import bounded_batches, materialize
 
 # Word-token pattern (two or more letters, digits or
 # underscores, the vectorizer's default) and thresholds.
@@ -134,18 +140,47 @@ def fit_vocabulary(doc_terms: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
     return top.withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))
 
 
-def stemmed_counts(docs: DataFrame, id_col: str, stop: list[str], stem: bool = True, text_col: str = "text", stemmer=stem_udf) -> DataFrame:
-    """(id, term, tf) without stop words.  Tokens are counted by
-    document first (a document is in one task, so the counts are final before
-    any shuffle) and only then joined to their stems: a frequent token is one
-    row a document there, not one an occurrence."""
-    counts = term_counts(tokens(docs, [id_col], text_col), [id_col]).withColumnRenamed("term", "token")
-    if stem:
-        counts = stem_tokens(counts, stemmer)
-    counts = remove_stop_words(counts, stop)
-    if not stem:
-        return counts.withColumnRenamed("token", "term")
-    return counts.groupBy(id_col, F.col("token").alias("term")).agg(F.sum("tf").alias("tf"))
+# Words whose stems a Python worker remembers before it starts afresh.
+REMEMBERED = 200_000
+_WORD = re.compile(r"\w{2,}")
+_STEMS: dict[str, dict[str, str]] = {}
+
+
+def stemmed_counts(docs: DataFrame, id_col: str, stop: list[str], stem: bool = True, text_col: str = "text", stemmer=stem_word) -> DataFrame:
+    """(id, term, tf) without stop words: the tokens of
+    :func:`tokens`, stemmed by ``stemmer`` (word to word), stop words removed.
+
+    One pass over the texts in Arrow batches: a document's tokens are counted
+    where it is read and each worker stems a word once, so only (id, term, tf)
+    rows are shuffled, to add up documents that stand on several rows; there is
+    no join of occurrences to stems and no hot token.  Null texts have no rows."""
+    bounded_batches(docs.sparkSession)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind, gone, key = to_arrow_type(d.schema["id"].dataType), frozenset(stop), f"{stemmer.__module__}.{stemmer.__qualname__}"
+
+    def count(batches):
+        known = _STEMS.setdefault(key, {})
+        for b in batches:
+            ids, terms, tf = [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen = Counter(_WORD.findall(text.lower())) if text else {}
+                if stem:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    words, seen = seen, Counter()
+                    for w, n in words.items():
+                        s = known.get(w)
+                        if s is None:
+                            s = known[w] = stemmer(w)
+                        seen[s] += n
+                kept = [(t, n) for t, n in seen.items() if t not in gone]
+                ids += [i] * len(kept)
+                terms += [t for t, _ in kept]
+                tf += [n for _, n in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], names=["id", "term", "tf"])
+
+    rows = d.mapInArrow(count, f"id {d.schema['id'].dataType.simpleString()}, term string, tf long")
+    return rows.groupBy(F.col("id").alias(id_col), "term").agg(F.sum("tf").alias("tf"))
 
 
 def doc_vectors(docs: DataFrame, id_col: str, vocab: DataFrame, stop: list[str],
@@ -182,6 +217,7 @@ def top_similar(sim: DataFrame, queries: DataFrame, items: DataFrame, n: int = T
     top = sim.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
     if not fill_zero:
         return top
+    top = materialize(top)  # read by the counts, the exclusions and the result
     npos = top.groupBy(q_id).agg(F.count(F.lit(1)).alias("_np"))
     need = queries.select(q_id).distinct().join(npos, q_id, "left").select(
         F.col(q_id).alias("session_id"), F.coalesce("_np", F.lit(0)).alias("_np"),

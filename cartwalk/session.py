@@ -68,6 +68,14 @@ def _apply(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bound the Arrow batches handed to Python by bytes where the session
+    leaves them unbounded: ten thousand long texts are no longer one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, str((1 << 63) - 1), "-1"):
+        spark.conf.set(key, str(size))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
