@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, and a digest of their decoding."""
-    return bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(TOKENIZER)).drop("text")
+    return bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(TOKENIZER), drop=True)
 
 
 STAGES = [
@@ -66,6 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{uuid.uuid4().hex}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.option("compression", "none").parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
