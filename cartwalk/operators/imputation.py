@@ -14,7 +14,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomFore
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,29 +177,3 @@ def impute_failed(ids: DataFrame, assigned: DataFrame) -> DataFrame:
     """Ids left without an admissible literal."""
     return ids.select("feature_category_id").distinct().join(
         assigned.select("feature_category_id"), "feature_category_id", "left_anti")
-
-
-def grid_search(features: DataFrame) -> DataFrame:
-    """A 2x2 grid under three validation schemes: k-fold, stratified
-    folds (``foldCol``) and a single train/validation split."""
-    known, _ = split_known(features)
-    known = _prep(known)
-    label_idx = StringIndexer(inputCol=LABEL, outputCol="label", handleInvalid="keep")
-    rf = RandomForestClassifier(seed=SEED)
-    pipe = Pipeline(stages=_features_stages() + [label_idx, rf])
-    grid = ParamGridBuilder().addGrid(rf.numTrees, [5, 10]).addGrid(rf.maxDepth, [3, 5]).build()
-    ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    rows = []
-    kf = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=3, seed=SEED).fit(known)
-    rows.append(("kfold", kf.avgMetrics))
-    strat = known.withColumn("fold", F.pmod(F.xxhash64(LABEL, "item_id", "feature_category_id"), F.lit(3)).cast("int"))
-    sf = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold").fit(strat)
-    rows.append(("stratified", sf.avgMetrics))
-    tv = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.75,
-                              seed=SEED).fit(known)
-    rows.append(("train_validation", tv.validationMetrics))
-    out = []
-    for scheme, metrics in rows:
-        for pm, m in zip(grid, metrics):
-            out.append((scheme, int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(m)))
-    return features.sparkSession.createDataFrame(out, "scheme STRING, num_trees INT, max_depth INT, accuracy DOUBLE")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartwalk.functions.exprs import r6
 from cartwalk.operators import enrichment as EN
 from cartwalk.operators import imputation as IM
+from cartwalk.operators import networks as NW
 from cartwalk.plans.registry import query
 from cartwalk.plans.sqlroles import R6, with_roles
 from cartwalk.sources import io as IO
@@ -354,8 +355,11 @@ def impute_mlp(ctx):
 
 @query("impute_grid")
 def impute_grid(ctx):
-    """Grid search under three validation schemes."""
-    return IM.grid_search(ctx.r.item_features())
+    """Sixteen networks (layers, activation, solver) under shuffled,
+    stratified and forward-chaining time folds, five each.  An item's date is
+    that of its first train view."""
+    dates = ctx.r.train_views().groupBy("item_id").agg(F.min("date").alias("date"))
+    return NW.grid_search(ctx.r.item_features(), IM.LABEL, dates, epochs=4)
 
 
 CLF = """clf AS (

@@ -112,18 +112,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
+def materialize(df, *partition_by: str):
     """Cut lineage: write ``df`` as a Parquet table under the shared
     checkpoint folder and return a DataFrame reading it back.  Used at
     model/artefact boundaries so later plans stay small, a lost executor
     does not recompute the fit, and the planner sees the table's real size
-    (AQE broadcast decisions, column pruning on read)."""
+    (AQE broadcast decisions, column pruning on read).  ``partition_by`` columns
+    become folders, so that a filter on them reads the matching files only."""
     import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"mat-{uuid.uuid4().hex}")
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").partitionBy(*partition_by).parquet(path)
     _STORED.append(path)
-    out = spark.read.parquet(path)
+    # An empty table with folders has no file to take the schema from.
+    out = (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
     out._cartwalk_stored = True
     return out
 
