@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwalk.plans import recommend as P
+from cartwalk.plans.queries_rec import REC
+from cartwalk.plans.queries_session import ACC
 from cartwalk.plans.registry import query
+from cartwalk.plans.sqlroles import with_roles
 from cartwalk.streaming import sessions as ST
 
 
-@query("stream_session")
+@query("stream_session", with_roles("""
+SELECT conv_id AS session_id, CAST(turn AS BIGINT) AS turn, added AS added_item, CAST(len(list_filter(items, lambda x: x IS NOT NULL)) AS BIGINT) AS session_size
+FROM walk""", ACC))
 def stream_session(ctx):
     """Keyed-state session accumulation over every user turn of every
     conversation (messages applied in turn order)."""
@@ -18,7 +23,7 @@ def stream_session(ctx):
     return ST.stream_session(ctx.spark, top)
 
 
-@query("stream_recommend")
+@query("stream_recommend", with_roles("SELECT session_id, item_id, rank FROM t_top", REC))
 def stream_recommend(ctx):
     """Micro-batches of test views scored against the fitted W."""
     W = P.fit_w(ctx)
@@ -26,7 +31,7 @@ def stream_recommend(ctx):
     def rec(batch):
         prof = P.views_profile(batch)
         return P.recommend(ctx, prof, W, 10).select("session_id", "item_id", "rank")
-    return ST.stream_recommend(ctx.spark, ctx.r.test_views(), rec)
+    return ST.stream_recommend(ctx.spark, ctx.r.test_views(), rec).select("session_id", "item_id", "rank")
 
 
 @query("stream_window_4h")
@@ -36,7 +41,9 @@ def stream_window_4h(ctx):
     return ST.stream_window_4h(ctx.spark, ev)
 
 
-@query("stream_dedup_last")
+@query("stream_dedup_last", with_roles("""
+SELECT session_id, item_id, date, event_id FROM event_interactions
+QUALIFY row_number() OVER (PARTITION BY session_id, item_id ORDER BY date DESC, event_id DESC) = 1"""))
 def stream_dedup_last(ctx):
     """Keep-last per (session, item) over the event stream."""
     return ST.stream_dedup_last(ctx.spark, ctx.r.event_interactions())
