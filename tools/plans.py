@@ -35,7 +35,7 @@ def main():
     items = [
         ("Walk model fit (R7-R10) on the stored train matrix",
          "Partial aggregation of pair sums before the (i, j) exchange; WindowGroupLimit Partial "
-         "before and Final after each top-k exchange; the salt generator on the right side.",
+         "before and Final after each top-k exchange; the salt generators of the grid on both sides.",
          WK.rp3_fit(urm, topK=20)),
         ("Ranking (R12-R16) on stored W and profile, without fill",
          "Profile joined to W on the item, partial aggregation on (session, item), anti-joins for "
