@@ -21,11 +21,14 @@ variations of one question adds one row to the join, not one for each.
 
 A document is contaminated by a template if consistent alignments, or verbatim
 ones, cover ``min(MIN_TOKENS, SHARE of its length)`` of its tokens or more.
+
+Items of fewer than ``MIN_ITEM`` tokens ("Paris", "42") say nothing about a
+document that holds them; they take no part and :func:`too_short` lists them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwalk.llm.common import fresh, quoted, ready, stored
@@ -36,6 +39,8 @@ MIN_TOKENS = 13
 SHARE = 0.8
 # A canonical window needs this many words that are no placeholders.
 MIN_LITERAL = 4
+# Items of fewer words and numbers than this are told apart, not matched.
+MIN_ITEM = 4
 # Rows of template windows that may be broadcast (three numbers each).
 BROADCAST_ROWS = 200_000
 
@@ -112,7 +117,7 @@ def _windows(tokens: Column, sizes: list[int], plain: bool = False) -> Column:
                 if plain:
                     return F.struct(F.xxhash64(F.lit(-k), *parts).alias("h"), i.alias("pos"))
                 literal = sum((F.when(p["lit"], 1).otherwise(0) for p in parts[1:]), F.when(parts[0]["lit"], 1).otherwise(0))
-                return F.when(literal >= min(MIN_LITERAL, k), F.struct(
+                return F.when(literal >= MIN_LITERAL, F.struct(
                     F.xxhash64(F.lit(k), *[p["h"] for p in parts]).alias("h"), i.alias("pos")))
             n = F.size(h) - k
             every = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), window)
@@ -124,13 +129,20 @@ def _windows(tokens: Column, sizes: list[int], plain: bool = False) -> Column:
     return _bound(marks, lambda h: F.concat(*[of(k)(h) for k in sizes]))
 
 
-def _conflicts(pairs: Column, x: Column) -> Column:
-    """Whether pair ``x`` of a slot and a value is at odds with the others: the
-    slot has another value at least as often, or two slots have one name."""
-    def often(y):
-        return F.size(F.filter(pairs, lambda z: (z["s"] == y["s"]) & (z["v"] == y["v"])))
-    return F.exists(pairs, lambda y: (y["s"] == x["s"]) & (y["v"] != x["v"]) & (often(y) >= often(x))) | (
-        x["v"].startswith(NAME) & F.exists(pairs, lambda y: (y["s"] != x["s"]) & (y["v"] == x["v"])))
+def _conflicts(slots: DataFrame, by: list[str]) -> DataFrame:
+    """Positions of the slots at odds with their alignment: ``slots`` (the
+    columns ``by`` of an alignment, p, s, v) -> by, bad (array of p).  A pair of a slot and a
+    value is at odds if the slot has another value at least as often, or if
+    the value is a name that another slot has too."""
+    def over(*cols):
+        return Window.partitionBy(*by, *cols)
+    # One shuffle by alignment; it serves the counts and both windows.
+    pairs = slots.filter("v IS NOT NULL").repartition(*by).groupBy(*by, "s", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list("p").alias("ps"))
+    pairs = pairs.withColumn("top", F.max("n").over(over("s"))).withColumn(
+        "tops", F.sum(F.when(F.col("n") == F.col("top"), 1).otherwise(0)).over(over("s"))).withColumn(
+        "shared", F.col("v").startswith(NAME) & (F.count(F.lit(1)).over(over("v")) > 1))
+    return pairs.filter("shared OR n < top OR tops > 1").groupBy(*by).agg(F.flatten(F.collect_list("ps")).alias("bad"))
 
 
 def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,8 +169,8 @@ def templates(bench: DataFrame, id_col: str = "item_id", text_col: str = "text")
 
 def _own_windows(rows: DataFrame, tokens: str, plain: bool) -> tuple[DataFrame, list[int]]:
     """Windows of the benchmark side (rows: key, n, tokens), each of the one
-    size its length asks for, and the sizes there are (1..WINDOW)."""
-    k = F.least("n", F.lit(WINDOW))
+    size its length asks for, and the sizes there are (MIN_ITEM..WINDOW)."""
+    rows, k = rows.filter(F.col("n") >= MIN_ITEM), F.least("n", F.lit(WINDOW))
     sizes = sorted(r["k"] for r in rows.select(k.alias("k")).distinct().collect())
     parts = [rows.filter(k == s).select("key", "n", F.lit(s).alias("k"), F.lit(plain).alias("plain"), F.explode(
         _windows(F.col(tokens), [s], plain)).alias("w")) for s in sizes or [WINDOW]]
@@ -168,6 +180,14 @@ def _own_windows(rows: DataFrame, tokens: str, plain: bool) -> tuple[DataFrame,
     return own.select("key", "n", "k", "plain", F.col("w.h").alias("h"), F.col("w.pos").alias("tpos")).distinct(), sizes
 
 
+def too_short(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Items that :func:`hits` never reports, as they have fewer than
+    ``MIN_ITEM`` words and numbers: item_id, n_words.  Null and empty texts
+    have 0; null ids and repeated rows are listed as they are."""
+    n = F.size(verbatim(quoted(text_col)))
+    return bench.select(quoted(id_col).alias("item_id"), n.cast("long").alias("n_words")).filter(F.col("n_words") < MIN_ITEM)
+
+
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and template that contaminates it: doc_id,
     item_id (the template's smallest), n_items of the template, n_tokens of it,
@@ -176,7 +196,8 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null and empty texts match nothing.  Rows that share a document id are
     taken as parts of one document; rows with a null id never match.  An empty
-    table on either side gives an empty result.
+    table on either side gives an empty result.  Items listed by
+    :func:`too_short` match nothing.
     """
     text = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).filter("doc_id IS NOT NULL")
     return _hits(text, bench).withColumnRenamed("doc_id", id_col)
@@ -208,14 +229,17 @@ def _hits(text: DataFrame, bench: DataFrame) -> DataFrame:
     matched = found.select("doc_id").distinct()
     opposite = text.join(matched, "doc_id").select("doc_id", canonical(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("v")).select(
         "doc_id", _opposite(F.col("tokens"), F.col("v")).alias("values"))
-    lined = found.join(known, "key").join(opposite, "doc_id").withColumn("pairs", F.filter(
+    lined = stored(found.join(known, "key").join(opposite, "doc_id").select("doc_id", "key", "n", "shift", "at", "k", F.filter(
         F.transform("covered", lambda p: F.struct(p.alias("p"), F.get("pattern", p).alias("s"), F.get("values", p + F.col("shift")).alias("v"))),
-        lambda x: x["s"] >= 0))
+        lambda x: x["s"] >= 0).alias("pairs")))
     # Only the windows over a conflicting slot go, not the whole alignment.
-    lined = lined.withColumn("bad", F.transform(F.filter("pairs", lambda x: _conflicts(F.col("pairs"), x)), lambda x: x["p"]))
-    lined = lined.withColumn("at", F.filter("at", lambda p: ~F.exists("bad", lambda b: (b >= p) & (b < p + F.col("k")))))
+    by = ["doc_id", "key", "shift"]
+    bad = _conflicts(lined.select(*by, F.inline("pairs")), by)
+    over_bad = F.flatten(F.transform("bad", lambda p: F.sequence(p - F.col("k") + 1, p)))
+    lined = lined.join(bad, by, "left").withColumn("at", F.when(F.col("bad").isNull(), F.col("at")).otherwise(
+        F.array_except("at", over_bad)))
     lined = lined.withColumn("covered", covered).withColumn(
-        "slots", F.size(F.filter("pairs", lambda x: F.array_contains(F.col("covered"), x["p"]))))
+        "slots", F.size(F.array_intersect(F.transform("pairs", lambda x: x["p"]), "covered")))
     varied = lined.groupBy("doc_id", "key", "n").agg(union, F.max("slots").alias("n_slots")).filter(
         F.col("covered") >= _wanted("n")).select("doc_id", "key", "covered", "n_slots")
     return copied.unionByName(varied).groupBy("doc_id", "key").agg(F.max("covered").alias("covered"), F.max("n_slots").alias("n_slots")).join(

@@ -276,6 +276,41 @@ def test_one_bad_slot_voids_its_windows_only(spark):
     assert got[11, 1]["covered"] < got[11, 1]["n_tokens"] == got[12, 1]["covered"]
 
 
+def test_items_of_few_words_condemn_nothing(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, "42"), (3, "New York!"), (4, "Is it New York?"), (5, None)],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "We met in Paris and then paris again, 42 times."), (11, "42"), (12, "Tell me: is it New York? Yes, New York.")],
+        "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(docs, bench).collect()} == {(12, 4)}
+    assert sorted(map(tuple, decontaminate.too_short(bench).collect())) == [(1, 1), (2, 1), (3, 2), (5, 0)]
+
+
+def test_conflicting_slots_against_brute_force(spark):
+    import random
+    rng = random.Random(5)
+    rows, want = [], {}
+    for a in range(60):
+        pairs = [(p, rng.randrange(4), rng.choice([decontaminate.NAME, decontaminate.NUMBER]) + rng.choice("xyz"))
+                 for p in range(rng.randrange(1, 9))]
+        rows += [(a, *x) for x in pairs]
+
+        def often(s, v):
+            return sum(1 for _, s2, v2 in pairs if (s2, v2) == (s, v))
+        want[a] = {p for p, s, v in pairs if any(s2 == s and v2 != v and often(s2, v2) >= often(s, v) for _, s2, v2 in pairs)
+                   or v[0] == decontaminate.NAME and any(s2 != s and v2 == v for _, s2, v2 in pairs)}
+    got = decontaminate._conflicts(spark.createDataFrame(rows, "a long, p int, s int, v string"), ["a"]).collect()
+    assert {r["a"]: set(r["bad"]) for r in got} == {a: b for a, b in want.items() if b}
+
+
+def test_a_table_of_many_numbers(spark):
+    text = "Then add all of these to one sum: " + ", ".join(f"item number {7 * i % 1009} of the long list" for i in range(400))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, text), (11, "item number 7 of a short list")], "doc_id long, text string")
+    got = decontaminate.hits(docs, bench).collect()
+    assert [(r["doc_id"], r["covered"], r["n_slots"]) for r in got] == [(10, got[0]["n_tokens"], 400)]
+
+
 def test_op8_finds_the_planted_passages(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
