@@ -246,18 +246,22 @@ def neg_samples(W: DataFrame, items: DataFrame, n: int, seed: int = 42, oversamp
             .withColumn("value", F.lit(0.0)))
 
 
-def session_walk(candidates: DataFrame) -> DataFrame:
+def session_walk(candidates: DataFrame, idle_turns: int | None = None) -> DataFrame:
     """S9 for whole conversations: turn by turn, each session takes the best
     candidate of the turn that it does not hold yet.  ``candidates``
     (session_id, turn, item_id, rank) -> session_id, turn, added_item (null when
-    every candidate is held), session_size.  Turns depend on the ones before, so a
+    every candidate is held), session_size.  With ``idle_turns``, a turn more than
+    that many after the last one finds the session empty.  Turns depend on the ones before, so a
     session is walked in one place; its rows are a few numbers for each turn."""
     import pandas as pd
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         held: set = set()
-        rows = []
+        rows, last = [], None
         for (session, turn), g in pdf.sort_values(["turn", "rank", "item_id"]).groupby(["session_id", "turn"], sort=True):
+            if idle_turns is not None and last is not None and turn - last > idle_turns:
+                held.clear()
+            last = turn
             added = next((i for i in g["item_id"].tolist() if i not in held), None)
             if added is not None:
                 held.add(added)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartwalk.functions.exprs import r6
 from cartwalk.operators import interactions as I
 from cartwalk.operators import ranking as RK
+from cartwalk.operators import pairsums as PS
 from cartwalk.operators import walk as WK
 from cartwalk.plans import recommend as P
 from cartwalk.plans.registry import query
@@ -131,6 +132,13 @@ def rp3_topk_row(ctx):
     return s.select("item_i", "item_j", r6("sim").alias("sim"))
 
 
+@query("rp3_pruned", with_roles(_w() + "m_r", TRAIN + "," + W20))
+def rp3_pruned(ctx):
+    """R7 and R8 with pairs left out that no row's cut can take."""
+    s, _ = PS.rp3_topk_row_pruned(P.train_urm(ctx), k=P.TOPK)
+    return s.select("item_i", "item_j", r6("sim").alias("sim"))
+
+
 @query("rp3_normalized", with_roles(_w() + "m_n", TRAIN + "," + W20))
 def rp3_normalized(ctx):
     """L1-normalised rows after the row cut."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cartwalk.functions.exprs import r6
 from cartwalk.plans import recommend as P
-from cartwalk.plans.queries_rec import REC
+from cartwalk.plans.queries_rec import REC, TRAIN, W20
 from cartwalk.plans.queries_session import ACC
 from cartwalk.plans.registry import query
-from cartwalk.plans.sqlroles import with_roles
+from cartwalk.plans.sqlroles import R6, with_roles
 from cartwalk.streaming import sessions as ST
 
 
@@ -34,6 +35,16 @@ def stream_recommend(ctx):
     return ST.stream_recommend(ctx.spark, ctx.r.test_views(), rec).select("session_id", "item_id", "rank")
 
 
+@query("stream_model", with_roles(f"SELECT item_i, item_j, {R6('sim')} AS sim FROM m_w", TRAIN + "," + W20))
+def stream_model(ctx):
+    """W after the last micro-batch of the train lines, which arrive in
+    time order; sessions go on over several batches."""
+    lines = ctx.r.train_lines().select("session_id", "item_id", "date", "is_purchase")
+    models = ST.stream_model(ctx.spark, lines, P.views_profile, topK=P.TOPK)
+    newest = models.agg(F.max("batch_id").alias("batch_id"))
+    return models.join(newest, "batch_id").select("item_i", "item_j", r6("sim").alias("sim"))
+
+
 @query("stream_window_4h")
 def stream_window_4h(ctx):
     """Approximate distinct purchasing sessions per 4-hour window."""

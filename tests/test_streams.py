@@ -26,6 +26,36 @@ def test_stream_session_matches_sequential(spark):
     assert got == want
 
 
+def test_silent_sessions_are_let_go(spark):
+    # Session 1 pauses for 5 turns, 2 for 3; 3 speaks once, late.
+    turns = {1: [0, 1, 6, 7], 2: [0, 3, 6], 3: [9], 4: [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]}
+    cands = [(s, t, i, r) for s, ts in turns.items() for t in ts for r, i in enumerate((10, 11, 12))]
+    df = spark.createDataFrame(cands, "session_id long, turn long, item_id long, rank long")
+    before = spark.conf.get(ST.STATE_STORE[0])
+    got = sorted(map(tuple, ST.stream_session(spark, df, idle_ms=3 * 60_000).collect()), key=lambda r: r[:2])
+    assert spark.conf.get(ST.STATE_STORE[0]) == before
+    assert got == sorted(map(tuple, I.session_walk(df, idle_turns=3).collect()), key=lambda r: r[:2])
+    assert [r[2:] for r in got if r[0] == 1] == [(10, 1), (11, 2), (10, 1), (11, 2)]
+    assert [r[2:] for r in got if r[0] == 2] == [(10, 1), (11, 2), (12, 3)]
+
+
+def test_model_follows_the_interactions(spark):
+    import random
+
+    from cartwalk.operators import walk as WK
+    rng = random.Random(8)
+    rows = [(rng.randrange(25), int(18 * rng.random() ** 2), f"2024-01-{rng.randrange(1, 29):02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00",
+             rng.random() < 0.3) for _ in range(400)]
+    lines = spark.createDataFrame(rows, "session_id long, item_id long, d string, is_purchase boolean").select(
+        "session_id", "item_id", F.col("d").cast("timestamp_ntz").alias("date"), "is_purchase")
+    models = ST.stream_model(spark, lines, lambda df: I.prepare_profile(df, 0.2, 1.0), topK=6).collect()
+    last = max(r["batch_id"] for r in models)
+    want = {(r["item_i"], r["item_j"]): r["sim"] for r in WK.rp3_fit(I.prepare_profile(lines, 0.2, 1.0), topK=6).collect()}
+    got = {(r["item_i"], r["item_j"]): r["sim"] for r in models if r["batch_id"] == last}
+    assert last >= 2 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
 def test_stream_dedup_matches_batch(spark):
     rows = [(1, 7, "2024-01-01 10:00:00", 1), (1, 7, "2024-01-01 11:00:00", 2), (2, 7, "2024-01-02 09:00:00", 3),
             (1, 8, "2024-01-01 12:00:00", 4), (2, 7, "2024-01-02 08:00:00", 5)]
