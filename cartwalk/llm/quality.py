@@ -231,12 +231,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
     Estimates are fitted on the rows that pass the base rules and cover all of
     them.  Null and empty texts have no words and fail the base rules.  Equal
-    rows get equal verdicts.  An empty table gives an empty one.  The rows are
-    stored with their counts, so texts are read and split a single time.
+    rows get equal verdicts.  An empty table gives an empty one.  Counts are
+    generated beside the rows, as the optimiser would copy a plain expression
+    into each place that uses it; texts are split once for the estimate and once for the verdict.
     """
     ready(docs.sparkSession)
     out = fresh("_quality", docs)
-    measured = stored(docs.withColumn(out, statistics(quoted(text_col))))
+    measured = docs.withColumn(out, F.explode(F.array(statistics(quoted(text_col)))))
     s = F.col(out)
     rows = measured.filter(~base_failed(s)).select(
         quoted(lang_col).alias("lang"), quoted(source_col).alias("source"), vector(s).alias("v"))
