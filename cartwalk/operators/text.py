@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cartwalk.functions.exprs import rank_key
+from cartwalk.functions.spanish import STEMMERS, stem_by_language
 from cartwalk.functions.stemmer import stem_udf, stem_word
 from cartwalk.operators.ids import dense_index
 from cartwalk.operators.retrieval import SHARD_DOCS, cosine_join
@@ -112,11 +113,19 @@ def stem_tokens(toks: DataFrame, stemmer=stem_udf) -> DataFrame:
     return toks.join(stems, "token").drop("token").withColumnRenamed("stem", "token")
 
 
-def stem_text(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """T4 as text: whitespace split, stem, re-join in order."""
-    words = df.select(*id_cols, F.posexplode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("pos", "token")) \
+def stem_text(df: DataFrame, id_cols: list[str], text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """T4 as text: whitespace split, stem, re-join in order.  With ``lang_col``
+    the rules are those of the row's language (English and Spanish; words of other
+    languages and of none stay as they are), else the English ones.  Texts without a word give no row."""
+    keep = [*id_cols, F.col(lang_col).alias("_lang")] if lang_col else id_cols
+    words = df.select(*keep, F.posexplode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("pos", "token")) \
         .filter(F.col("token") != "")
-    st = stem_tokens(words)
+    if lang_col:
+        pairs = words.select("token", "_lang").filter(F.col("_lang").isin(*STEMMERS)).distinct()
+        stems = pairs.select("token", "_lang", stem_by_language("token", "_lang").alias("_stem"))
+        st = words.join(stems, ["token", "_lang"], "left").withColumn("token", F.coalesce("_stem", "token"))
+    else:
+        st = stem_tokens(words)
     return st.groupBy(*id_cols).agg(
         F.concat_ws(" ", F.sort_array(F.collect_list(F.struct("pos", "token"))).getField("token")).alias("stemmed"))
 

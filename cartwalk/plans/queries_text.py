@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
+from cartwalk.functions.spanish import stem_spanish_sql
 from cartwalk.functions.stemmer import stem_sql
 from cartwalk.operators import retrieval as RT
 from cartwalk.operators import text as TX
@@ -151,7 +152,19 @@ def text_collapse(ctx):
     return TX.collapse_double_spaces(d, "lines")
 
 
-@query("text_stem")
+# Words by position, as the whitespace split leaves them.
+WORDS = """
+texts AS (
+  SELECT 'query' AS kind, conv_id || ':' || turn AS id, NULL AS lang, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT 'doc', CAST(doc_id AS VARCHAR), lang, text FROM documents),
+pieces AS (SELECT kind, id, lang, string_split_regex(lower(text), '\\s+') AS ws FROM texts),
+words AS (SELECT kind, id, lang, pos, token FROM (
+  SELECT kind, id, lang, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM pieces) WHERE token <> '')"""
+
+
+@query("text_stem", f"""WITH {WORDS},
+{stem_sql('words')}
+SELECT kind, id, string_agg(s.stem, ' ' ORDER BY pos) AS stemmed FROM words JOIN stems s USING (token) GROUP BY kind, id""")
 def text_stem(ctx):
     """T4: every user query and document stemmed word by word (whole
     texts; Porter stemmer on distinct tokens)."""
@@ -161,6 +174,21 @@ def text_stem(ctx):
     return TX.stem_text(q.unionByName(d), ["kind", "id"])
 
 
+@query("text_stem_lang", f"""WITH {WORDS},
+en_words AS (SELECT token FROM words WHERE kind = 'doc' AND lang = 'en'),
+es_words AS (SELECT token FROM words WHERE kind = 'doc' AND lang = 'es'),
+{stem_sql('en_words')},
+{stem_spanish_sql('es_words')}
+SELECT CAST(id AS BIGINT) AS doc_id, lang, string_agg(coalesce(es.stem, en.stem, w.token), ' ' ORDER BY pos) AS stemmed
+FROM words w LEFT JOIN stems en ON w.lang = 'en' AND en.token = w.token
+LEFT JOIN es_stems es ON w.lang = 'es' AND es.token = w.token
+WHERE kind = 'doc' GROUP BY id, lang""")
+def text_stem_lang(ctx):
+    """T4 with the stemmer as a parameter: every document stemmed by the rules
+    of its language column (Spanish and English; others unchanged)."""
+    return TX.stem_text(ctx.t.documents.select("doc_id", "lang", "text"), ["doc_id", "lang"], lang_col="lang")
+
+
 @query("text_stopwords", with_roles("""
 SELECT doc_id, count(*) AS n_tokens, CAST(sum(CASE WHEN token IN (SELECT token FROM stop_words) THEN 0 ELSE 1 END) AS BIGINT) AS n_kept
 FROM plain_dtok GROUP BY doc_id""", PLAIN_CTES))
