@@ -209,43 +209,6 @@ def session_fallback(queries: DataFrame, added: DataFrame, message: str) -> Data
              F.when(F.col("added_item").isNull(), F.lit(message)).alias("answer"))
 
 
-def neg_samples(W: DataFrame, items: DataFrame, n: int, seed: int = 42, oversample: float = 3.0) -> DataFrame:
-    """``n`` random ordered item pairs (a != b), distinct, not present in
-    W, with value 0.  Pairs are drawn in parallel from ``spark.range`` with a
-    seeded ``rand``; rounds of growing size go on until there are ``n``.
-    Raises ValueError when fewer than ``n`` such pairs exist.  ``limit`` is
-    the feature here (a sampler)."""
-    from cartwalk.session import materialize
-    spark = W.sparkSession
-    idx = dense_index(items.select("item_id").distinct(), ["item_id"], "_i", start=0)
-    n_items = idx.agg(F.count(F.lit(1)).alias("_n"))
-    existing = W.select(F.col("item_i").alias("item_a"), F.col("item_j").alias("item_b"))
-    known = idx.select("item_id")
-    off_diagonal = (existing.filter("item_a != item_b").distinct()
-                    .join(known.withColumnRenamed("item_id", "item_a"), "item_a", "left_semi")
-                    .join(known.withColumnRenamed("item_id", "item_b"), "item_b", "left_semi").count())
-    count = n_items.first()["_n"]
-    if count * (count - 1) - off_diagonal < n:
-        raise ValueError(f"only {count * (count - 1) - off_diagonal} pairs are absent from W, {n} wanted")
-    got, r = None, 0
-    while True:
-        m = int(n * oversample) << r
-        draws = with_scalar(spark.range(m), n_items).select(
-            F.floor(F.rand(seed + 2 * r) * F.col("_n")).cast("long").alias("ia"),
-            F.floor(F.rand(seed + 2 * r + 1) * F.col("_n")).cast("long").alias("ib"))
-        pairs = (draws.filter(F.col("ia") != F.col("ib"))
-                 .join(idx.select(F.col("_i").alias("ia"), F.col("item_id").alias("item_a")), "ia")
-                 .join(idx.select(F.col("_i").alias("ib"), F.col("item_id").alias("item_b")), "ib")
-                 .select("item_a", "item_b").distinct()
-                 .join(existing, ["item_a", "item_b"], "left_anti"))
-        got = materialize(pairs if got is None else got.unionByName(pairs).distinct())
-        if got.limit(n).count() >= n:
-            break
-        r += 1
-    return (got.orderBy(F.xxhash64("item_a", "item_b", F.lit(seed)), "item_a", "item_b").limit(n)
-            .withColumn("value", F.lit(0.0)))
-
-
 def session_walk(candidates: DataFrame, idle_turns: int | None = None) -> DataFrame:
     """S9 for whole conversations: turn by turn, each session takes the best
     candidate of the turn that it does not hold yet.  ``candidates``

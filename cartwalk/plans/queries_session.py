@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cartwalk.functions.exprs import r6
 from cartwalk.operators import interactions as I
 from cartwalk.operators import ranking as RK
+from cartwalk.operators import sampling as SP
 from cartwalk.operators import text as TX
 from cartwalk.plans import recommend as P
-from cartwalk.plans.queries_rec import REC, TOPPOP, TRAIN
+from cartwalk.plans.queries_rec import REC, TOPPOP, TRAIN, W20
 from cartwalk.plans.queries_text import DESC_CTES, TEXT_CTES, top_items
 from cartwalk.plans.registry import query
 from cartwalk.plans.sqlroles import R6, topk_ctes, urm_cte, with_roles
@@ -114,10 +115,31 @@ def urm_equal(ctx):
     return same.unionByName(diff)
 
 
-@query("neg_samples")
+def _mix_sql(x: str) -> str:
+    return f"('0x' || substr(md5('42:' || (i % 6 + 1) || ':' || {x}), 1, 12))::BIGINT"
+
+
+# Every absent pair listed and numbered; the sampler's permutation step by step.
+NEG = f"""
+absent AS (
+  SELECT a.item_id AS item_a, b.item_id AS item_b, row_number() OVER (ORDER BY a.item_id, b.item_id) - 1 AS t
+  FROM featured_items a CROSS JOIN featured_items b
+  WHERE a.item_id <> b.item_id AND NOT EXISTS (SELECT 1 FROM m_w w WHERE w.item_i = a.item_id AND w.item_j = b.item_id)),
+sides AS (SELECT m, CAST(floor(sqrt(m)) AS BIGINT) AS a, CAST(ceil(m / floor(sqrt(m))) AS BIGINT) AS b FROM (SELECT count(*) AS m FROM absent)),
+perm AS (
+  SELECT k, 0 AS i, k % a AS l, k // a AS r, a, b, m FROM range(1000) t(k), sides
+  UNION ALL
+  SELECT k, i + 1, CASE WHEN i % 2 = 0 THEN (l + {_mix_sql('r')}) % a ELSE l END,
+    CASE WHEN i % 2 = 1 THEN (r + {_mix_sql('l')}) % b ELSE r END, a, b, m
+  FROM perm WHERE i = 0 OR i % 6 <> 0 OR r * a + l >= m)"""
+
+
+@query("neg_samples", with_roles("""
+SELECT item_a, item_b, CAST(0 AS DOUBLE) AS value FROM absent
+JOIN (SELECT r * a + l AS t FROM perm WHERE i > 0 AND i % 6 = 0 AND r * a + l < m) USING (t)""", TRAIN + "," + W20 + "," + NEG))
 def neg_samples(ctx):
-    """1,000 random item pairs absent from W (value 0)."""
-    return I.neg_samples(P.fit_w(ctx), ctx.r.featured_items(), 1000)
+    """1,000 random item pairs absent from W (value 0), by rank among the absent ones."""
+    return SP.absent_pairs(P.fit_w(ctx), ctx.r.featured_items(), 1000)
 
 
 ACC = TEXT_CTES + """,
