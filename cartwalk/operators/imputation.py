@@ -3,8 +3,7 @@
 Rows with a category literal train a classifier over one-hot encoded ids;
 rows without one get a prediction.  Forests and networks of another library
 are not reproducible here, so results are checked on rows, classes and
-accuracy bounds only.  Greedy rounds (E20, E29) loop on the driver, with one
-small read per round.
+accuracy bounds only.  One-to-one rounds (E20, E29) are in ``assignment``.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwalk.operators.assignment import deferred_acceptance, preferences
+
 SEED = 42
 LABEL = "feature_category_literal"
 
@@ -140,28 +141,15 @@ def used_literals(features: DataFrame) -> DataFrame:
     return features.filter(F.col(LABEL).isNotNull()).select(F.col(LABEL).alias("literal")).distinct()
 
 
-def greedy_assign(cands: DataFrame, used: DataFrame) -> DataFrame:
-    """Each id takes its best candidate not used anywhere; per
-    round every unresolved id proposes its best free candidate, the most
-    probable proposal of a literal wins, winners become used.  Rounds go on until
-    nothing is proposed; each one uses up at least one literal."""
-    from cartwalk.session import materialize
-    spark = cands.sparkSession
-    taken = used.select("literal").distinct()
-    result = spark.createDataFrame([], "feature_category_id INT, literal STRING")
-    pending = materialize(cands)
-    while True:
-        free = pending.join(taken, "literal", "left_anti").join(
-            result.select("feature_category_id"), "feature_category_id", "left_anti")
-        w = Window.partitionBy("feature_category_id").orderBy("rank")
-        prop = free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-        wl = Window.partitionBy("literal").orderBy(F.col("prob").desc(), F.col("feature_category_id"))
-        win = materialize(prop.withColumn("_w", F.row_number().over(wl)).filter(F.col("_w") == 1)
-                          .select(F.col("feature_category_id").cast("int"), "literal"))
-        if win.isEmpty():
-            return result
-        result = materialize(result.unionByName(win))
-        taken = materialize(taken.unionByName(win.select("literal")))
+def greedy_assign(cands: DataFrame, used: DataFrame, order: str = "probability", walk: str = "best",
+                  n: int | None = None) -> DataFrame:
+    """Each id takes the first of its candidates not used anywhere,
+    by deferred acceptance (``operators/assignment``).  With ``order="listed"`` the
+    ids come one after the other as in the reference, with ``walk="reference"`` its ``n``
+    likeliest candidates from the least likely on."""
+    prefs = preferences(cands, "feature_category_id", order, walk, n)
+    matches, _ = deferred_acceptance(prefs, used)
+    return matches.select(F.col("seeker").cast("int").alias("feature_category_id"), "literal")
 
 
 def constrained_candidates(features: DataFrame, vocab: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

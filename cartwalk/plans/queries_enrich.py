@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
+from cartwalk.operators import assignment as AS
 from cartwalk.operators import enrichment as EN
 from cartwalk.operators import imputation as IM
 from cartwalk.operators import networks as NW
+from cartwalk.operators.ids import with_scalar
 from cartwalk.plans.registry import query
 from cartwalk.plans.sqlroles import R6, with_roles
+from cartwalk.session import materialize
 from cartwalk.sources import io as IO
 
 # Vocabulary: category -> sorted literals observed on train-purchased items.
@@ -342,11 +345,78 @@ def impute_topn(ctx):
 
 @query("impute_greedy")
 def impute_greedy(ctx):
-    """Greedy best-first walk over candidates, no literal twice."""
+    """Best-first walk over candidates by deferred acceptance, no literal twice."""
     f = ctx.r.item_features()
     return IM.greedy_assign(IM.per_id_candidates(f, labelled(ctx)), IM.used_literals(f))
 
 
+# Candidates of every value id by shared items, five each.
+CANDS = """
+fv_pairs AS (SELECT DISTINCT item_id, feature_value_id FROM item_features),
+fv_lits AS (SELECT DISTINCT item_id, feature_value_literal AS literal FROM item_features WHERE feature_value_literal IS NOT NULL),
+cands AS (SELECT * FROM (
+  SELECT feature_value_id, literal, prob, row_number() OVER (PARTITION BY feature_value_id ORDER BY prob DESC, literal) AS rank FROM (
+    SELECT feature_value_id, literal, CAST(count(*) AS DOUBLE) / min(n) AS prob FROM fv_pairs JOIN fv_lits USING (item_id)
+    JOIN (SELECT feature_value_id, count(*) AS n FROM fv_pairs GROUP BY 1) USING (feature_value_id) GROUP BY 1, 2)) WHERE rank <= 5)"""
+
+
+def _value_candidates(ctx):
+    f = ctx.r.item_features()
+    return materialize(AS.shared_item_candidates(f, f.select("item_id", F.col("feature_value_literal").alias("literal")), 5))
+
+
+# All pairs in one line, likeliest first: a pair is made when both are free.
+@query("assign_stable", with_roles("""
+SELECT id AS feature_value_id, literal, prob, CAST(rank AS BIGINT) AS rank, CAST(0 AS BIGINT) AS n_blocking
+FROM line JOIN (SELECT unnest(made) AS k FROM made_of WHERE k = (SELECT max(k) FROM made_of)) USING (k)""", CANDS + """,
+line AS (SELECT feature_value_id AS id, literal, prob, rank, row_number() OVER (ORDER BY prob DESC, feature_value_id, literal) AS k FROM cands),
+made_of AS (
+  SELECT CAST(0 AS BIGINT) AS k, []::BIGINT[] AS made, []::BIGINT[] AS ids, []::VARCHAR[] AS literals
+  UNION ALL
+  SELECT l.k, CASE WHEN free THEN list_append(m.made, l.k) ELSE m.made END, CASE WHEN free THEN list_append(m.ids, l.id) ELSE m.ids END,
+    CASE WHEN free THEN list_append(m.literals, l.literal) ELSE m.literals END
+  FROM (SELECT m.*, l.k AS next, NOT list_contains(m.ids, l.id) AND NOT list_contains(m.literals, l.literal) AS free
+        FROM made_of m JOIN line l ON l.k = m.k + 1) m JOIN line l ON l.k = m.next)"""))
+def assign_stable(ctx):
+    """E18 / E20 on given probabilities: one literal for each value id by
+    deferred acceptance, literals to whom they are likeliest for; with the number of
+    pairs that would rather have each other (a stable result has none)."""
+    prefs = AS.preferences(_value_candidates(ctx), "feature_value_id")
+    matches, _ = AS.deferred_acceptance(prefs)
+    blocking = AS.blocking_pairs(prefs, matches).agg(F.count(F.lit(1)).alias("n_blocking"))
+    return with_scalar(matches, blocking).select(
+        F.col("seeker").alias("feature_value_id"), "literal", F.col("claim").alias("prob"), "rank", "n_blocking")
+
+
+def _walk_sql(walk: str, by: str) -> str:
+    # the ids one by one, each with the first literal not taken before
+    return f"""
+{walk}_lists AS (SELECT feature_value_id AS id, list(literal ORDER BY rank {by}) AS ls, row_number() OVER (ORDER BY feature_value_id) AS k
+  FROM cands GROUP BY 1),
+{walk}_walk AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS pick, []::VARCHAR[] AS taken
+  UNION ALL
+  SELECT k, id, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END FROM (
+    SELECT l.k, l.id, w.taken, list_filter(l.ls, lambda x: NOT list_contains(w.taken, x))[1] AS pick
+    FROM {walk}_walk w JOIN {walk}_lists l ON l.k = w.k + 1))"""
+
+
+@query("assign_in_order", with_roles("""
+SELECT 'best' AS walk, id AS feature_value_id, pick AS literal FROM best_walk WHERE pick IS NOT NULL
+UNION ALL SELECT 'reference', id, pick FROM reference_walk WHERE pick IS NOT NULL""",
+    CANDS + "," + _walk_sql("best", "") + "," + _walk_sql("reference", "DESC")))
+def assign_in_order(ctx):
+    """E20 on given probabilities, value ids one after the other, each with its
+    first candidate not used before: from the likeliest on, and in the
+    reference's order (of the five likeliest, the least likely first)."""
+    cands, out = _value_candidates(ctx), None
+    for walk in ("best", "reference"):
+        matches, _ = AS.deferred_acceptance(AS.preferences(cands, "feature_value_id", "listed", walk, 5))
+        one = matches.select(F.lit(walk).alias("walk"), F.col("seeker").alias("feature_value_id"), "literal")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("impute_mlp")
 def impute_mlp(ctx):
     """Feed-forward network (one hidden layer of 50) imputation."""

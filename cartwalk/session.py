@@ -106,6 +106,15 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def drop_stored(df) -> None:
+    """Remove one table of :func:`materialize` that nothing reads any more."""
+    spark, stored = df.sparkSession, getattr(df, "_cartwalk_path", None)
+    if stored in _STORED:
+        _STORED.remove(stored)
+        path = spark._jvm.org.apache.hadoop.fs.Path(stored)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -127,6 +136,7 @@ def materialize(df, *partition_by: str):
     # An empty table with folders has no file to take the schema from.
     out = (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
     out._cartwalk_stored = True
+    out._cartwalk_path = path
     return out
 
 
