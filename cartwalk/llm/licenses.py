@@ -4,9 +4,10 @@ Text is normalised (lower case, words of letters and digits only) and compared
 with license templates: ``2 |A & B| / (|A| + |B|)`` over the sets of word
 bigrams.  A template can reach the threshold only if its number of bigrams lies
 within the size bounds the threshold gives, so most are pruned by size, and
-a passage longer than every bound is not looked at.  Passages compared are sentences, lines,
-and runs of lines that begin at a line sharing a bigram with some template, so
-notices inside prose and licenses set over many lines are both found.
+a passage longer than every bound is not looked at.  A text falls into units, which end with a sentence
+or a line; passages compared are the units and runs of units that begin at one sharing a bigram with
+some template and go on while at least half the threshold's share of their bigrams is in templates, so notices inside prose, texts inside a long line and licenses set over many
+lines are all found.
 """
 
 from __future__ import annotations
@@ -54,6 +55,25 @@ NOTICES = [
     "This project is licensed under the {}.", "This program is distributed under the terms of the {}.",
 ]
 # License texts and standard headers.
+_BSD = ('Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following '
+        'conditions are met: ')
+_BSD_2 = ('1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. '
+          '2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer '
+          'in the documentation and/or other materials provided with the distribution. ')
+_BSD_3 = ('3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived '
+          'from this software without specific prior written permission. ')
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    'LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE '
+    'COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES '
+    '(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) '
+    'HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) '
+    'ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.')
+_GNU = (
+    'This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} Public License as published by the '
+    'Free Software Foundation{3} either version {4} of the License, or (at your option) any later version. This {0} is distributed in the '
+    'hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A '
+    'PARTICULAR PURPOSE. See the GNU {2} Public License for more details.')
 TEXTS = {
     "MIT": [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
@@ -90,6 +110,22 @@ TEXTS = {
         'published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is '
         'distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or '
         'FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'],
+    "BSD-2-Clause": [_BSD + _BSD_2 + _BSD_END],
+    "BSD-3-Clause": [_BSD + _BSD_2 + _BSD_3 + _BSD_END],
+    "LGPL-2.1": [_GNU.format("library", ";", "Lesser General", ";", "2.1")],
+    "LGPL-3.0": [_GNU.format("library", ":", "Lesser General", ",", "3")],
+    "AGPL-3.0": [_GNU.format("program", ":", "Affero General", ",", "3")],
+    "EPL-2.0": [
+        'This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is '
+        'available at https://www.eclipse.org/legal/epl-2.0/.'],
+    "CC0-1.0": [
+        'To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. To view a '
+        'copy of the CC0 1.0 Universal legal code, visit https://creativecommons.org/publicdomain/zero/1.0/.'],
+    **{f"CC-{short.upper()}-4.0": [
+        f'This work is licensed under a Creative Commons {name} 4.0 International License. To view a copy of this license, visit '
+        f'http://creativecommons.org/licenses/{short}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.']
+       for short, name in [("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"),
+                           ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike")]},
     "Unlicense": [
         'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, '
         'sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or '
@@ -123,6 +159,7 @@ class Scanner:
             for g in b:
                 self.holders.setdefault(g, []).append(k)
         self.known = frozenset(self.holders)
+        self.starts = frozenset(a for a, _ in self.holders)
         # dice >= t needs max(size) <= (2 - t) / t * min(size)
         self.ratio = (2 - threshold) / threshold + 1e-9  # not below the bound by rounding
         self.largest = self.ratio * max((len(b) for _, b in self.templates), default=0)
@@ -149,25 +186,31 @@ class Scanner:
         if not text:
             return []
         out = []
-        run: list[tuple[int, int, list[str]]] = []  # lines a longer passage may take in
-        at = 0
-        for line in text.split("\n"):
-            end = at + len(line)
-            words = self._line(line, at, out)
-            run = [r for r in run if len(r[2]) <= self.largest + 1]
-            if words is None:  # longer than any bound
-                run = []
-            else:
-                for k, (start, _, before) in enumerate(run):
-                    joined = before + words
-                    run[k] = (start, end, joined)
-                    if words:
-                        hit = self.best(bigrams(joined))
-                        if hit:
-                            out.append((start, end, hit[1], hit[0]))
-                if len(words) > 1 and not self.known.isdisjoint(zip(words, words[1:])):
-                    run.append((at, end, words))
-            at = end + 1
+        # passages that may go on: start, last word, number of words, known and all bigrams
+        runs: list[tuple[int, str, int, set, set]] = []
+        bound = 2 * self.largest + 2
+        for start, end, words in self._units(text):
+            if len(words) > bound:  # longer than any bound
+                runs = []
+                continue
+            grams = bigrams(words)
+            known = grams & self.known
+            going = []
+            for at, last, n, inside, every in runs:
+                inside |= known
+                every |= grams
+                every.add((last, words[0]))
+                if (last, words[0]) in self.known:
+                    inside.add((last, words[0]))
+                n += len(words)
+                if n <= bound and len(every) <= self.largest and self._worth(inside, every):
+                    going.append((at, words[-1], n, inside, every))
+                    self._match(at, end, inside, every, out)
+            runs = going
+            if known:
+                self._match(start, end, known, grams, out)
+            if (known or words[-1] in self.starts) and len(grams) <= self.largest and self._worth(known, grams):
+                runs.append((start, words[-1], len(words), set(known), set(grams)))
         out.sort(key=lambda m: (-m[3], m[0] - m[1], m[0], m[2]))
         kept: list[tuple[int, int, str, float]] = []  # disjoint, in text order
         for m in out:
@@ -176,27 +219,30 @@ class Scanner:
                 kept.insert(i, m)
         return kept
 
-    def _line(self, line: str, at: int, out: list) -> list[str] | None:
-        """Scan the sentences of a line and the line; gives its words, or None
-        if it is too long to be part of a match."""
-        all_words: list[str] | None = []
-        pos, count = 0, 0
-        for piece in [*((m.start(), m.end()) for m in SENTENCE.finditer(line)), (len(line), len(line))]:
-            sentence = line[pos:piece[0]]
-            words = tokens(sentence)
-            if words:
-                hit = self.best(bigrams(words)) if len(words) <= 2 * self.largest + 2 else None
-                if hit:
-                    out.append((at + pos, at + piece[0], hit[1], hit[0]))
-                count += 1
-            if all_words is not None:
-                all_words = all_words + words if len(all_words) + len(words) <= 2 * self.largest + 2 else None
-            pos = piece[1]
-        if all_words and count > 1:
-            hit = self.best(bigrams(all_words))
+    def _worth(self, known, grams) -> bool:
+        """May a passage begin with these bigrams: a beginning of which less than half the
+        threshold is known lowers the coefficient, so what follows it is a better passage."""
+        return 2 * len(known) >= self.threshold * len(grams)
+
+    def _match(self, start: int, end: int, known, grams, out: list) -> None:
+        # with a template of s bigrams the coefficient is at most 2 c / (n + c) for c known ones of n
+        if len(known) * self.ratio >= len(grams):
+            hit = self.best(grams)
             if hit:
-                out.append((at, at + len(line), hit[1], hit[0]))
-        return all_words
+                out.append((start, end, hit[1], hit[0]))
+
+    @staticmethod
+    def _units(text: str):
+        """(start, end, words) of the sentences of every line that have a word."""
+        at = 0
+        for line in text.split("\n"):
+            pos = 0
+            for left, right in [*((m.start(), m.end()) for m in SENTENCE.finditer(line)), (len(line), len(line))]:
+                words = tokens(line[pos:left])
+                if words:
+                    yield at + pos, at + left, words
+                pos = right
+            at += len(line) + 1
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
