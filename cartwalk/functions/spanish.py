@@ -10,6 +10,7 @@ takes the leftmost match; the SQL form uses the same patterns.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -130,11 +131,30 @@ def stem_spanish(w: str | None) -> str | None:
 STEMMERS = {"en": stem_word, "es": stem_spanish}
 
 
+SPACE = re.compile(r"\s+", re.ASCII)
+# Stems a worker remembers: this many words of at most this many letters a language.
+MEMO, MEMO_LETTERS = 1 << 17, 64
+
+
+@lru_cache(maxsize=len(STEMMERS))
+def _remembering(lang: str):
+    stem = STEMMERS[lang]
+    known = lru_cache(maxsize=MEMO)(stem)
+    return lambda w: known(w) if len(w) <= MEMO_LETTERS else stem(w)
+
+
 @F.pandas_udf(T.StringType())
-def stem_by_language(tokens: pd.Series, lang: pd.Series) -> pd.Series:
-    """Each token stemmed by the rules of its language; languages without
-    rules here, and null, leave it as it is."""
-    return pd.Series([STEMMERS[g](t) if g in STEMMERS else t for t, g in zip(tokens, lang)], dtype=object)
+def stem_texts(texts: pd.Series, lang: pd.Series) -> pd.Series:
+    """Whole lower-case texts with every word (a whitespace split) stemmed by the
+    rules of the row's language, joined by one space; languages without rules here,
+    and null, leave words as they are.  Null and a text without a word give null."""
+    out = []
+    for text, g in zip(texts, lang):
+        words = [w for w in SPACE.split(text) if w] if text else []
+        if g in STEMMERS:
+            words = map(_remembering(g), words)
+        out.append(" ".join(words) or None)
+    return pd.Series(out, dtype=object)
 
 
 def stem_spanish_sql(tokens: str) -> str:

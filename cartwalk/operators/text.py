@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cartwalk.functions.exprs import rank_key
-from cartwalk.functions.spanish import STEMMERS, stem_by_language
-from cartwalk.functions.stemmer import stem_udf, stem_word
+from cartwalk.functions.spanish import stem_texts
+from cartwalk.functions.stemmer import stem_word
 from cartwalk.operators.ids import dense_index
 from cartwalk.operators.retrieval import SHARD_DOCS, cosine_join
 from cartwalk.session import bounded_batches, materialize
@@ -103,31 +103,14 @@ def tokens(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFra
     return (df.select(*id_cols, F.posexplode(F.filter(parts, lambda w: F.length(w) >= 2)).alias("pos", "token")))
 
 
-def stem_tokens(toks: DataFrame, stemmer=stem_udf) -> DataFrame:
-    """T4: stem every token with ``stemmer`` (a column function, by default
-    the English Porter stemmer).  It runs on the distinct tokens only
-    and the result is joined back (shuffle join: the distinct-token table
-    grows with the corpus, so it is not broadcast)."""
-    distinct = toks.select("token").distinct()
-    stems = distinct.select("token", stemmer(F.col("token")).alias("stem"))
-    return toks.join(stems, "token").drop("token").withColumnRenamed("stem", "token")
-
-
 def stem_text(df: DataFrame, id_cols: list[str], text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """T4 as text: whitespace split, stem, re-join in order.  With ``lang_col``
     the rules are those of the row's language (English and Spanish; words of other
-    languages and of none stay as they are), else the English ones.  Texts without a word give no row."""
-    keep = [*id_cols, F.col(lang_col).alias("_lang")] if lang_col else id_cols
-    words = df.select(*keep, F.posexplode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("pos", "token")) \
-        .filter(F.col("token") != "")
-    if lang_col:
-        pairs = words.select("token", "_lang").filter(F.col("_lang").isin(*STEMMERS)).distinct()
-        stems = pairs.select("token", "_lang", stem_by_language("token", "_lang").alias("_stem"))
-        st = words.join(stems, ["token", "_lang"], "left").withColumn("token", F.coalesce("_stem", "token"))
-    else:
-        st = stem_tokens(words)
-    return st.groupBy(*id_cols).agg(
-        F.concat_ws(" ", F.sort_array(F.collect_list(F.struct("pos", "token"))).getField("token")).alias("stemmed"))
+    languages and of none stay as they are), else the English ones.  Texts without a word give
+    no row.  Words are stemmed where a text is read, so nothing is shuffled."""
+    bounded_batches(df.sparkSession)
+    lang = F.col(lang_col) if lang_col else F.lit("en")
+    return df.select(*id_cols, stem_texts(F.lower(F.col(text_col)), lang).alias("stemmed")).filter("stemmed IS NOT NULL")
 
 
 def remove_stop_words(toks: DataFrame, stop: list[str]) -> DataFrame:

@@ -167,7 +167,7 @@ words AS (SELECT kind, id, lang, pos, token FROM (
 SELECT kind, id, string_agg(s.stem, ' ' ORDER BY pos) AS stemmed FROM words JOIN stems s USING (token) GROUP BY kind, id""")
 def text_stem(ctx):
     """T4: every user query and document stemmed word by word (whole
-    texts; Porter stemmer on distinct tokens)."""
+    texts; Porter stemmer)."""
     q = ctx.t.conversations.filter(F.col("role") == "user").select(
         F.lit("query").alias("kind"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     d = ctx.t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
