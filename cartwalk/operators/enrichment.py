@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwalk.operators.ids import dense_index_within, with_scalar
+from cartwalk.operators.ids import dense_index_within, join_small, with_scalar
+from cartwalk.session import materialize
 
 # Category id -> category literal of the test catalogue
 # (category 50 deliberately has none), and the validation fallback literal.
@@ -219,8 +220,8 @@ def feat_label_encode(features: DataFrame, labels_from: DataFrame) -> DataFrame:
     labels = labels_from.filter(F.col("feature_category_literal").isNotNull()).select(
         F.col("feature_category_literal").alias("label")).distinct()
     idx = labels.withColumn("label_idx", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long"))
-    return features.select("item_id", "feature_category_id", F.col("feature_category_literal").alias("label")).join(
-        idx, "label", "left")
+    return join_small(features.select("item_id", "feature_category_id", F.col("feature_category_literal").alias("label")),
+                      materialize(idx), "label", "left")
 
 
 def split_grouped(df: DataFrame, key: str = "item_id", test_pct: int = 20, seed: int = 42) -> DataFrame:
