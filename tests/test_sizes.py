@@ -1,5 +1,9 @@
 """Plans and amounts that must not grow with a large side."""
 
+import re
+
+from cartwalk.operators import ranking as RK
+from cartwalk.operators import walk as WK
 from cartwalk.operators.ids import BROADCAST_ROWS, join_small
 from cartwalk.plans.registry import Ctx
 from cartwalk.session import materialize
@@ -33,3 +37,30 @@ def test_join_small_both_ways(spark):
         got = join_small(df, small, "k", "left")
         assert bool(broadcast_parts(got)) == (n <= BROADCAST_ROWS)
         assert sorted(map(tuple, got.collect())) == [(k, 2 * k if k < n else None) for k in range(10)]
+
+
+def shuffled_by(df):
+    """Names of the keys of every hash exchange in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [tuple(re.findall(r"([a-z_]+)#", keys)) for keys in re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)]
+
+
+def test_pairs_and_scores_are_shuffled_once(spark):
+    urm = spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(u % 5 + 8)],
+                                "session_id LONG, item_id LONG, score DOUBLE")
+    W = WK.rp3_fit(urm, topK=4)
+    keys = shuffled_by(W)
+    assert ("item_i",) in keys and not any({"item_i", "item_j"} <= set(k) for k in keys)
+    # the column cut against a window over the stored rows
+    rows = WK.rp3_normalized(WK.rp3_topk_row(WK.rp3_similarity(urm), 4))
+    want = WK.topk_by(rows, "item_j", "item_i", 4)
+    assert want.count() < rows.count()
+    assert sorted(W.select("item_i", "item_j").collect()) == sorted(want.select("item_i", "item_j").collect())
+
+    profile = urm.filter("session_id % 3 = 0").unionByName(spark.createDataFrame([(99, 10 ** 6, 1.0)], urm.schema))
+    got = RK.rec_scores(profile, W, remove_seen=True)
+    keys = shuffled_by(got)
+    assert ("session_id",) in keys and not any("session_id" in k and len(k) > 1 and "_k" not in k for k in keys)
+    want = RK.rec_scores(profile, W).join(profile, ["session_id", "item_id"], "left_anti")
+    a = {(r.session_id, r.item_id): round(r.score, 9) for r in got.collect()}
+    assert a and a == {(r.session_id, r.item_id): round(r.score, 9) for r in want.collect()}
