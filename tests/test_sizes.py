@@ -3,8 +3,11 @@
 import re
 
 from cartwalk.operators import ranking as RK
+from cartwalk.operators import retrieval as RT
+from cartwalk.operators import text as TX
 from cartwalk.operators import walk as WK
 from cartwalk.operators.ids import BROADCAST_ROWS, join_small
+from cartwalk.plans import queries_text as QT
 from cartwalk.plans.registry import Ctx
 from cartwalk.session import materialize
 
@@ -64,3 +67,22 @@ def test_pairs_and_scores_are_shuffled_once(spark):
     want = RK.rec_scores(profile, W).join(profile, ["session_id", "item_id"], "left_anti")
     a = {(r.session_id, r.item_id): round(r.score, 9) for r in got.collect()}
     assert a and a == {(r.session_id, r.item_id): round(r.score, 9) for r in want.collect()}
+
+
+def test_search_shuffles_no_copies(spark, monkeypatch):
+    """Shards meet blocks of queries without being shuffled for each other."""
+    monkeypatch.setattr(RT, "QUERY_BLOCK", 3)
+    v = [(i, (i * k) % 17, 1 + k) for i in range(40) for k in (1, 3, 7)]
+    d = spark.createDataFrame(v, "item_id long, term_id long, tf long").groupBy("item_id", "term_id").agg({"tf": "sum"}).toDF("item_id", "term_id", "tf")
+    q = d.filter("item_id % 2 = 0").withColumnRenamed("item_id", "query_id")
+    got = RT.block_max_search(q, d, "query_id", "item_id", 0.1, shard_docs=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    want = TX.query_item_cosine(q.withColumnRenamed("term_id", "term"), d.withColumnRenamed("term_id", "term"))
+    assert {(r[0], r[1]): round(r[2], 9) for r in got.collect()} == {(r[0], r[1]): round(r[2], 9) for r in want.collect()}
+
+
+def test_found_pairs_are_not_joined_to_the_queries(spark):
+    got = QT.sim_query_items(Ctx(spark, "/root/testdata/sf0.001"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
