@@ -86,3 +86,14 @@ def test_found_pairs_are_not_joined_to_the_queries(spark):
     got = QT.sim_query_items(Ctx(spark, "/root/testdata/sf0.001"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_profiles_are_shuffled_once(spark):
+    """Short and long profiles read the same shuffle of the interactions by session."""
+    urm = materialize(spark.createDataFrame([(u, i, 1.0) for u in range(9) for i in range(4)], "session_id LONG, item_id LONG, score DOUBLE"))
+    sim = WK.rp3_similarity(urm, salt_rows=3)
+    assert sim.count() == 12
+    sim.collect()
+    final = sim._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    by_session = [x for x in final.splitlines() if re.search(r"Exchange hashpartitioning\(session_id#\d+L, \d+\)", x)]
+    assert any("ReusedExchange" in x for x in final.splitlines()) and sum("Reused" not in x for x in by_session) == 1, final
