@@ -107,26 +107,48 @@ def _opposite(tokens: Column, values: Column) -> Column:
                                           for what, mark in kinds.items()])))
 
 
+def _doubled(values: Column, sizes: list[int], body, then) -> Column:
+    """``then`` of arrays that put together, for each of ``sizes``, so many neighbouring
+    ``values`` by ``body(left, right)``.  They are made of spans of 1, 2, 4, ... values, so
+    a step is needed for each doubling and not for each value; null where there are too few."""
+    def beside(left, right, shift):
+        n = F.size(right) - shift
+        return F.when(n > 0, F.zip_with(F.slice(left, 1, F.greatest(n, F.lit(0))), F.slice(right, shift + 1, F.greatest(n, F.lit(0))), body))
+
+    def of(k, spans):
+        have, length = None, 0
+        for size in sorted(spans, reverse=True):
+            if k & size:
+                have = spans[size] if have is None else beside(have, spans[size], length)
+                length += size
+        return have
+
+    def grown(spans, size):
+        if size * 2 > max(sizes):
+            return then([of(k, spans) for k in sizes])
+        return _bound(beside(spans[size], spans[size], size), lambda wider: grown({**spans, size * 2: wider}, size * 2))
+    return _bound(values, lambda single: grown({1: single}, 1))
+
+
 def _windows(tokens: Column, sizes: list[int], plain: bool = False) -> Column:
     """Array of (hash, pos) of all windows; canonical ones need enough literal
     words.  Hashes of plain and canonical windows and of sizes are told apart."""
-    def of(k):
-        def windows(h):
-            def window(i):
-                parts = [F.get(h, i + j) for j in range(k)]
-                if plain:
-                    return F.struct(F.xxhash64(F.lit(-k), *parts).alias("h"), i.alias("pos"))
-                literal = sum((F.when(p["lit"], 1).otherwise(0) for p in parts[1:]), F.when(parts[0]["lit"], 1).otherwise(0))
-                return F.when(literal >= MIN_LITERAL, F.struct(
-                    F.xxhash64(F.lit(k), *[p["h"] for p in parts]).alias("h"), i.alias("pos")))
-            n = F.size(h) - k
-            every = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), window)
-            return F.when(n < 0, F.array().cast("array<struct<h:bigint,pos:int>>")).otherwise(
-                every if plain else F.filter(every, lambda w: w.isNotNull()))
-        return windows
-    marks = F.transform(tokens, lambda x: F.xxhash64(x) if plain else F.struct(
-        F.xxhash64(x).alias("h"), (~x.isin(NUMBER, UNIT, NAME)).alias("lit")))
-    return _bound(marks, lambda h: F.concat(*[of(k)(h) for k in sizes]))
+    none = F.array().cast("array<struct<h:bigint,pos:int>>")
+
+    def hashes(values, then):
+        return _doubled(F.transform(values, lambda x: F.xxhash64(x)), sizes, lambda x, y: F.xxhash64(x, y), then)
+    if plain:
+        return hashes(tokens, lambda by_size: F.concat(*[F.coalesce(F.transform(h, lambda x, i: F.struct(
+            F.xxhash64(F.lit(-k), x).alias("h"), i.alias("pos"))), none) for k, h in zip(sizes, by_size)]))
+
+    def listed(k, h):
+        return lambda counts: F.filter(F.transform(h, lambda x, i: F.when(F.get(counts, i) >= MIN_LITERAL, F.struct(
+            F.xxhash64(F.lit(k), x).alias("h"), i.alias("pos")))), lambda w: w.isNotNull())
+
+    def literal(values, then):
+        return _doubled(F.transform(values, lambda x: F.when(x.isin(NUMBER, UNIT, NAME), 0).otherwise(1)), sizes, lambda x, y: x + y, then)
+    return _bound(tokens, lambda values: hashes(values, lambda by_size: literal(values, lambda counts: F.concat(*[F.coalesce(
+        _bound(n, listed(k, h)), none) for k, h, n in zip(sizes, by_size, counts)]))))
 
 
 def _conflicts(slots: DataFrame, by: list[str]) -> DataFrame:
