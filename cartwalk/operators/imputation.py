@@ -8,8 +8,8 @@ accuracy bounds only.  One-to-one rounds (E20, E29) are in ``assignment``.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +17,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwalk.operators import perceptron
 from cartwalk.operators.assignment import deferred_acceptance, preferences
+from cartwalk.operators.ids import join_small
+from cartwalk.session import materialize
 
 SEED = 42
 LABEL = "feature_category_literal"
@@ -44,27 +47,30 @@ def split_known(features: DataFrame):
 
 def fit_classifier(known: DataFrame, kind: str = "rf", **params):
     label_idx = StringIndexer(inputCol=LABEL, outputCol="label").fit(known)
+    to_str = IndexToString(inputCol="prediction", outputCol="predicted", labels=label_idx.labelsArray[0])
     if kind == "rf":
         clf = RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", 5),
                                      seed=SEED, labelCol="label", featuresCol="features")
+        model = Pipeline(stages=_features_stages() + [label_idx, clf, to_str]).fit(_prep(known))
     else:
-        clf = MultilayerPerceptronClassifier(layers=[HASHED, 50, len(label_idx.labelsArray[0])], seed=SEED,
-                                             maxIter=params.get("maxIter", 50), labelCol="label",
-                                             featuresCol="features")
-    to_str = IndexToString(inputCol="prediction", outputCol="predicted", labels=label_idx.labelsArray[0])
-    model = Pipeline(stages=_features_stages() + [label_idx, clf, to_str]).fit(_prep(known))
+        [hasher] = _features_stages()
+        alike = known.groupBy("feature_category_id", "feature_value_id", LABEL).agg(F.count(F.lit(1)).alias("n"))
+        rows = materialize(label_idx.transform(hasher.transform(_prep(alike))).select("features", "label", "n"))
+        net = perceptron.fit(rows, [HASHED, 50, len(label_idx.labelsArray[0])], SEED, params.get("maxIter", 50))
+        model = PipelineModel(stages=[hasher, label_idx, net, to_str])
     return model, label_idx.labelsArray[0]
 
 
 def impute(features: DataFrame, kind: str = "rf", **params) -> DataFrame:
     """Predicted category literal for rows lacking one; known
-    literals are kept (``coalesce``)."""
+    literals are kept (``coalesce``).  A row's ids are all that a prediction knows, so
+    each pair of ids is predicted once."""
     known, missing = split_known(features)
     model, _ = fit_classifier(known, kind, **params)
-    pred = _predict(model, missing)
-    out = pred.select("item_id", F.col("feature_category_id").cast("int"), F.col("feature_value_id").cast("long"),
-                      "predicted")
-    return features.join(out, ["item_id", "feature_category_id", "feature_value_id"], "left").select(
+    pred = _predict(model, missing.select("feature_category_id", "feature_value_id").distinct())
+    out = materialize(pred.select(F.col("feature_category_id").cast("int"), F.col("feature_value_id").cast("long"),
+                                  "predicted"))
+    return join_small(features, out, ["feature_category_id", "feature_value_id"], "left").select(
         "item_id", "feature_category_id", "feature_value_id",
         F.coalesce(LABEL, "predicted").alias(LABEL), F.col(LABEL).isNull().alias("imputed"))
 
