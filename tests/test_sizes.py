@@ -97,3 +97,47 @@ def test_profiles_are_shuffled_once(spark):
     final = sim._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     by_session = [x for x in final.splitlines() if re.search(r"Exchange hashpartitioning\(session_id#\d+L, \d+\)", x)]
     assert any("ReusedExchange" in x for x in final.splitlines()) and sum("Reused" not in x for x in by_session) == 1, final
+
+
+def test_lines_are_shuffled_once(spark):
+    """Finding an order's last line and tagging its lines read one shuffle of the lines."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = Ctx(spark, "/root/testdata/sf0.001").r.train_lines()
+        lines.collect()
+        final = lines._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_session = [x for x in final.splitlines() if re.search(r"Exchange hashpartitioning\(session_id#\d+L, \d+\)", x)]
+    assert any("ReusedExchange" in x for x in final.splitlines()) and sum("Reused" not in x for x in by_session) == 1, final
+
+
+def test_blocked_columns_leave_at_the_column_cut(spark, monkeypatch):
+    """A list of blocked items too long to broadcast costs W no further shuffle."""
+    urm = materialize(spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(u % 5 + 8)],
+                                            "session_id LONG, item_id LONG, score DOUBLE"))
+    blocked = materialize(spark.range(3).withColumnRenamed("id", "item_id"))
+    rows = lambda df: sorted((r.item_i, r.item_j, round(r.sim, 12)) for r in df.collect())
+    want = [r for r in rows(WK.rp3_fit(urm, topK=4)) if r[1] > 2]
+    assert rows(WK.rp3_fit(urm, topK=4, without=blocked)) == want
+    monkeypatch.setattr(WK, "BLOCKED_ROWS", 0)
+    monkeypatch.setattr(RK, "BLOCKED_ROWS", 0)
+    W = WK.rp3_fit(urm, topK=4, without=blocked)
+    assert rows(W) == want
+    uncut = [r for r in rows(WK.rp3_fit(urm, topK=None)) if r[1] > 2]
+    assert rows(WK.rp3_fit(urm, topK=None, without=blocked)) == uncut
+
+    catalogue = spark.range(14).withColumnRenamed("id", "item_id")
+    args = dict(universe=catalogue, cutoff=5, exclude=blocked, zero_fill=False)
+    got = RK.rec_topk(urm, lambda b: WK.rp3_fit(urm, topK=4, without=b), remove_seen=False, **args)
+    ranks = lambda df: sorted((r.session_id, r["rank"], r.item_id) for r in df.collect())
+    assert ranks(got) == ranks(RK.rec_topk(urm, WK.rp3_fit(urm, topK=4), remove_seen=False, **args))
+    w_by_column = [k for k in shuffled_by(W.select("item_i", "item_j", "sim")) if k == ("item_j",)]
+    assert len(w_by_column) <= 2  # W for the cut, and the list itself
+
+
+def test_model_rows_travel_as_two_arrays(spark):
+    urm = spark.createDataFrame([(u, i, 1.0) for u in range(9) for i in range(4)], "session_id LONG, item_id LONG, score DOUBLE")
+    plan = RK.rec_scores(urm, WK.rp3_fit(urm, topK=4), remove_seen=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip(_j#" in plan, plan
