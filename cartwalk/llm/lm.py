@@ -220,16 +220,23 @@ class Model:
     def log_probs(self, target: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Normalised natural-log probabilities of the target symbols."""
         out, ones = np.empty(len(target), np.float64), np.ones(self.size, np.float32)
-        for lo in range(0, len(target), ROWS_AT_ONCE):
-            t = target[lo:lo + ROWS_AT_ONCE]
-            s = self.context(ctx[:, lo:lo + ROWS_AT_ONCE]) @ self.Q.T
-            s += self.b
-            top = s.max()
-            if top > 40:  # beyond what single precision adds up safely: one by one
-                s -= s.max(1, keepdims=True)
-            at = s[np.arange(len(t)), t].astype(np.float64)
-            np.exp(s, out=s)
-            out[lo:lo + ROWS_AT_ONCE] = at - np.log((s @ ones).astype(np.float64))
+        q = np.ascontiguousarray(np.concatenate([self.Q, self.b[:, None]], 1).T)  # the bias as one more column
+        h, s = np.ones((ROWS_AT_ONCE, WIDTH + 1), np.float32), np.empty((ROWS_AT_ONCE, self.size), np.float32)
+        with np.errstate(over="ignore"):
+            for lo in range(0, len(target), ROWS_AT_ONCE):
+                t = target[lo:lo + ROWS_AT_ONCE]
+                n, rows = len(t), np.arange(len(t))
+                h[:n, :WIDTH] = self.context(ctx[:, lo:lo + ROWS_AT_ONCE])
+                e = np.matmul(h[:n], q, out=s[:n])
+                at = e[rows, t].astype(np.float64)
+                np.exp(e, out=e)
+                total = (e @ ones).astype(np.float64)
+                if not (total.min() > 1e-20 and total.max() < 1e30):  # beyond single precision: less each row's maximum
+                    e = np.matmul(h[:n], q, out=s[:n])
+                    e -= e.max(1, keepdims=True)
+                    at = e[rows, t].astype(np.float64)
+                    total = (np.exp(e, out=e) @ ones).astype(np.float64)
+                out[lo:lo + n] = at - np.log(total)
         return out
 
 
@@ -274,16 +281,15 @@ class _Reader:
         return number, symbol, odd
 
 
-def _train_round(pairs: DataFrame, shared, model: Model, seed: int) -> np.ndarray:
+def _train_round(texts: DataFrame, vocab: Vocabulary, model: Model, seed: int) -> np.ndarray:
     """Average of the partitions' parameters after a pass over their texts."""
-    start, size = model.flat, model.size
+    start, size, counts = model.flat, model.size, vocab.symbol_counts
 
     def run(batches):
         from pyspark import TaskContext
-        vocab = shared.value
-        reader, mine = _Reader(vocab), Model(start.copy(), size)
+        mine = Model(start.copy(), size)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        p = vocab.symbol_counts + 1
+        p = counts + 1
         p = p / p.sum()
         grad2, tokens, streams, held = np.full(len(start), 1e-6, np.float32), 0, [], 0
 
@@ -291,10 +297,8 @@ def _train_round(pairs: DataFrame, shared, model: Model, seed: int) -> np.ndarra
             mine.train(*_windows(streams, size), p, rng, grad2)
             streams.clear()
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                if held_out(i):
-                    continue
-                streams.append(np.concatenate([reader.numbers(t)[1] for t in _tokens(raw)]))
+            for symbols in b.column(0).to_pylist():
+                streams.append(np.frombuffer(symbols, "<i2"))
                 held += len(streams[-1])
                 tokens += len(streams[-1])
                 if held > 300_000:
@@ -304,7 +308,7 @@ def _train_round(pairs: DataFrame, shared, model: Model, seed: int) -> np.ndarra
             learn()
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([mine.flat.astype(np.float64)], pa.list_(pa.float64()))], names=["n", "flat"])
-    got = pairs.mapInArrow(run, "n bigint, flat array<double>").select("n", F.posexplode("flat").alias("i", "x")).groupBy("i").agg(
+    got = texts.filter(~F.col("held_out")).select("symbols").mapInArrow(run, "n bigint, flat array<double>").select("n", F.posexplode("flat").alias("i", "x")).groupBy("i").agg(
         (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).collect()  # one row for each parameter
     out = start.copy()
     for r in got:
@@ -317,96 +321,136 @@ class LanguageModel:
         self.vocab, self.model = vocab, model
 
 
-def fit(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
+def fit(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None,
+        vocab: Vocabulary | None = None) -> LanguageModel:
     """Train on the documents that are not held out; ``counts`` is their
-    stored :func:`token_counts`.  Without any training text the model is the
-    uniform one over its symbols."""
-    spark = ready(docs.sparkSession)
-    vocab = vocabulary(counts)
+    stored :func:`token_counts`, ``texts`` and ``vocab``, where known, the :func:`symbol_texts` of ``docs`` and their
+    vocabulary.  Without any training text the model is the uniform one over its symbols."""
+    ready(docs.sparkSession)
+    vocab = vocab or vocabulary(counts)
     model = Model.start(vocab.symbol_counts)
     if vocab.total:
-        shared = spark.sparkContext.broadcast(vocab)
+        texts = symbol_texts(docs, vocab, id_col, text_col) if texts is None else texts
         for k in range(ROUNDS):
-            model = Model(_train_round(_pair(docs, id_col, text_col), shared, model, k), model.size)
+            model = Model(_train_round(texts, vocab, model, k), model.size)
     return LanguageModel(vocab, model)
 
 
-def score(docs: DataFrame, counts: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, n_tokens, n_known,
-    train_tokens, base_score and score (log10).  Null and empty texts have the
-    end as their only token.  Null ids count as the empty text for the split."""
+def symbol_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One stored row per row of ``docs``: id, held_out, n_tokens, known (tokens among the known ones), known_log and
+    class_log (sums over them, log10), rare and times (the other tokens and their number), symbols (16-bit numbers of all
+    tokens) and row, a number of its own.  Training and scoring read it, so texts are cut into tokens once
+    for the counts and once here.  Null ids count as the empty text for the split."""
     spark = ready(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((lm.vocab, lm.model.flat, lm.model.size))
-    total, distinct = lm.vocab.total, lm.vocab.distinct
+    shared = spark.sparkContext.broadcast(vocab)
     pairs = _pair(docs, id_col, text_col)
-    kind = pairs.schema["id"].dataType
     schema = T.StructType([
-        T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
-        T.StructField("known", T.LongType()), T.StructField("known_log", T.DoubleType()), T.StructField("model_log", T.DoubleType()),
-        T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType()))])
+        T.StructField("id", pairs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
+        T.StructField("known", T.LongType()), T.StructField("known_log", T.DoubleType()), T.StructField("class_log", T.DoubleType()),
+        T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("symbols", T.BinaryType())])
 
     def run(batches):
-        vocab, flat, size = shared.value
-        reader, model = _Reader(vocab), Model(flat, size)
-        own = len(vocab.symbols.words)
+        vocab = shared.value
+        reader, own = _Reader(vocab), len(vocab.symbols.words)
         mass = np.concatenate([np.zeros(own), np.log10(vocab.class_mass)])
-        known_log = vocab.known_log if len(vocab.known_log) else np.zeros(1)
-        pad = np.full(CONTEXT, size, np.int16)
+        known_log = np.append(vocab.known_log, 0.0)  # the last stands for -1, not known
 
-        def finish(group, tails, sums, rare):
+        def finish(group, sums, rare, symbols):
             """Add what the pieces of ``group`` (row, tokens) contribute."""
             tokens = list(itertools.chain.from_iterable(t for _, t in group))
             number, symbol, odd = reader.numbers(tokens)
             ends = np.cumsum([len(t) for _, t in group])
             starts = ends - [len(t) for _, t in group]
-            parts = [x for (k, _), lo, hi in zip(group, starts, ends) for x in (tails.get(k, pad), symbol[lo:hi])]
-            is_target = np.concatenate([np.full(len(x), i % 2 == 1) for i, x in enumerate(parts)])
-            flat = np.concatenate(parts)
-            at = np.flatnonzero(is_target)
-            logs = model.log_probs(symbol, np.stack([flat[at - i - 1] for i in range(CONTEXT)])) * (1 / math.log(10))
-            is_known, in_class = number >= 0, symbol >= own
-            log_c = np.where(is_known, known_log[number], 0.0)
-            logs += np.where(in_class, log_c, 0.0) - mass[symbol]
+            log_c = known_log[number]
+            in_class = np.flatnonzero(symbol >= own)
+            of_class = np.zeros(len(symbol))
+            of_class[in_class] = log_c[in_class] - mass[symbol[in_class]]
             at_rows = [k for k, _ in group]
-            for c, x in enumerate((np.ones(len(symbol)), is_known.astype(float), log_c, logs)):
-                np.add.at(sums[:, c], at_rows, np.add.reduceat(x, starts))
+            for c, x in enumerate((number >= 0, log_c, of_class)):
+                np.add.at(sums[:, c], at_rows, np.add.reduceat(x, starts, dtype=np.float64))
             owner = np.searchsorted(ends, odd, side="right") if odd else []
             for i, o in zip(odd, owner):
                 rare[at_rows[o]].append(tokens[i])
-            for (k, _), lo, hi in zip(group, starts, ends):
-                tails[k] = np.concatenate([tails.get(k, pad), symbol[max(lo, hi - CONTEXT):hi]])[-CONTEXT:]
+            for k, lo, hi in zip(at_rows, starts.tolist(), ends.tolist()):
+                symbols[k].append(symbol[lo:hi])
 
         for b in batches:
-            sums = np.zeros((b.num_rows, 4))
+            sums = np.zeros((b.num_rows, 3))
             rare: list[list[bytes]] = [[] for _ in range(b.num_rows)]
-            tails: dict[int, np.ndarray] = {}
+            symbols: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
             group, held = [], 0
             for k, raw in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                for n, tokens in enumerate(_tokens(raw)):
-                    if held + len(tokens) > TOKENS_AT_ONCE and group or n:
-                        finish(group, tails, sums, rare)
-                        group, held, tails = [], 0, ({k: tails[k]} if n else {})
+                for tokens in _tokens(raw):
+                    if held + len(tokens) > TOKENS_AT_ONCE and group:
+                        finish(group, sums, rare, symbols)
+                        group, held = [], 0
                     group.append((k, tokens))
                     held += len(tokens)
             if group:
-                finish(group, tails, sums, rare)
+                finish(group, sums, rare, symbols)
             counted = [Counter(r) for r in rare]
+            whole = [np.concatenate(x).astype("<i2", copy=False) for x in symbols]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([held_out(i) for i in b.column(0).to_pylist()], pa.bool_()),
-                pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 2]), pa.array(sums[:, 3]),
+                pa.array([len(x) for x in whole], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2]),
                 pa.array([list(c) for c in counted], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))], names=schema.names)
+                pa.array([list(c.values()) for c in counted], pa.list_(pa.int64())), pa.array([x.tobytes() for x in whole], pa.binary())], names=schema.names)
+    return stored(pairs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+
 
-    scored = stored(pairs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("k"))
+def _model_logs(texts: DataFrame, model: Model) -> DataFrame:
+    """``texts`` with ``model_log``: the log10 probability of the symbols."""
+    start, size = model.flat, model.size
+    schema = T.StructType([f for f in texts.schema.fields if f.name != "symbols"] + [T.StructField("model_log", T.DoubleType())])
+    at = texts.columns.index("symbols")
+
+    def run(batches):
+        model, pad = Model(start, size), np.full(CONTEXT, size, np.int16)
+
+        def finish(group, sums):
+            """Add the logs of ``group`` (row, context before, symbols)."""
+            flat = np.concatenate([x for _, before, s in group for x in (before, s)])
+            lengths = np.array([len(s) for _, _, s in group])
+            ends = np.cumsum(lengths)
+            place = np.arange(ends[-1]) + np.repeat(CONTEXT * np.arange(1, len(group) + 1), lengths)
+            logs = model.log_probs(flat[place], np.stack([flat[place - i - 1] for i in range(CONTEXT)]))
+            np.add.at(sums, [k for k, _, _ in group], np.add.reduceat(logs, ends - lengths))
+
+        for b in batches:
+            sums, group, held = np.zeros(b.num_rows), [], 0
+            for k, raw in enumerate(b.column(at).to_pylist()):
+                symbols = np.frombuffer(raw, "<i2")
+                for lo in range(0, len(symbols), TOKENS_AT_ONCE):
+                    part = symbols[lo:lo + TOKENS_AT_ONCE]
+                    if held + len(part) > TOKENS_AT_ONCE and group:
+                        finish(group, sums)
+                        group, held = [], 0
+                    group.append((k, symbols[lo - CONTEXT:lo] if lo else pad, part))
+                    held += len(part)
+            if group:
+                finish(group, sums)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns) if i != at], pa.array(sums / math.log(10))], names=schema.names)
+    return texts.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, counts: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
+          texts: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, n_tokens, n_known,
+    train_tokens, base_score and score (log10).  Null and empty texts have the
+    end as their only token.  ``texts``, where known, are the :func:`symbol_texts` of ``docs`` by the model's vocabulary."""
+    ready(docs.sparkSession)
+    total, distinct = lm.vocab.total, lm.vocab.distinct
+    texts = symbol_texts(docs, lm.vocab, id_col, text_col) if texts is None else texts
+    scored = _model_logs(texts.drop("rare", "times"), lm.model)
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("k"))
     found = rare.join(counts, "token").groupBy("row").agg(
         F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("log"))
     log = F.coalesce("log", F.lit(0.0))
-    return scored.drop("rare", "times").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("known_log") + log - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"),
-        (F.col("model_log") + log).alias("score"))
+        (F.col("model_log") + F.col("class_log") + log).alias("score"))
 
 
 def scores_digest(docs: DataFrame) -> DataFrame:
@@ -414,4 +458,6 @@ def scores_digest(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ready(docs.sparkSession)
     counts = stored(token_counts(docs))
-    return score(docs, counts, fit(docs, counts))
+    vocab = vocabulary(counts)
+    texts = symbol_texts(docs, vocab)
+    return score(docs, counts, fit(docs, counts, texts=texts, vocab=vocab), texts=texts)
