@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwalk.llm.bpe import WORDS_AT_ONCE, Codec, kept, load
+from cartwalk.llm.bpe import MEMO_BYTES, WORDS_AT_ONCE, Codec, kept, load
 from cartwalk.llm.common import quoted, ready, shuffle_partitions, stored
 from cartwalk.session import scratch_path
 
@@ -127,7 +127,12 @@ def _decode_segments(x, place, after_x, after_place, steps, words, freq, start,
 
 def encode_chunk(ids: np.ndarray) -> bytes:
     """The bytes of a chunk: header, frequency table, checkpoints, words."""
-    symbols, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and 0 <= ids.min() and ids.max() < 1 << 22:  # as ids of a vocabulary are: no sort
+        every = np.bincount(ids)
+        symbols = np.flatnonzero(every)
+        counts, number = every[symbols], (np.cumsum(every > 0, dtype=np.int32) - 1)[ids]
+    else:
+        symbols, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
     f = scaled(counts)
     table = _table_bytes(symbols, f)
     freq, start = f.astype(_U), (np.cumsum(f) - f).astype(_U)
@@ -210,6 +215,7 @@ class LibraryEncoder(Codec):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.is_end = np.array([t.endswith("</w>") for t in self.tokens])
+        self.memo.limit = 2 * MEMO_BYTES  # words met again after the memo was emptied cost more than any other step
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -219,9 +225,10 @@ class LibraryEncoder(Codec):
         flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(parts), WORDS_AT_ONCE):
             some = parts[lo:lo + WORDS_AT_ONCE]
-            ids = np.array(self._ids([" ".join(some)])[0], np.int32)
+            joined = " ".join(some)
+            ids = np.array(self._ids([joined])[0], np.int32)
             n = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
-            if len(n) != len(some) or any(self._normal(p) != p for p in some if not p.isascii()):
+            if len(n) != len(some) or not joined.isascii() and self._normal(joined) != joined:
                 # A part that the library would normalise once more or cut anew.
                 runs = self._ids(some)
                 ids, n = np.array([i for r in runs for i in r], np.int32), np.array([len(r) for r in runs], np.int64)
