@@ -141,3 +141,13 @@ def test_model_rows_travel_as_two_arrays(spark):
     urm = spark.createDataFrame([(u, i, 1.0) for u in range(9) for i in range(4)], "session_id LONG, item_id LONG, score DOUBLE")
     plan = RK.rec_scores(urm, WK.rp3_fit(urm, topK=4), remove_seen=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_zip(_j#" in plan, plan
+
+
+def test_long_profiles_are_scored_by_more_tasks(spark, monkeypatch):
+    urm = materialize(spark.createDataFrame([(u, i, 1.0) for u in range(9) for i in range(4)], "session_id LONG, item_id LONG, score DOUBLE"))
+    W = materialize(WK.rp3_fit(urm, topK=4))
+    want = sorted(map(tuple, RK.rec_scores(urm, W).collect()))
+    monkeypatch.setattr(RK, "PROFILE_ROWS", 2)
+    got = RK.rec_scores(urm, W)
+    assert re.search(r"hashpartitioning\(session_id#\d+L, 18\)", got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == want
