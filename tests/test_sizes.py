@@ -7,9 +7,13 @@ from cartwalk.operators import retrieval as RT
 from cartwalk.operators import text as TX
 from cartwalk.operators import walk as WK
 from cartwalk.operators.ids import BROADCAST_ROWS, join_small
+from cartwalk.plans import queries_rec as QR
 from cartwalk.plans import queries_text as QT
+from cartwalk.plans import recommend as P
 from cartwalk.plans.registry import Ctx
+from cartwalk import session
 from cartwalk.session import materialize
+from cartwalk.sources import roles
 
 
 def broadcast_parts(df):
@@ -151,3 +155,38 @@ def test_long_profiles_are_scored_by_more_tasks(spark, monkeypatch):
     got = RK.rec_scores(urm, W)
     assert re.search(r"hashpartitioning\(session_id#\d+L, 18\)", got._jdf.queryExecution().executedPlan().toString())
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_long_matrices_are_fitted_by_more_tasks(spark, monkeypatch):
+    """Lines, profiles, pairs and the column cut have tasks by their rows, not a fixed number; W meets no further shuffle."""
+    urm = materialize(spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(u % 5 + 8)],
+                                            "session_id LONG, item_id LONG, score DOUBLE"))
+    rows = lambda df: sorted((r.item_i, r.item_j, round(r.sim, 12)) for r in df.collect())
+    want, by_item = rows(WK.rp3_fit(urm, topK=4)), shuffled_by(WK.rp3_fit(urm, topK=4)).count(("item_i",))
+    monkeypatch.setattr(WK, "URM_ROWS", 10)
+    tasks = -(-urm.count() // 10)
+    assert rows(WK.rp3_fit(urm, topK=4)) == want
+    W = WK.rp3_fit(urm, topK=4)
+    plan = W._jdf.queryExecution().executedPlan().toString()
+    for key in ("session_id", "item_i", "item_j"):
+        assert re.search(rf"Exchange hashpartitioning\({key}#\d+L, {tasks}\)", plan), key
+    assert shuffled_by(W).count(("item_i",)) == by_item
+    monkeypatch.setattr(roles, "LINE_ROWS", 100)
+    lines = Ctx(spark, "/root/testdata/sf0.001").r
+    n = -(-lines.t.lineitem.count() // 100)
+    assert re.search(rf"Exchange hashpartitioning\(session_id#\d+L, {n}\)", lines.train_lines()._jdf.queryExecution().executedPlan().toString())
+
+
+def test_ranked_output_numbers_items_before_the_fit(spark, monkeypatch):
+    """The model isn't stored and mapped entry by entry."""
+    kept = []
+
+    def spy(df, *by):
+        kept.append(set(df.columns))
+        return materialize(df, *by)
+    monkeypatch.setattr(session, "materialize", spy)
+    monkeypatch.setattr(P, "materialize", spy)
+    ctx = Ctx(spark, "/root/testdata/sf0.001")
+    got = sorted(map(tuple, QR.rec_ranked_output(ctx).collect()))
+    assert kept and not any("sim" in c for c in kept)
+    assert got == sorted((r.session_id, r.item_id, r["rank"]) for r in P.recommend(ctx, P.test_profile(ctx), P.fit_w(ctx), 10).collect())
