@@ -210,32 +210,53 @@ class LibraryEncoder(Codec):
 
     def __init__(self, tables: dict, spec: str):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         super().__init__(tables)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # ASCII parts are as the normalizer leaves them and one part each: only the model is left to run.
+        self.model = Tokenizer.from_str(spec)
+        self.model.normalizer, self.model.pre_tokenizer = Sequence([]), WhitespaceSplit()
+        self.model.no_truncation()
+        self.model.no_padding()
         self.is_end = np.array([t.endswith("</w>") for t in self.tokens])
         self.memo.limit = 2 * MEMO_BYTES  # words met again after the memo was emptied cost more than any other step
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], by=None) -> list[list[int]]:
+        return [e.ids for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def merge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts and their number by part."""
         flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(parts), WORDS_AT_ONCE):
             some = parts[lo:lo + WORDS_AT_ONCE]
-            joined = " ".join(some)
-            ids = np.array(self._ids([joined])[0], np.int32)
-            n = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
-            if len(n) != len(some) or not joined.isascii() and self._normal(joined) != joined:
-                # A part that the library would normalise once more or cut anew.
-                runs = self._ids(some)
-                ids, n = np.array([i for r in runs for i in r], np.int32), np.array([len(r) for r in runs], np.int64)
-            flat.append(ids)
+            plain = np.fromiter(map(str.isascii, some), bool, len(some))
+            n, ids = np.empty(len(some), np.int64), []
+            for mask in (plain, ~plain):
+                got, n[mask] = self._some(list(itertools.compress(some, mask.tolist())))
+                ids.append(got)
+            of_plain = np.repeat(plain, n)
+            every = np.empty(len(of_plain), np.int32)
+            every[of_plain], every[~of_plain] = ids
+            flat.append(every)
             sizes.append(n)
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def _some(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not some:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        joined = " ".join(some)
+        ascii = joined.isascii()
+        ids = np.array(self._ids([joined], self.model if ascii else None)[0], np.int32)
+        n = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+        if len(n) != len(some) or not ascii and self._normal(joined) != joined:
+            # A part that the library would normalise once more or cut anew.
+            runs = self._ids(some)
+            ids, n = np.array([i for r in runs for i in r], np.int32), np.array([len(r) for r in runs], np.int64)
+        return ids, n
+
 
 # -- writing and reading -----------------------------------------------------
 

@@ -58,3 +58,32 @@ def test_odd_texts_equal_the_library():
     for codec in (bpe.Codec(bpe.load(PATH)), encoder):
         for _ in range(2):
             assert [x.tolist() for x in codec.encode_batch([t.encode() for t in texts])] == want
+
+
+def test_words_survive_a_full_memo():
+    """A memo that is full begins anew beside its last half: words met again are taken over, not encoded again."""
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return np.array([len(w) for w in words for _ in range(2)], np.int32), np.full(len(words), 2, np.int64)
+    memo = bpe.Memo(encode, limit=2 * 10 * (bpe.ENTRY_BYTES + 4))
+    for k in range(20):
+        words = [b"often", b"always"] + [b"x%d" % i for i in range(4 * k, 4 * k + 4)]
+        ids, n = memo.encode(words)
+        assert ids.tolist() == [len(w) for w in words for _ in range(2)] and n.tolist() == [2] * 6
+        assert len(memo.index) + len(memo.old) <= 2 * (10 + 6)
+    assert asked.count(b"often") == asked.count(b"always") == 1 and len(asked) == 82
+
+
+def test_parts_of_ascii_run_through_the_model_only():
+    with open(PATH, encoding="utf-8") as f:
+        encoder = LibraryEncoder(bpe.load(PATH), f.read())
+    whole = []
+    normal = encoder._normal
+    encoder._normal = lambda s: whole.append(s) or normal(s)
+    parts = ["plain", "é", "'s", "7", "...", "日本", "q" * 70, "\x1c", "'"]
+    ids, n = encoder.merge(parts)
+    want = [encoder.tokenizer.encode(p, add_special_tokens=False).ids for p in parts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    assert whole == ["é 日本"]
