@@ -167,9 +167,9 @@ class Model:
                                    np.ones(CONTEXT * WIDTH)]), size)
 
     def context(self, ctx: np.ndarray) -> np.ndarray:
-        out = self.C[0] * self.R[ctx[0]]
+        out = self.C[0] * self.R.take(ctx[0], axis=0)
         for i in range(1, CONTEXT):
-            out += self.C[i] * self.R[ctx[i]]
+            out += self.C[i] * self.R.take(ctx[i], axis=0)
         return out
 
     def train(self, target: np.ndarray, ctx: np.ndarray, noise_p: np.ndarray, rng, grad2: np.ndarray) -> None:
@@ -179,18 +179,19 @@ class Model:
         edges = np.cumsum(noise_p)
         g = Model(np.zeros(len(self.flat)), self.size)
         order = rng.permutation(len(target))
-        target, ctx = target[order], ctx[:, order]
+        # Places as numpy indexes by them: rows are taken and added by them without a cast or a sort.
+        target, ctx = target.take(order).astype(np.intp), ctx.take(order, axis=1).astype(np.intp)
         with np.errstate(over="ignore"):  # exp to infinity is a sigmoid of 0
             for lo in range(0, len(target), BATCH):
                 t, c = target[lo:lo + BATCH], ctx[:, lo:lo + BATCH]
                 noise = np.minimum(np.searchsorted(edges, rng.random(NOISE)), self.size - 1)
-                rows = [self.R[x] for x in c]
+                rows = [self.R.take(x, axis=0) for x in c]
                 h = self.C[0] * rows[0]
                 for i in range(1, CONTEXT):
                     h += self.C[i] * rows[i]
-                q_true, q_noise = self.Q[t], self.Q[noise]
+                q_true, q_noise = self.Q.take(t, axis=0), self.Q[noise]
                 e_true = np.einsum("ij,ij->i", h, q_true)
-                e_true += (self.b - log_kp)[t]
+                e_true += (self.b - log_kp).take(t)
                 np.exp(e_true, out=e_true)
                 e_true += 1
                 np.reciprocal(e_true, out=e_true)  # 1 - sigmoid
@@ -208,10 +209,11 @@ class Model:
                 np.add.at(g.b, noise, e_noise.sum(0))
                 g.b += np.bincount(t, weights=e_true, minlength=self.size)
                 h *= e_true[:, None]
-                _add_rows(g.Q, t, h)
+                _add_rows(g.Q, t, h.astype(np.float64))
+                wide = dh.astype(np.float64)
                 for i in range(CONTEXT):
                     g.C[i] += np.einsum("ij,ij->j", dh, rows[i])
-                    _add_rows(g.R, c[i], dh, self.C[i])
+                    _add_rows(g.R, c[i], wide, self.C[i])
                 step = g.flat
                 step /= len(t)
                 grad2 += step * step
@@ -241,12 +243,10 @@ class Model:
 
 
 def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray, factor=None) -> None:
-    """Add ``values`` (times ``factor`` by column) to the given rows."""
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    total = np.add.reduceat(values[order], first, axis=0)
-    into[r[first]] += total if factor is None else total * factor
+    """Add ``values`` (doubles; times ``factor`` by column) to the given rows."""
+    cells = rows[:, None] * WIDTH + np.arange(WIDTH)
+    total = np.bincount(cells.ravel(), values.ravel(), into.size).reshape(into.shape)
+    into += total if factor is None else total * factor
 
 
 def _windows(streams: list[np.ndarray], before: int) -> tuple[np.ndarray, np.ndarray]:

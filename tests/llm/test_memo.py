@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from cartwalk.llm import bpe
+from cartwalk.llm import bpe, lm
 from cartwalk.llm.tokenfiles import LibraryEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -87,3 +87,26 @@ def test_parts_of_ascii_run_through_the_model_only():
     want = [encoder.tokenizer.encode(p, add_special_tokens=False).ids for p in parts]
     assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
     assert whole == ["é 日本"]
+
+
+def test_gradients_are_added_up_without_a_sort(monkeypatch):
+    """A training batch adds its rows into place; the sums are those of rows added one by one."""
+    rng = np.random.default_rng(3)
+    into, rows, values = np.zeros((7, lm.WIDTH), np.float32), rng.integers(0, 7, 400), rng.normal(size=(400, lm.WIDTH))
+    want = np.zeros((7, lm.WIDTH))
+    np.add.at(want, rows, values * 2)
+
+    def sort(*a, **k):
+        raise AssertionError("sorted")
+    monkeypatch.setattr(np, "argsort", sort)
+    lm._add_rows(into, rows, values, np.full(lm.WIDTH, 2.0))
+    assert np.allclose(into, want, atol=1e-4)
+    streams = [rng.integers(0, 20, 50).astype(np.int16) for _ in range(80)]
+    target, ctx = lm._windows(streams, 20)
+    counts = np.bincount(target, minlength=20).astype(float)
+    model = lm.Model.start(counts)
+    before = model.log_probs(target, ctx).sum()
+    p = (counts + 1) / (counts + 1).sum()
+    for _ in range(3):
+        model.train(target, ctx, p, np.random.default_rng(1), np.full(len(model.flat), 1e-6, np.float32))
+    assert np.isfinite(model.flat).all() and model.log_probs(target, ctx).sum() != before
