@@ -1,5 +1,7 @@
 """Streams against their batch twins on small fixtures."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +97,29 @@ def test_repeated_batch_changes_nothing(spark):
     for b in (0, 1, 1, 0):
         write(spark.range(5).withColumn("x", F.lit(b)), b)
     assert spark.read.parquet(sink).count() == 10
+
+
+def test_sessions_are_walked_in_one_pass(spark):
+    """Sessions that lie over several batches, against one after the other."""
+    rnd = random.Random(4)
+    rows = [(s, t, rnd.randint(1, 9), r) for s in range(40) for t in sorted(rnd.sample(range(30), 7)) for r in range(1, 4)]
+    df = spark.createDataFrame(rows + [(5, None, 1, 1), (None, 1, 1, 1)], "session_id long, turn int, item_id long, rank long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        walked = I.session_walk(df, idle_turns=4)
+        assert "FlatMapGroupsInPandas" not in walked._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, walked.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for s in range(40):
+        held, last = set(), None
+        for t in sorted({x[1] for x in rows if x[0] == s}):
+            if last is not None and t - last > 4:
+                held = set()
+            last = t
+            added = next((i for _, i in sorted((x[3], x[2]) for x in rows if x[:2] == (s, t)) if i not in held), None)
+            held |= {added} - {None}
+            want.append((s, t, added, len(held)))
+    assert got == want
