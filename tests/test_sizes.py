@@ -190,3 +190,34 @@ def test_ranked_output_numbers_items_before_the_fit(spark, monkeypatch):
     got = sorted(map(tuple, QR.rec_ranked_output(ctx).collect()))
     assert kept and not any("sim" in c for c in kept)
     assert got == sorted((r.session_id, r.item_id, r["rank"]) for r in P.recommend(ctx, P.test_profile(ctx), P.fit_w(ctx), 10).collect())
+
+
+def test_candidates_are_scored_in_the_shuffle_of_the_scores(spark):
+    """Candidates, seen items and scores of a session meet in one shuffle, not in one of all scores by session and item."""
+    urm = spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(u % 5 + 8)],
+                                "session_id LONG, item_id LONG, score DOUBLE")
+    W = materialize(WK.rp3_fit(urm, topK=4))
+    profile = materialize(urm.filter("session_id % 3 = 0"))
+    cand = spark.createDataFrame([(u, i) for u in range(0, 33, 3) for i in (3, 9, 11, 11, 99)], "session_id LONG, item_id LONG")
+    got = RK.rec_scores(profile, W, remove_seen=True, candidates=cand)
+    keys = shuffled_by(got)
+    assert keys.count(("session_id",)) == 1 and not any(len(k) > 1 for k in keys), keys
+    seen = {(r.session_id, r.item_id) for r in profile.collect()}
+    scores = {(r.session_id, r.item_id): r.score for r in RK.rec_scores(profile, W).collect()}
+    want = {k: scores.get(k, 0.0) for k in {tuple(r) for r in cand.collect()} - seen}
+    assert sorted((r.session_id, r.item_id, round(r.score, 9)) for r in got.collect()) == sorted((*k, round(v, 9)) for k, v in want.items())
+
+
+def test_models_without_blocked_columns_and_freed_shuffles(spark, monkeypatch):
+    """Several models are functions of what is blocked, and a model's shuffle files go before the next one's come."""
+    urm = materialize(spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(u % 5 + 8)],
+                                            "session_id LONG, item_id LONG, score DOUBLE"))
+    seen, freed = [], []
+    monkeypatch.setattr(RK, "free_shuffles", lambda s: freed.append(len(seen)))
+    fits = {k: (lambda b, k=k: seen.append(sorted(r.item_id for r in b.collect())) or WK.rp3_fit(urm, topK=k, without=b)) for k in (4, 2)}
+    catalogue, blocked = spark.range(14).withColumnRenamed("id", "item_id"), spark.range(3).withColumnRenamed("id", "item_id")
+    got = RK.rec_ranking_frame({str(k): f for k, f in fits.items()}, urm, catalogue, 5, exclude=blocked)
+    assert seen == [[0, 1, 2]] * 2 and freed == [1, 2]
+    want = RK.rec_ranking_frame({str(k): WK.rp3_fit(urm, topK=k) for k in (4, 2)}, urm, catalogue, 5, exclude=blocked)
+    rows = lambda df: sorted((r.model, r.session_id, r["rank"], r.item_id, round(r.score, 9)) for r in df.collect())
+    assert rows(got) == rows(want)
