@@ -84,8 +84,7 @@ def encoder_roundtrip(ctx):
     """IO10: item text, fitted vectorizer and term counts saved together and
     reloaded; the reloaded vectorizer re-encodes the documents."""
     path = IO.new_dir(ctx.spark, "encoder")
-    toks = TX.remove_stop_words(TX.tokens(ctx.t.documents, ["doc_id"]), TX.spanish_stop_words(ctx.spark))
-    arrays = toks.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    arrays = TX.token_arrays(ctx.t.documents, "doc_id", TX.spanish_stop_words(ctx.spark))
     cv = CountVectorizer(inputCol="tokens", outputCol="vec", vocabSize=TX.VOCAB_SIZE).fit(arrays)
     cv.write().save(f"{path}/vectorizer")
     from cartwalk.plans.queries_text import doc_vecs

@@ -39,3 +39,15 @@ def test_tokens_whole_text(spark):
     toks = TX.tokens(df, ["doc_id"])
     assert toks.count() == 30001
     assert toks.orderBy("pos", ascending=False).first()["token"] == "última"
+
+
+def test_token_arrays_stay_where_texts_are_read(spark):
+    from cartwalk.operators import text as TX
+    texts = [(1, "Uno dos dos de tres"), (2, "dos cuatro"), (1, "uno cinco"), (3, None), (4, "de la"), (None, "tres"), (None, "tres dos")]
+    docs, stop = spark.createDataFrame(texts, "doc_id long, text string"), ["de", "la"]
+    toks = TX.remove_stop_words(TX.tokens(docs, ["doc_id"]), stop)
+    want = {r.doc_id: sorted(r.t) for r in toks.groupBy("doc_id").agg({"token": "collect_list"}).toDF("doc_id", "t").collect()}
+    rows = TX.token_arrays(docs, "doc_id", stop).collect()
+    assert {r.doc_id: sorted(r.tokens) for r in rows} == want and len(rows) == len(want)
+    plan = TX.token_arrays(docs.filter("doc_id > 1"), "doc_id", stop)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
