@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwalk.functions.exprs import r6
+from cartwalk.operators import ranking as RK
 from cartwalk.plans import recommend as P
 from cartwalk.plans.queries_rec import REC, TRAIN, W20
 from cartwalk.plans.queries_session import ACC
 from cartwalk.plans.registry import query
 from cartwalk.plans.sqlroles import R6, with_roles
+from cartwalk.session import materialize
 from cartwalk.streaming import sessions as ST
 
 
@@ -27,11 +29,12 @@ def stream_session(ctx):
 @query("stream_recommend", with_roles("SELECT session_id, item_id, rank FROM t_top", REC))
 def stream_recommend(ctx):
     """Micro-batches of test views scored against the fitted W."""
-    W = P.fit_w(ctx)
+    # Rows of the model without the columns that every batch would leave out, stored as the batches read them.
+    W = materialize(RK.model_rows(P.fit_w(ctx, store=False)(materialize(P.excluded(ctx).distinct()))))
 
     def rec(batch):
         prof = P.views_profile(batch)
-        return P.recommend(ctx, prof, W, 10).select("session_id", "item_id", "rank")
+        return P.recommend(ctx, prof, lambda blocked: W, 10).select("session_id", "item_id", "rank")
     return ST.stream_recommend(ctx.spark, ctx.r.test_views(), rec).select("session_id", "item_id", "rank")
 
 

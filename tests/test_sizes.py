@@ -221,3 +221,14 @@ def test_models_without_blocked_columns_and_freed_shuffles(spark, monkeypatch):
     want = RK.rec_ranking_frame({str(k): WK.rp3_fit(urm, topK=k) for k in (4, 2)}, urm, catalogue, 5, exclude=blocked)
     rows = lambda df: sorted((r.model, r.session_id, r["rank"], r.item_id, round(r.score, 9)) for r in df.collect())
     assert rows(got) == rows(want)
+
+
+def test_stored_model_rows_are_not_shuffled_to_be_put_together(spark):
+    urm = materialize(spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(u % 5 + 8)],
+                                            "session_id LONG, item_id LONG, score DOUBLE"))
+    W = materialize(WK.rp3_fit(urm, topK=4))
+    rows = materialize(RK.model_rows(W))
+    got = RK.rec_scores(urm, rows, remove_seen=True)
+    scores = lambda df: sorted((r.session_id, r.item_id, round(r.score, 9)) for r in df.collect())
+    assert scores(got) == scores(RK.rec_scores(urm, W, remove_seen=True))
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
